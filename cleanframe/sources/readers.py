@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cleanframe.functions.cells import blank_to_null, col
@@ -16,6 +17,9 @@ from cleanframe.operators.state import HIDDEN
 from cleanframe.plans.spec import SpecError
 from cleanframe.sources import xlsx
 
+# Workbook functions travel with their tasks, so executors need no installed package.
+cloudpickle.register_pickle_by_value(xlsx)
+
 POSITION = f"{HIDDEN}pos"
 FORMATS = ("csv", "xlsx", "json", "parquet")
 
@@ -126,6 +130,30 @@ def read_csv(
     return csv_frame(spark, paths, list(headers.pop()), whole, position, short_rows)
 
 
+_CORRUPT = f"{HIDDEN}corrupt"
+_END = "\u0001end"
+
+
+def _is_short(names: list[str]) -> Column:
+    """Does a row of the wrong length end before the header does?
+
+    Parsed once more with an end mark appended, such a row shows the mark
+    within the header's columns; a longer row, whose extra cells are ignored,
+    does not.
+    """
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv(F.concat(F.col(_CORRUPT), F.lit("," + _END)), fields, {"escape": '"'})
+    marked = F.lit(False)
+    for i in range(len(names)):
+        marked = marked | F.coalesce(parsed[f"c{i}"] == _END, F.lit(False))
+    return F.col(_CORRUPT).isNotNull() & marked
+
+
+def _raise() -> Column:
+    message = F.concat(F.lit("Row shorter than the header: "), F.col(_CORRUPT))
+    return F.raise_error(message).cast("string")
+
+
 def csv_frame(
     spark: SparkSession,
     paths: list[str] | str,
@@ -143,33 +171,72 @@ def csv_frame(
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "FAILFAST" if short_rows == "error" else "PERMISSIVE")
-        .csv(paths)
+        .option("columnNameOfCorruptRecord", _CORRUPT)
     )
+    if short_rows == "error":
+        raw = raw.schema(text_schema([*names, _CORRUPT])).csv(paths)
+        raw = raw.withColumn(names[0], F.when(~_is_short(names), col(names[0])).otherwise(_raise()))
+    else:
+        raw = raw.csv(paths)
     extra = [file_position().alias(POSITION)] if position else []
     if source:
         extra.append(F.col("_metadata.file_path").alias(source))
     return _cleaned(raw, names, extra)
 
 
-def json_keys(spark: SparkSession, paths: list[str] | str, lines: bool = False) -> list[str]:
-    """Union of object keys in the order of their first appearance."""
+@dataclass(frozen=True)
+class JsonFile:
+    path: str
+    header: tuple[str, ...]
+    valid: bool
+
+
+def scan_json(spark: SparkSession, paths: list[str] | str, lines: bool = False) -> list[JsonFile]:
+    """Object keys of every file in the order of their first appearance."""
     text = spark.read.text(paths, wholetext=not lines).select("value", file_position().alias("at"))
     if lines:
-        objects = text.select("at", F.lit(0).alias("item"), F.col("value").alias("object"))
+        objects = text.filter(F.trim("value") != "").select(
+            "at", F.lit(0).alias("item"), F.col("value").alias("object"), F.lit(True).alias("valid")
+        )
     else:
-        items = F.posexplode(F.from_json("value", "array<string>", {"mode": "FAILFAST"}))
-        objects = text.select("at", items.alias("item", "object"))
-    keys = objects.select("at", "item", F.posexplode(F.json_object_keys("object")).alias("n", "key"))
-    first = keys.groupBy("key").agg(F.min(F.struct("at", "item", "n")).alias("first"))
-    return [r["key"] for r in first.orderBy("first").select("key").collect()]
+        parsed = text.select("at", F.from_json("value", "array<string>").alias("items"))
+        objects = parsed.select(
+            "at",
+            F.col("items").isNotNull().alias("valid"),
+            F.posexplode_outer("items").alias("item", "object"),
+        )
+    keys = objects.select(
+        "at", "item", "valid", F.posexplode_outer(F.json_object_keys("object")).alias("n", "key")
+    )
+    found = (
+        keys.groupBy(F.col("at.file").alias("path"), "key")
+        .agg(F.min(F.struct("at", "item", "n")).alias("first"), F.min("valid").alias("valid"))
+        .orderBy("path", "first")
+        .collect()
+    )
+    header: dict[str, list[str]] = {}
+    valid: dict[str, bool] = {}
+    for r in found:
+        names = header.setdefault(r["path"], [])
+        if r["key"] is not None:
+            names.append(r["key"])
+        valid[r["path"]] = valid.get(r["path"], True) and r["valid"]
+    return [JsonFile(p, tuple(h), valid[p]) for p, h in header.items()]
 
 
 def read_json(
     spark: SparkSession, paths: list[str] | str, lines: bool = False, position: bool = False
 ) -> DataFrame:
-    """S3: an array of objects per file (or one object per line); columns in key order."""
-    return json_frame(spark, paths, json_keys(spark, paths, lines), lines, position)
+    """S3: an array of objects per file (or one object per line).
+
+    Columns are the union of all keys, in the order of their first appearance.
+    """
+    files = scan_json(spark, paths, lines)
+    broken = [f.path for f in files if not f.valid]
+    if broken:
+        raise SpecError(f"Not a JSON array of objects: {broken}")
+    names = list(dict.fromkeys(k for f in files for k in f.header))
+    return json_frame(spark, paths, names, lines, position)
 
 
 def json_frame(

@@ -39,7 +39,8 @@ def write_csv(
         .option("ignoreTrailingWhiteSpace", False)
     )
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        # Only the folders written to are replaced.
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.csv(path)
 
 
