@@ -60,18 +60,22 @@ def _has_hot_copies(df: DataFrame, digest: Column) -> bool:
 
 
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Zero-based position of every row in the order; `order` must be unique.
+    """Zero-based position of every row in the order; `order` must be unique."""
+    return number_rows(df.orderBy(*order), name)
 
-    Range-sorted partitions are written once; their row counts (one number per
-    partition) give each partition its offset.
+
+def number_rows(sorted_df: DataFrame, name: str) -> DataFrame:
+    """Zero-based position of every row of a sorted table.
+
+    The range-sorted partitions are written once; their row counts (one number
+    per partition) give each partition its offset.
     """
-    sorted_ = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
-    table = written(sorted_, "ranked")
+    table = written(sorted_df.withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__at", 33)
     sizes = table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     starts = [0, *accumulate(r["n"] for r in sizes)]
     offsets = small_table(
-        df.sparkSession,
+        sorted_df.sparkSession,
         [(r["part"], s) for r, s in zip(sizes, starts)],
         table_schema(__part=T.LongType(), __start=T.LongType()),
     )

@@ -293,9 +293,16 @@ def xlsx_frame(
     position: bool = False,
     source: str | None = None,
 ) -> DataFrame:
+    return workbook_rows(_workbooks(spark, paths), names, position, source)
+
+
+def workbook_rows(
+    workbooks: DataFrame, names: list[str], position: bool = False, source: str | None = None
+) -> DataFrame:
+    """Data rows of `workbooks(path, content)` that share the header `names`."""
     fields = [f"c{i}" for i in range(len(names))]
     schema = "path string, line long, " + ", ".join(f"{f} string" for f in fields)
-    rows = _workbooks(spark, paths).mapInPandas(xlsx.row_batches(len(names)), schema)
+    rows = workbooks.mapInPandas(xlsx.row_batches(len(names)), schema)
     cells = [blank_to_null(F.col(f)).alias(n) for f, n in zip(fields, names)]
     extra = []
     if position:
