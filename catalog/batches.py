@@ -29,8 +29,8 @@ WITH od AS (
 f AS (
   SELECT file, o_orderkey, coalesce(price, round(median(price) OVER (PARTITION BY file), 6)) AS price FROM od)
 SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey,
-  round((price - min(price) OVER (PARTITION BY file))
-        / (max(price) OVER (PARTITION BY file) - min(price) OVER (PARTITION BY file)), 5) AS price
+  CAST(printf('%.6f', (price - min(price) OVER (PARTITION BY file))
+    / (max(price) OVER (PARTITION BY file) - min(price) OVER (PARTITION BY file))) AS DOUBLE) AS price
 FROM f"""
 
 
@@ -44,7 +44,7 @@ def batch_statistics_per_file(spark, sf_dir):
     cleaned = spark.read.option("header", True).csv(out)
     return cleaned.select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
-        F.round(F.col("price").cast("double"), 5).alias("price"),
+        F.col("price").cast("double").alias("price"),
     )
 
 

@@ -1,11 +1,14 @@
 """Cell-level expressions: blank test, number parsing and formatting, text forms.
 
-Everything here builds plain Spark columns, so the expressions stay inside
-whole-stage code generation and fuse with their neighbours.
+Everything here builds plain Spark columns, so the expressions fuse with their
+neighbours. A filter pushed below a projection repeats the projected expression
+at every mention, and chains of steps would multiply; expensive ones are
+therefore bound with `once`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
@@ -14,9 +17,8 @@ from pyspark.sql import Column, functions as F, types as T
 TRUE_WORDS = ["true", "1", "yes", "y"]
 FALSE_WORDS = ["false", "0", "no", "n"]
 
-# How non-finite doubles may be written (others are text).
-_NON_FINITE_ANY_CASE = r"(?i)[+-]?(inf|infinity|nan)[df]?"
-_NON_FINITE_EXACT = r"^[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*$"
+# How non-finite doubles are written; other spellings are text.
+_NON_FINITE = r"^[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*$"
 
 LONG_MAX = 2**63 - 1
 LONG_MIN = -(2**63)
@@ -27,6 +29,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f(c)` with `c` evaluated a single time per row, however often `f` mentions it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
 
@@ -39,13 +46,17 @@ def is_blank(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     """NULL, or text without a single non-whitespace character."""
     if not is_text(dtype):
         return c.isNull()
-    return c.isNull() | ~c.rlike(r"\P{javaWhitespace}")
+    return ~is_filled(c)
+
+
+def is_filled(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"\P{javaWhitespace}"), F.lit(False))
 
 
 def blank_to_null(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     if not is_text(dtype):
         return c
-    return F.when(~is_blank(c, dtype), c)
+    return F.when(is_filled(c), c)
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -56,23 +67,26 @@ def parse_double(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     """the cell as a double, NULL where the text is no number.
 
     `try_cast` also reads words such as `inf` in any case; only the exact
-    spellings `Infinity` and `NaN` count as numbers here.
+    spellings `Infinity` and `NaN` count as numbers here. All such words hold
+    an n, so few cells meet the pattern.
     """
     if is_number(dtype):
         return c.cast("double")
     if not is_text(dtype):
         return F.lit(None).cast("double")
-    d = c.try_cast("double")
-    odd = F.isnan(d) | (F.abs(d) == float("inf"))
-    word = c.rlike(_NON_FINITE_ANY_CASE) & ~c.rlike(_NON_FINITE_EXACT)
-    return F.when(~(odd & word), d)
+    no_word = ~(F.contains(c, F.lit("n")) | F.contains(c, F.lit("N")))
+    return F.when(no_word | c.rlike(_NON_FINITE), c.try_cast("double"))
 
 
 def format_double(d: Column) -> Column:
-    """six decimals, trailing zeros cut but one decimal kept; NaN is missing."""
-    fixed = F.format_string("%.6f", d)
-    trimmed = F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", ".0")
-    return F.when(d.isNotNull() & ~F.isnan(d), trimmed)
+    """six decimals, trailing zeros cut but one decimal kept; NaN is missing.
+
+    Between the bounds the shortest text of the rounded double has this form
+    already; only very small and very large numbers need a formatter.
+    """
+    fixed = F.regexp_replace(F.format_string("%.6f", d), r"(\.\d+?)0+$", "$1")
+    plain = (F.abs(d) >= 0.001) & (F.abs(d) < 9_999_999)
+    return F.when(plain, F.round(d, 6).cast("string")).when(d.isNotNull() & ~F.isnan(d), fixed)
 
 
 def cell_text(c: Column, dtype: T.DataType) -> Column:
@@ -124,9 +138,8 @@ def flat_text(c: Column) -> Column:
 
 def regex_replace(c: Column, pattern: str, replacement: str | None) -> Column:
     """replace all; `$1` style groups; blank cells are left alone."""
-    return F.when(is_blank(c), c).otherwise(
-        F.regexp_replace(c, F.lit(pattern), F.lit(replacement or ""))
-    )
+    replaced = F.regexp_replace(c, F.lit(pattern), F.lit(replacement or ""))
+    return F.when(is_filled(c), replaced).otherwise(c)
 
 
 def row_text(columns: list[Column]) -> Column:

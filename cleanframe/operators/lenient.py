@@ -1,8 +1,9 @@
 """The seventeen steps, lenient form.
 
-Blank cells are missing, cells that are no numbers are left alone, and text
-columns stay text with numbers written to six decimals. Columns that already
-have a numeric type give doubles, unrounded.
+Blank cells are missing and cells that are no numbers are left alone. Numbers
+put into text columns are written to six decimals; a text column that holds
+nothing but numbers turns into doubles of six decimals when it is scaled.
+Columns that already have a numeric type give doubles, unrounded.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from cleanframe.functions.cells import (
     contains_ignore_case,
     format_double,
     is_blank,
+    is_filled,
     is_number,
     is_text,
+    once,
     parse_double,
     regex_replace,
+    row_hash,
     trim_controls,
 )
 from cleanframe.operators.labels import encode
 from cleanframe.operators.split import mark_split
-from cleanframe.functions.cells import row_hash
 from cleanframe.operators.state import HIDDEN, SortKey, State, Statistics
 from cleanframe.plans.spec import Op, SpecError, Step
 
@@ -46,7 +49,7 @@ def _fill_number(field: str):
         value = stats.value(step.column, field)
         if is_text(dtype):
             return state.with_column(
-                step.column, F.when(is_blank(c), format_double(value)).otherwise(c)
+                step.column, F.when(is_filled(c), c).otherwise(format_double(value))
             )
         if is_number(dtype):
             value = F.when(~F.isnan(value), value)
@@ -97,38 +100,52 @@ def remove_outliers(state: State, step: Step, stats: Statistics) -> State:
     v = parse_double(col(step.column), state.dtype(step.column))
     q1, q3 = stats.value(step.column, "q1"), stats.value(step.column, "q3")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    inside = F.isnan(v) | v.between(low, high)
-    return state.with_df(state.df.filter(v.isNull() | F.coalesce(inside, F.lit(True))))
+    inside = F.nanvl(v, q1).between(low, high)
+    return state.with_df(state.df.filter(F.coalesce(inside, F.lit(True))))
 
 
-def _scale(state: State, column: str, centre: Column, width: Column) -> State:
+def _scale(
+    state: State, step: Step, stats: Statistics, centre: Column, width: Column
+) -> State:
+    """`(x - centre) / width`; without spread the column stays as it is."""
+    column = step.column
     c, dtype = col(column), state.dtype(column)
-    v = parse_double(c, dtype)
-    scaled = (v - centre) / F.nullif(width, F.lit(0.0))
-    flat = F.coalesce(width == 0, F.lit(True))
-    if is_text(dtype):
-        return state.with_column(column, F.when(v.isNull() | flat, c).otherwise(format_double(scaled)))
+    scaled = (parse_double(c, dtype) - centre) / F.nullif(width, F.lit(0.0))
     if is_number(dtype):
-        return state.with_column(column, F.when(flat, v).otherwise(scaled))
-    return state
+        flat = F.coalesce(width == 0, F.lit(True))
+        return state.with_column(column, F.when(flat, c.cast("double")).otherwise(scaled))
+    if not is_text(dtype):
+        return state
+    if not state.group and stats.raw(column, "all_numeric") and stats.raw(column, "spread"):
+        return state.with_column(column, F.round(scaled, 6))
+    return state.with_column(column, once(c, lambda x: _scaled_text(x, centre, width)))
+
+
+def _scaled_text(x: Column, centre: Column, width: Column) -> Column:
+    def shown(d: Column) -> Column:
+        # A NaN result is missing: the empty text, while NULL would give the cell back.
+        return F.when(F.isnan(d), "").otherwise(format_double(d))
+
+    scaled = (parse_double(x) - centre) / F.nullif(width, F.lit(0.0))
+    return F.coalesce(once(scaled, shown), x)
 
 
 def normalize_minmax(state: State, step: Step, stats: Statistics) -> State:
     """E8"""
     low, spread = stats.value(step.column, "low"), stats.value(step.column, "spread")
-    return _scale(state, step.column, low, spread)
+    return _scale(state, step, stats, low, spread)
 
 
 def normalize_zscore(state: State, step: Step, stats: Statistics) -> State:
     """E9"""
     mean, sd = stats.value(step.column, "mean"), stats.value(step.column, "sd")
-    return _scale(state, step.column, mean, sd)
+    return _scale(state, step, stats, mean, sd)
 
 
 def normalize_robust(state: State, step: Step, stats: Statistics) -> State:
     """E10"""
     q1, median, q3 = (stats.value(step.column, f) for f in ("q1", "median", "q3"))
-    return _scale(state, step.column, median, q3 - q1)
+    return _scale(state, step, stats, median, q3 - q1)
 
 
 def cast_column(state: State, step: Step, stats: Statistics) -> State:
@@ -216,24 +233,29 @@ def filter_rows(state: State, step: Step, stats: Statistics) -> State:
     """Rows whose cell is missing stay."""
     operator, target = step.filter_parts()
     c, dtype = col(step.column), state.dtype(step.column)
-    keep = is_blank(c, dtype) | _matches(c, dtype, operator, target)
+    if operator in (">", "<", ">=", "<=") and is_text(dtype):
+        keep = F.exists(F.array(c), lambda x: _compares(parse_double(x), operator, target))
+    elif operator in (">", "<", ">=", "<="):
+        keep = _compares(parse_double(c, dtype), operator, target)
+    elif operator in ("==", "!="):
+        value = F.lit(target) if is_text(dtype) else F.lit(target).try_cast(dtype)
+        same = F.coalesce(c == value, F.lit(False))
+        keep = is_blank(c, dtype) | (same if operator == "==" else ~same)
+    elif operator == "contains":
+        keep = is_blank(c, dtype) | contains_ignore_case(cell_text(c, dtype), target)
+    else:
+        return state
     return state.with_df(state.df.filter(keep))
 
 
-def _matches(c: Column, dtype, operator: str, target: str) -> Column:
-    if operator in ("==", "!="):
-        value = F.lit(target) if is_text(dtype) else F.lit(target).try_cast(dtype)
-        same = F.coalesce(c == value, F.lit(False))
-        return same if operator == "==" else ~same
-    if operator == "contains":
-        return contains_ignore_case(cell_text(c, dtype), target)
-    if operator not in (">", "<", ">=", "<="):
-        return F.lit(True)
-    v, t = parse_double(c, dtype), parse_double(F.lit(target))
+def _compares(v: Column, operator: str, target: str) -> Column:
+    """Numeric comparison; cells (or a target) that are no numbers count as matching."""
+    t = parse_double(F.lit(target))
     compared = {">": v > t, "<": v < t, ">=": v >= t, "<=": v <= t}[operator]
     # Spark orders NaN above every number; a comparison with NaN is false here.
-    compared = compared & ~F.isnan(v) & ~F.isnan(t)
-    return F.when(v.isNull() | t.isNull(), True).otherwise(compared)
+    if operator in (">", ">="):
+        compared = compared & ~F.isnan(v)
+    return F.coalesce(compared & ~F.isnan(t), F.lit(True))
 
 
 def replace_regex(state: State, step: Step, stats: Statistics) -> State:
