@@ -20,6 +20,9 @@ FALSE_WORDS = ["false", "0", "no", "n"]
 # How non-finite doubles are written; other spellings are text.
 _NON_FINITE = r"^[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*$"
 
+# The characters that trimming removes.
+CONTROLS = "".join(chr(i) for i in range(0x21))
+
 LONG_MAX = 2**63 - 1
 LONG_MIN = -(2**63)
 
@@ -102,7 +105,7 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
 
 def trim_controls(c: Column) -> Column:
     """cut every character up to U+0020 from both ends."""
-    return F.regexp_replace(c, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(c, F.lit(CONTROLS))
 
 
 def contains_ignore_case(c: Column, needle: str) -> Column:

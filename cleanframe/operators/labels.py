@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanframe.functions.cells import col
-from cleanframe.operators.ordering import lookup, with_position
+from cleanframe.operators.ordering import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    lookup,
+    with_position,
+)
 from cleanframe.operators.statistics import filled
 from cleanframe.session import small_table
 
-# Up to this many distinct values the codes are numbered on the driver.
+# Up to this many distinct values, and bytes of them, are numbered on the driver.
 DRIVER_VALUES = 20_000
+DRIVER_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -21,9 +28,13 @@ class LabelCodes:
 
     mapping: DataFrame
     values: int
+    bytes: int
     total: int
 
 
+_SIMPLE = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.BooleanType)
+
+
 def label_codes(
     df: DataFrame, column: str, order: Column | None, strict: bool = False
 ) -> LabelCodes:
@@ -38,24 +49,32 @@ def label_codes(
         aggs.append(F.min("__order").alias("__first"))
         sorting.insert(0, F.col("__first"))
     counted = (
-        df.select(*source).filter(F.col("__value").isNotNull()).groupBy("__value").agg(*aggs)
+        df.select(*source)
+        .filter(F.col("__value").isNotNull())
+        .groupBy("__value")
+        .agg(*aggs)
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    if isinstance(dtype, (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.BooleanType)):
-        head = counted.orderBy(*sorting).select("__value", "n").limit(DRIVER_VALUES + 1).collect()
-        if len(head) <= DRIVER_VALUES:
+    try:
+        values, size, total = _sizes(counted)
+        if isinstance(dtype, _SIMPLE) and values <= DRIVER_VALUES and size <= DRIVER_BYTES:
+            head = counted.orderBy(*sorting).select("__value", "n").collect()
+            fields = [("__value", dtype), ("n", T.LongType()), ("__code", T.LongType())]
+            schema = T.StructType([T.StructField(n, t) for n, t in fields])
             rows = [(r["__value"], r["n"], i) for i, r in enumerate(head)]
-            schema = T.StructType(
-                [
-                    T.StructField("__value", dtype),
-                    T.StructField("n", T.LongType()),
-                    T.StructField("__code", T.LongType()),
-                ]
-            )
-            table = small_table(df.sparkSession, rows, schema)
-            return LabelCodes(table, len(rows), sum(r[1] for r in rows))
-    ranked = with_position(counted, sorting, "__code").select("__value", "n", "__code")
-    size = ranked.agg(F.count("*").alias("values"), F.sum("n").alias("total")).first()
-    return LabelCodes(ranked, size["values"], size["total"] or 0)
+            return LabelCodes(small_table(df.sparkSession, rows, schema), values, size, total)
+        ranked = with_position(counted, sorting, "__code").select("__value", "n", "__code")
+        return LabelCodes(ranked, values, size, total)
+    finally:
+        counted.unpersist()
+
+
+def _sizes(counted: DataFrame) -> tuple[int, int, int]:
+    """Distinct values, bytes they take, and rows they stand for."""
+    width = F.octet_length(F.col("__value").cast("string")).cast("bigint")
+    row = counted.agg(F.count("*").alias("values"), F.sum(width).alias("bytes"), F.sum("n").alias("total"))
+    r = row.first()
+    return r["values"], r["bytes"] or 0, r["total"] or 0
 
 
 def group_label_codes(df: DataFrame, column: str, order: Column, group: str) -> LabelCodes:
@@ -82,8 +101,7 @@ def group_label_codes(df: DataFrame, column: str, order: Column, group: str) ->
     mapping = ranked.join(F.broadcast(starts), "__g").select(
         "__g", "__value", "n", (F.col("__at_all") - F.col("__start")).alias("__code")
     )
-    size = ranked.agg(F.count("*").alias("values"), F.sum("n").alias("total")).first()
-    return LabelCodes(mapping, size["values"], size["total"] or 0)
+    return LabelCodes(mapping, *_sizes(ranked))
 
 
 def encode(
@@ -99,7 +117,8 @@ def encode(
     keyed = df.withColumn("__value", filled(df, column, strict))
     if group:
         keyed = keyed.withColumn("__g", col(group))
-    joined = lookup(keyed, keys, codes.mapping, codes.values, codes.total, "__code")
+    small = codes.values <= BROADCAST_ROWS and codes.bytes <= BROADCAST_BYTES
+    joined = lookup(keyed, keys, codes.mapping, small, codes.total, "__code")
     code = F.col("__code")
     if null_code:
         code = F.when(F.col("__value").isNull(), F.lit(codes.values).cast("bigint")).otherwise(code)

@@ -183,7 +183,7 @@ def label_encode(state: State, step: Step, stats: Statistics) -> State:
 
 def one_hot_encode(state: State, step: Step, stats: Statistics) -> State:
     """Dummies in place of the column, ordered by value."""
-    values = sorted(stats.categories[step.column], key=lambda s: s.encode("utf-16-be"))
+    values = stats.categories[step.column]
     others = set(state.df.columns) - {step.column}
     names = unique_names([f"{step.column}_{v}" for v in values], others)
     text = cell_text(col(step.column), state.dtype(step.column))
@@ -253,9 +253,8 @@ def _compares(v: Column, operator: str, target: str) -> Column:
     t = parse_double(F.lit(target))
     compared = {">": v > t, "<": v < t, ">=": v >= t, "<=": v <= t}[operator]
     # Spark orders NaN above every number; a comparison with NaN is false here.
-    if operator in (">", ">="):
-        compared = compared & ~F.isnan(v)
-    return F.coalesce(compared & ~F.isnan(t), F.lit(True))
+    ordered = F.when(F.isnan(v) | F.isnan(t), False).otherwise(compared)
+    return F.when(v.isNull() | t.isNull(), True).otherwise(ordered)
 
 
 def replace_regex(state: State, step: Step, stats: Statistics) -> State:
@@ -286,12 +285,22 @@ STEPS = {
 }
 
 
-def category_values(df: DataFrame, column: str, limit: int) -> list[str]:
-    """The distinct filled texts of a column; more than `limit` of them is an error."""
+def category_values(
+    df: DataFrame, column: str, limit: int, order: Column | None = None
+) -> list[str]:
+    """The distinct filled texts of a column, by value or by first appearance.
+
+    They become columns, so more than `limit` of them is an error.
+    """
     dtype = df.schema[column].dataType
-    text = cell_text(blank_to_null(col(column), dtype), dtype)
-    found = df.select(text.alias("v")).filter(F.col("v").isNotNull()).distinct()
+    text = cell_text(blank_to_null(col(column), dtype), dtype).alias("v")
+    if order is None:
+        found = df.select(text).filter(F.col("v").isNotNull()).distinct()
+    else:
+        cells = df.select(text, order.alias("at")).filter(F.col("v").isNotNull())
+        found = cells.groupBy("v").agg(F.min("at").alias("at")).orderBy("at", "v")
     rows = found.limit(limit + 1).collect()
     if len(rows) > limit:
         raise SpecError(f"{column} has more than {limit} values to encode as columns")
-    return [r["v"] for r in rows]
+    values = [r["v"] for r in rows]
+    return values if order is not None else sorted(values, key=lambda s: s.encode("utf-16-be"))

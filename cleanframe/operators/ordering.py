@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cleanframe.functions.cells import col
 from cleanframe.session import small_table, table_schema, written
 
-# Up to this many rows a mapping is broadcast.
+# Up to this many rows, and bytes of keys, a mapping is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # Copies of one row that stay together while sorting, and the table size from
 # which such groups are looked for.
@@ -88,17 +89,17 @@ def number_rows(sorted_df: DataFrame, name: str) -> DataFrame:
 
 
 def lookup(
-    df: DataFrame, keys: list[str], mapping: DataFrame, mapping_rows: int, total: int, result: str
+    df: DataFrame, keys: list[str], mapping: DataFrame, small: bool, total: int, result: str
 ) -> DataFrame:
     """Left join of `df` with `mapping(keys..., n, result)`; NULL keys give NULL.
 
     `n` is how many rows of the fitted table hold the key, `total` their sum. A
-    mapping of bounded size is broadcast. Beyond that, keys above one
+    mapping known to be small is broadcast. Otherwise keys above one
     partition's share (never more of them than partitions) are broadcast and
     only the others are shuffled, so no task receives a hot key.
     """
     spark = df.sparkSession
-    if mapping_rows <= BROADCAST_ROWS:
+    if small:
         return df.join(F.broadcast(mapping.drop("n")), keys, "left")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(mapping.filter(F.col("n") > total / parts))

@@ -36,7 +36,7 @@ class State:
     form: str = "engine"
     order_by: tuple[str, ...] = ()
     group: str | None = None
-    max_categories: int = 10_000
+    max_categories: int = 1_000
     split: bool = False
     sorts: tuple[SortKey, ...] = ()
 
@@ -58,7 +58,7 @@ class State:
         return self.with_df(self.df.withColumn(name, value))
 
     def row_order(self) -> Column | None:
-        """The current row order as one struct that compares ascending."""
+        """The current row order as one column that compares ascending."""
         fields = []
         for s in self.sorts:
             c, dtype = col(s.name), self.dtype(s.name)
@@ -73,6 +73,9 @@ class State:
         fields += [col(o) for o in self.order_by]
         if not self.order_by:
             return None
+        if len(fields) == 1:
+            # A plain column can be aggregated by hashing, a struct only by sorting.
+            return fields[0]
         return F.struct(*[f.alias(f"k{i}") for i, f in enumerate(fields)])
 
 

@@ -18,6 +18,7 @@ from cleanframe.functions.cells import (
     cell_text,
     col,
     is_number,
+    is_text,
     parse_double,
 )
 from cleanframe.operators.quantiles import WEIBULL6, Summary, quantiles
@@ -27,6 +28,10 @@ COLUMNS_PER_JOB = 40
 
 QUARTILES = [0.25, 0.5, 0.75]
 
+# Longer texts are counted by this many leading characters and a digest.
+PREFIX = 64
+_MARK = "\u0000"
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -147,6 +152,12 @@ def quartiles(
     return {(*key[:-1], name_of[key[-1]]): q for key, q in picked.items()}
 
 
+def compact(text: Column) -> Column:
+    """Short texts as they are, long ones as prefix and digest of the whole text."""
+    digest = F.concat(F.substring(text, 1, PREFIX), F.lit(_MARK), F.md5(text))
+    return F.when(F.length(text) > PREFIX, digest).otherwise(text)
+
+
 def value_counts(
     df: DataFrame,
     columns: list[str],
@@ -154,10 +165,11 @@ def value_counts(
     strict: bool = False,
     first: Column | None = None,
 ) -> DataFrame:
-    """Rows `([g,] c, value, n[, first])`: how often each filled cell text occurs.
+    """Rows `([g,] c, value, n[, first])`: how often each filled cell occurs.
 
     All columns share one scan. Counting combines on the map side, so a value
-    that fills a third of a column costs one row per task in the shuffle.
+    that fills a third of a column costs one row per task in the shuffle, and
+    `value` is the compact form, so that whole documents are not shuffled.
     """
     keys = [col(group).alias("g")] if group else []
     extra = [first.alias("first")] if first is not None else []
@@ -165,7 +177,8 @@ def value_counts(
     cells = []
     for name, a in zip(columns, names):
         dtype = df.schema[name].dataType
-        cells.append(cell_text(filled(df, name, strict), dtype).alias(a))
+        text = cell_text(filled(df, name, strict), dtype)
+        cells.append((compact(text) if is_text(dtype) else text).alias(a))
     ids = ["g"] * len(keys) + ["first"] * len(extra)
     long = df.select(*keys, *extra, *cells).unpivot(ids, names, "c", "value")
     aggs = [F.count("*").alias("n")]
@@ -197,6 +210,21 @@ def frequency_summary(
     rows = counts.groupBy(*keys).agg(F.count("*").alias("distinct"), best.alias("best")).collect()
     result = {}
     for r in rows:
-        name = columns[int(r["c"][1:])]
-        result[(r["g"], name) if group else (name,)] = (r["distinct"], r["best"]["value"])
+        name, best = columns[int(r["c"][1:])], r["best"]
+        value = best["value"]
+        if len(value) > PREFIX and value[PREFIX] == _MARK:
+            rest = df.filter(col(group) == r["g"]) if group else df
+            value = _whole_text(rest, name, strict, best, first)
+        result[(r["g"], name) if group else (name,)] = (r["distinct"], value)
     return result
+
+
+def _whole_text(df: DataFrame, name: str, strict: bool, best, first: Column | None) -> str:
+    """The text behind a compact form; texts that tie on their prefix are compared whole."""
+    text = filled(df, name, strict)
+    same = df.filter(F.substring(text, 1, PREFIX) == best["value"][:PREFIX])
+    if first is not None:
+        # Appearance decided already, and the digest names the text.
+        return same.filter(compact(text) == best["value"]).select(F.min(text)).first()[0]
+    counts = same.groupBy(text.alias("value")).agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") == -best["n"]).select(F.min("value")).first()[0]

@@ -55,8 +55,7 @@ class _File:
 
     @property
     def pattern(self) -> str:
-        """The path with characters that globs give a meaning escaped."""
-        return re.sub(r"([\[\]{}*?\\])", r"\\\1", self.path)
+        return readers.literal_path(self.path)
 
 
 class _Report:
@@ -83,7 +82,7 @@ def process(spark: SparkSession, paths: list[str] | str, spec: PipelineSpec, out
     report = _Report()
     ready = []
     for f in _name_outputs(_inspect(spark, _listing(spark, paths, report), report)):
-        warnings = spec.column_warnings(list(f.header))
+        warnings = spec.column_warnings([readers.tidy(h) for h in f.header])
         if warnings:
             report.add(f.path, SKIPPED, message="; ".join(warnings))
         else:
@@ -144,7 +143,7 @@ def _inspect(spark: SparkSession, paths: list[str], report: _Report) -> list[_Fi
     if by_kind["csv"]:
         known = {_plain(f.path): f for f in readers.scan_csv(spark, patterns["csv"])}
         for uri in by_kind["csv"]:
-            if uri in known:
+            if uri in known and known[uri].header:
                 files.append(_File(uri, "csv", known[uri].header, known[uri].multi_line))
             else:
                 report.add(unquote(uri), FAILED, message="The file has no header")

@@ -21,7 +21,7 @@ from cleanframe.operators.ordering import sort_rows
 from cleanframe.operators.quantiles import LINEAR7, WEIBULL6
 from cleanframe.operators.split import split_cut
 from cleanframe.operators.state import HIDDEN, State, Statistics
-from cleanframe.operators.statistics import frequency_summary, moments, quartiles, value_counts
+from cleanframe.operators.statistics import frequency_summary, moments, quartiles
 from cleanframe.plans.spec import Op, PipelineSpec, SpecError, Step, check_pattern
 from cleanframe.session import written
 
@@ -151,12 +151,7 @@ def _categories(state: State, column: str) -> list[str]:
     if state.group:
         raise SpecError("one-hot columns differ per group; run the groups one by one")
     order = state.row_order() if state.strict else None
-    if order is None:
-        return sorted(lenient.category_values(state.df, column, state.max_categories))
-    # First-observed order: the values fit the same bound, sorted by appearance.
-    lenient.category_values(state.df, column, state.max_categories)
-    counts = value_counts(state.df, [column], strict=False, first=order)
-    return [r["value"] for r in counts.orderBy("first", "value").select("value").collect()]
+    return lenient.category_values(state.df, column, state.max_categories, order)
 
 
 def _codes(state: State, column: str):
@@ -243,7 +238,7 @@ def fit(
     order_by: list[str] | str | None = None,
     on_missing: str = "skip",
     split: bool = False,
-    max_categories: int = 10_000,
+    max_categories: int = 1_000,
 ) -> FittedPipeline:
     """Statistics of every step, read off `df`."""
     start, _, segments = _fit_and_run(
@@ -259,7 +254,7 @@ def run(
     order_by: list[str] | str | None = None,
     on_missing: str = "skip",
     split: bool = False,
-    max_categories: int = 10_000,
+    max_categories: int = 1_000,
     group: str | None = None,
 ) -> DataFrame:
     """PL1: the steps in order, with statistics of the table itself.

@@ -6,13 +6,15 @@ stand in their files, also when a file is read in several splits.
 
 from __future__ import annotations
 
-import csv
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cleanframe.functions.cells import blank_to_null, col
+from cleanframe.functions.cells import CONTROLS, blank_to_null, col, trim_controls
 from cleanframe.operators.state import HIDDEN
 from cleanframe.plans.spec import SpecError
 from cleanframe.sources import xlsx
@@ -21,6 +23,7 @@ from cleanframe.sources import xlsx
 cloudpickle.register_pickle_by_value(xlsx)
 
 POSITION = f"{HIDDEN}pos"
+HEADER_JOBS = 16
 FORMATS = ("csv", "xlsx", "json", "parquet")
 
 
@@ -60,6 +63,11 @@ def _cleaned(df: DataFrame, names: list[str], extra: list[Column]) -> DataFrame:
     return df.select(*[blank_to_null(col(n)).alias(n) for n in names], *extra)
 
 
+def tidy(name: str) -> str:
+    """A header without the white space that quotes may have kept."""
+    return name.strip(CONTROLS) or name
+
+
 @dataclass(frozen=True)
 class CsvFile:
     path: str
@@ -67,45 +75,45 @@ class CsvFile:
     multi_line: bool  # a quoted cell spans lines, so the file cannot be split
 
 
-def scan_csv(spark: SparkSession, paths: list[str] | str) -> list[CsvFile]:
-    """Header of every file, and whether any of its cells contains a line break.
+def _odd_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Does a line hold an odd number of quotes?
 
-    In well-formed CSV a record spans lines exactly where a line holds an odd
-    number of quotes, so one pass over the text tells if a file can be split.
+    In well-formed CSV a cell with a line break opens on such a line.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias(
-            "line"
-        ),
-        "value",
-    )
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    # Only lines of a first split can be the header; the first of them wins.
-    first = F.min(F.when(F.col("line").isNotNull(), F.struct("line", "value")))
-    found = (
-        lines.filter(F.length("value") > 0)
-        .groupBy("path")
-        .agg(first.alias("first"), F.max((quotes % 2).cast("int")).alias("odd"))
-        .orderBy("path")
-        .collect()
+    lines = spark.read.text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
+
+
+def csv_header(spark: SparkSession, paths: list[str] | str, multi_line: bool = False) -> list[str]:
+    """Column names of the first file; Spark reads no further than its first row."""
+    reader = spark.read.options(
+        header=True,
+        multiLine=multi_line,
+        escape='"',
+        ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True,
     )
-    files = []
-    for r in found:
-        if r["odd"]:
-            head = spark.read.option("multiLine", True).option("escape", '"')
-            names = head.csv(r["path"], header=True).columns
-        else:
-            names = next(csv.reader([r["first"]["value"].lstrip("﻿")]))
-        files.append(CsvFile(r["path"], tuple(_header_names(names)), bool(r["odd"])))
-    return files
+    return reader.csv(paths).columns
+
+
+def scan_csv(spark: SparkSession, paths: list[str]) -> list[CsvFile]:
+    """Header of every file, and whether it must be read as a whole."""
+    odd = _odd_lines(spark, paths).groupBy("path").agg(F.max(F.col("odd").cast("int")).alias("odd"))
+    flags = {r["path"]: bool(r["odd"]) for r in odd.collect()}
 
+    def inspect(path: str) -> CsvFile:
+        names = csv_header(spark, literal_path(unquote(path)), flags[path])
+        return CsvFile(path, tuple(names), flags[path])
 
-def _header_names(names: list[str]) -> list[str]:
-    """Trimmed names; a repeated name gets its position appended, an empty one `_c`."""
-    trimmed = [n.strip() or f"_c{i}" for i, n in enumerate(names)]
-    folded = [n.lower() for n in trimmed]
-    return [f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(trimmed)]
+    # Headers take one tiny job per file; the pool only overlaps their latency.
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        return list(pool.map(inspect, sorted(flags)))
+
+
+def literal_path(path: str) -> str:
+    """The path with characters that globs give a meaning escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def read_csv(
@@ -117,17 +125,23 @@ def read_csv(
 ) -> DataFrame:
     """Header row, trimmed cells, empty lines skipped, doubled quotes inside quotes.
 
-    Files without line breaks inside cells are read in splits. `short_rows`
-    says what a row shorter than the header does: `null` pads it, `error` raises.
+    Files without line breaks inside cells are read in splits; finding out costs
+    a pass over the text, which `multi_line` saves. Files whose header differs
+    from the first one's raise. `short_rows` says what a row shorter than the
+    header does: `null` pads it, `error` raises.
     """
-    files = scan_csv(spark, paths)
-    if not files:
+    if multi_line is None:
+        multi_line = not _odd_lines(spark, paths).filter("odd").isEmpty()
+    names = csv_header(spark, paths, multi_line)
+    if not names:
         raise SpecError(f"No CSV header found in {paths}")
-    headers = {f.header for f in files}
-    if len(headers) > 1:
-        raise SpecError(f"CSV files differ in their headers: {sorted(headers)}")
-    whole = any(f.multi_line for f in files) if multi_line is None else multi_line
-    return csv_frame(spark, paths, list(headers.pop()), whole, position, short_rows)
+    return csv_frame(spark, paths, names, multi_line, position, short_rows)
+
+
+def _renamed(names: list[str]) -> bool:
+    """Did Spark rename empty or repeated headers? Then files cannot be checked by name."""
+    stems = [n[: -len(str(i))] for i, n in enumerate(names) if n.endswith(str(i))]
+    return "_c" in stems or len(set(stems)) < len(stems)
 
 
 _CORRUPT = f"{HIDDEN}corrupt"
@@ -167,6 +181,7 @@ def csv_frame(
     raw = (
         spark.read.schema(text_schema(names))
         .option("header", True)
+        .option("enforceSchema", _renamed(names))
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
@@ -181,7 +196,9 @@ def csv_frame(
     extra = [file_position().alias(POSITION)] if position else []
     if source:
         extra.append(F.col("_metadata.file_path").alias(source))
-    return _cleaned(raw, names, extra)
+    # Spark trims cells outside quotes only.
+    cells = [blank_to_null(trim_controls(col(n))).alias(tidy(n)) for n in names]
+    return raw.select(*cells, *extra)
 
 
 @dataclass(frozen=True)
@@ -196,7 +213,7 @@ def scan_json(spark: SparkSession, paths: list[str] | str, lines: bool = False)
     text = spark.read.text(paths, wholetext=not lines).select("value", file_position().alias("at"))
     if lines:
         objects = text.filter(F.trim("value") != "").select(
-            "at", F.lit(0).alias("item"), F.col("value").alias("object"), F.lit(True).alias("valid")
+            "at", F.col("at.line").alias("item"), F.col("value").alias("object"), F.lit(True).alias("valid")
         )
     else:
         parsed = text.select("at", F.from_json("value", "array<string>").alias("items"))
@@ -205,12 +222,16 @@ def scan_json(spark: SparkSession, paths: list[str] | str, lines: bool = False)
             F.col("items").isNotNull().alias("valid"),
             F.posexplode_outer("items").alias("item", "object"),
         )
-    keys = objects.select(
-        "at", "item", "valid", F.posexplode_outer(F.json_object_keys("object")).alias("n", "key")
-    )
+    # Objects share few key lists: count those first, and take only them apart.
+    shapes = objects.groupBy(
+        F.col("at.file").alias("path"),
+        F.col("at.block").alias("block"),
+        F.json_object_keys("object").alias("keys"),
+    ).agg(F.min("item").alias("item"), F.min("valid").alias("valid"))
+    keys = shapes.select("path", "block", "item", "valid", F.posexplode_outer("keys").alias("n", "key"))
     found = (
-        keys.groupBy(F.col("at.file").alias("path"), "key")
-        .agg(F.min(F.struct("at", "item", "n")).alias("first"), F.min("valid").alias("valid"))
+        keys.groupBy("path", "key")
+        .agg(F.min(F.struct("block", "item", "n")).alias("first"), F.min("valid").alias("valid"))
         .orderBy("path", "first")
         .collect()
     )
