@@ -85,9 +85,14 @@ _POWERS = f"""{PRICES}, pw AS (SELECT l_orderkey, l_linenumber, v * v * v * v AS
 SELECT l_orderkey, l_linenumber, round(pw.v / 1e12, 3) AS number FROM pw, q
 WHERE pw.v IS NULL OR pw.v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)""")
 def remove_outliers_iqr(spark, sf_dir):
-    df = prices(spark, sf_dir)
-    v = F.col("price").try_cast("double")
-    df = df.withColumn("price", F.coalesce((v * v * v * v).cast("string"), "price"))
+    v = F.col("l_extendedprice")
+    power = (
+        F.when(every("l_orderkey", 11), None)
+        .when(every("l_orderkey", 13), " ")
+        .when(every("l_orderkey", 17), "n/a")
+        .otherwise((v * v * v * v).cast("string"))
+    )
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", power.alias("price"))
     kept = run_steps(df, Step(Op.REMOVE_OUTLIERS_IQR, "price"))
     shown = F.round(F.col("price").try_cast("double") / 1e12, 3)
     return kept.select("l_orderkey", "l_linenumber", shown.alias("number"))

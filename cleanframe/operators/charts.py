@@ -12,8 +12,8 @@ MIN_BINS, MAX_BINS, DEFAULT_BINS = 5, 60, 20
 
 def chart_values(df: DataFrame, column: str) -> DataFrame:
     """The cells of a column that are numbers, as `value`."""
-    v = number(df, column)
-    return df.select(v.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    v = F.nanvl(number(df, column), F.lit(None).cast("double"))
+    return df.select(v.alias("value")).filter(F.col("value").isNotNull())
 
 
 def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame:

@@ -97,11 +97,18 @@ def remove_duplicates(state: State, step: Step, stats: Statistics) -> State:
 
 def remove_outliers(state: State, step: Step, stats: Statistics) -> State:
     """Numeric cells outside the fences go; missing, text and NaN cells stay."""
-    v = parse_double(col(step.column), state.dtype(step.column))
+    c, dtype = col(step.column), state.dtype(step.column)
     q1, q3 = stats.value(step.column, "q1"), stats.value(step.column, "q3")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    inside = F.nanvl(v, q1).between(low, high)
-    return state.with_df(state.df.filter(F.coalesce(inside, F.lit(True))))
+
+    def inside(v: Column) -> Column:
+        return F.coalesce(F.isnan(v) | v.between(low, high), F.lit(True))
+
+    if is_text(dtype):
+        keep = once(c, lambda x: inside(parse_double(x)))
+    else:
+        keep = inside(parse_double(c, dtype))
+    return state.with_df(state.df.filter(keep))
 
 
 def _scale(
@@ -234,7 +241,7 @@ def filter_rows(state: State, step: Step, stats: Statistics) -> State:
     operator, target = step.filter_parts()
     c, dtype = col(step.column), state.dtype(step.column)
     if operator in (">", "<", ">=", "<=") and is_text(dtype):
-        keep = F.exists(F.array(c), lambda x: _compares(parse_double(x), operator, target))
+        keep = once(c, lambda x: _compares(parse_double(x), operator, target))
     elif operator in (">", "<", ">=", "<="):
         keep = _compares(parse_double(c, dtype), operator, target)
     elif operator in ("==", "!="):

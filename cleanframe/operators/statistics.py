@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanframe.functions.cells import (
     FALSE_WORDS,
@@ -17,7 +17,6 @@ from cleanframe.functions.cells import (
     blank_to_null,
     cell_text,
     col,
-    is_number,
     is_text,
     parse_double,
 )
@@ -158,6 +157,13 @@ def compact(text: Column) -> Column:
     return F.when(F.length(text) > PREFIX, digest).otherwise(text)
 
 
+def _kind(dtype: T.DataType) -> str:
+    """The type in which cells of a column are counted."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "string"
+
+
 def value_counts(
     df: DataFrame,
     columns: list[str],
@@ -165,20 +171,25 @@ def value_counts(
     strict: bool = False,
     first: Column | None = None,
 ) -> DataFrame:
-    """Rows `([g,] c, value, n[, first])`: how often each filled cell occurs.
+    """Rows `([g,] c, value, n[, first])`: how often each filled cell of `columns` occurs.
 
-    All columns share one scan. Counting combines on the map side, so a value
-    that fills a third of a column costs one row per task in the shuffle, and
-    `value` is the compact form, so that whole documents are not shuffled.
+    The columns must be of one kind; they share one scan. Counting combines on
+    the map side, so a value that fills a third of a column costs one row per
+    task in the shuffle, and texts are counted in compact form, so that whole
+    documents are not shuffled.
     """
     keys = [col(group).alias("g")] if group else []
     extra = [first.alias("first")] if first is not None else []
     names = [f"c{i}" for i in range(len(columns))]
     cells = []
     for name, a in zip(columns, names):
-        dtype = df.schema[name].dataType
-        text = cell_text(filled(df, name, strict), dtype)
-        cells.append((compact(text) if is_text(dtype) else text).alias(a))
+        dtype, value = df.schema[name].dataType, filled(df, name, strict)
+        kind = _kind(dtype)
+        if kind != "string":
+            value = value.cast(kind)
+        else:
+            value = compact(value) if is_text(dtype) else cell_text(value, dtype)
+        cells.append(value.alias(a))
     ids = ["g"] * len(keys) + ["first"] * len(extra)
     long = df.select(*keys, *extra, *cells).unpivot(ids, names, "c", "value")
     aggs = [F.count("*").alias("n")]
@@ -196,26 +207,27 @@ def frequency_summary(
     strict: bool = False,
     first: Column | None = None,
 ) -> dict[tuple, tuple[int, str | None]]:
-    """A3-A5: distinct filled texts and most frequent one, per column.
+    """A3-A5: distinct filled cells and the text of the most frequent one, per column.
 
     Ties go to the first appearance where `first` gives an order, else to the
-    smallest value, numbers by size.
+    smallest value.
     """
-    counts = value_counts(df, columns, group, strict, first)
-    by_size = [f"c{i}" for i, n in enumerate(columns) if is_number(df.schema[n].dataType)]
-    size = F.when(F.col("c").isin(by_size), F.col("value").try_cast("double"))
-    order = [F.col("first")] if first is not None else []
-    best = F.min(F.struct((-F.col("n")).alias("n"), *order, size.alias("size"), "value"))
-    keys = ["g", "c"] if group else ["c"]
-    rows = counts.groupBy(*keys).agg(F.count("*").alias("distinct"), best.alias("best")).collect()
     result = {}
-    for r in rows:
-        name, best = columns[int(r["c"][1:])], r["best"]
-        value = best["value"]
-        if len(value) > PREFIX and value[PREFIX] == _MARK:
-            rest = df.filter(col(group) == r["g"]) if group else df
-            value = _whole_text(rest, name, strict, best, first)
-        result[(r["g"], name) if group else (name,)] = (r["distinct"], value)
+    kinds = {name: _kind(df.schema[name].dataType) for name in columns}
+    for kind in dict.fromkeys(kinds.values()):
+        chunk = [c for c in columns if kinds[c] == kind]
+        counts = value_counts(df, chunk, group, strict, first)
+        order = [F.col("first")] if first is not None else []
+        best = F.min(F.struct((-F.col("n")).alias("n"), *order, "value")).alias("best")
+        keys = ["g", "c"] if group else ["c"]
+        found = counts.groupBy(*keys).agg(F.count("*").alias("distinct"), best)
+        shown = found.withColumn("text", F.col("best.value").cast("string"))
+        for r in shown.collect():
+            name, value = chunk[int(r["c"][1:])], r["text"]
+            if kind == "string" and value[PREFIX : PREFIX + 1] == _MARK:
+                rest = df.filter(col(group) == r["g"]) if group else df
+                value = _whole_text(rest, name, strict, r["best"], first)
+            result[(r["g"], name) if group else (name,)] = (r["distinct"], value)
     return result
 
 
