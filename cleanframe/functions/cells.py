@@ -9,7 +9,6 @@ therefore bound with `once`.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -17,8 +16,12 @@ from pyspark.sql import Column, functions as F, types as T
 TRUE_WORDS = ["true", "1", "yes", "y"]
 FALSE_WORDS = ["false", "0", "no", "n"]
 
-# How non-finite doubles are written; other spellings are text.
-_NON_FINITE = r"^[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*$"
+# How a double may be written, white space around it included.
+_DECIMAL = r"(?:\d++(?:\.\d*+)?|\.\d++)(?:[eE][+-]?\d++)?"
+_HEX = r"0[xX](?:[0-9a-fA-F]++\.?[0-9a-fA-F]*+|\.[0-9a-fA-F]++)[pP][+-]?\d++"
+_DOUBLE = (
+    r"\A[\x00-\x20]*+[+-]?(?:NaN|Infinity|(?:" + _HEX + "|" + _DECIMAL + r")[fFdD]?)[\x00-\x20]*+\z"
+)
 
 # The characters that trimming removes.
 CONTROLS = "".join(chr(i) for i in range(0x21))
@@ -62,23 +65,17 @@ def blank_to_null(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     return F.when(is_filled(c), c)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def parse_double(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     """the cell as a double, NULL where the text is no number.
 
-    `try_cast` also reads words such as `inf` in any case; only the exact
-    spellings `Infinity` and `NaN` count as numbers here. All such words hold
-    an n, so few cells meet the pattern.
+    The pattern comes first because `try_cast` also reads words such as `inf`,
+    and because it pays for every text that is no number with an exception.
     """
     if is_number(dtype):
         return c.cast("double")
     if not is_text(dtype):
         return F.lit(None).cast("double")
-    no_word = ~(F.contains(c, F.lit("n")) | F.contains(c, F.lit("N")))
-    return F.when(no_word | c.rlike(_NON_FINITE), c.try_cast("double"))
+    return F.when(c.rlike(_DOUBLE), c.try_cast("double"))
 
 
 def format_double(d: Column) -> Column:

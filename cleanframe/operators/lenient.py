@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanframe.functions.cells import (
-    any_of,
     as_boolean,
     as_long,
     blank_to_null,
@@ -34,13 +33,18 @@ from cleanframe.functions.cells import (
 from cleanframe.operators.labels import encode
 from cleanframe.operators.split import mark_split
 from cleanframe.operators.state import HIDDEN, SortKey, State, Statistics
-from cleanframe.plans.spec import Op, SpecError, Step
+from cleanframe.plans.spec import Op, SpecError, Step, numeric_literal
 
 
 def drop_missing_rows(state: State, step: Step, stats: Statistics) -> State:
     """E1"""
-    blank = any_of([is_blank(col(c), state.dtype(c)) for c in state.columns])
-    return state.with_df(state.df.filter(~blank))
+    df = state.df
+    for c in state.columns:
+        # The NULL test alone reaches the file scan.
+        df = df.filter(col(c).isNotNull())
+        if is_text(state.dtype(c)):
+            df = df.filter(is_filled(col(c)))
+    return state.with_df(df)
 
 
 def _fill_number(field: str):
@@ -101,14 +105,18 @@ def remove_outliers(state: State, step: Step, stats: Statistics) -> State:
     q1, q3 = stats.value(step.column, "q1"), stats.value(step.column, "q3")
     low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
 
+    if not is_text(dtype):
+        # Plain comparisons, which reach the file scan; NaN lies above infinity.
+        v = col(step.column) if is_number(dtype) else parse_double(c, dtype)
+        outside = (v < low) | ((v > high) & (v <= float("inf")))
+        if not state.group and stats.raw(step.column, "q1") is None:
+            return state
+        return state.with_df(state.df.filter(v.isNull() | low.isNull() | ~outside))
+
     def inside(v: Column) -> Column:
         return F.coalesce(F.isnan(v) | v.between(low, high), F.lit(True))
 
-    if is_text(dtype):
-        keep = once(c, lambda x: inside(parse_double(x)))
-    else:
-        keep = inside(parse_double(c, dtype))
-    return state.with_df(state.df.filter(keep))
+    return state.with_df(state.df.filter(once(once(c, parse_double), inside)))
 
 
 def _scale(
@@ -240,21 +248,41 @@ def filter_rows(state: State, step: Step, stats: Statistics) -> State:
     """Rows whose cell is missing stay."""
     operator, target = step.filter_parts()
     c, dtype = col(step.column), state.dtype(step.column)
-    if operator in (">", "<", ">=", "<=") and is_text(dtype):
-        keep = once(c, lambda x: _compares(parse_double(x), operator, target))
-    elif operator in (">", "<", ">=", "<="):
-        keep = _compares(parse_double(c, dtype), operator, target)
+    literal = numeric_literal(target)
+    if operator not in (">", "<", ">=", "<=", "==", "!=", "contains"):
+        return state
+    if operator == "contains":
+        keep = is_blank(c, dtype) | contains_ignore_case(cell_text(c, dtype), target)
+    elif is_number(dtype) and literal is not None:
+        # Plain comparisons, which reach the file scan.
+        keep = c.isNull() | _typed_comparison(c, dtype, operator, literal)
     elif operator in ("==", "!="):
         value = F.lit(target) if is_text(dtype) else F.lit(target).try_cast(dtype)
         same = F.coalesce(c == value, F.lit(False))
         keep = is_blank(c, dtype) | (same if operator == "==" else ~same)
-    elif operator == "contains":
-        keep = is_blank(c, dtype) | contains_ignore_case(cell_text(c, dtype), target)
     else:
-        return state
+        v = once(c, parse_double) if is_text(dtype) else parse_double(c, dtype)
+        keep = once(v, lambda x: _compares(x, operator, target))
     return state.with_df(state.df.filter(keep))
 
 
+def _typed_comparison(
+    c: Column, dtype: T.DataType, operator: str, value: int | float
+) -> Column:
+    compared = {
+        ">": c > value,
+        "<": c < value,
+        ">=": c >= value,
+        "<=": c <= value,
+        "==": c == value,
+        "!=": c != value,
+    }[operator]
+    if operator in (">", ">=") and isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # NaN lies above infinity, and a comparison with NaN is false here.
+        return compared & (c <= float("inf"))
+    return compared
+
+
 def _compares(v: Column, operator: str, target: str) -> Column:
     """Numeric comparison; cells (or a target) that are no numbers count as matching."""
     t = parse_double(F.lit(target))

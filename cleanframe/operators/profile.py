@@ -59,7 +59,7 @@ def profile(
     shuffle of all distinct values; the most frequent value is then left out.
     """
     columns = columns or df.columns
-    stats = moments(df, columns)
+    stats = moments(df, columns, words=True)
     numeric = [c for c in columns if stats[c,].n]
     quarts = quartiles(df, numeric, stats, method) if numeric else {}
     common: dict[tuple, tuple[int, str | None]] = {}

@@ -71,9 +71,16 @@ def filled(df: DataFrame, name: str, strict: bool = False) -> Column:
 
 
 def moments(
-    df: DataFrame, columns: list[str], group: str | None = None, strict: bool = False
+    df: DataFrame,
+    columns: list[str],
+    group: str | None = None,
+    strict: bool = False,
+    words: bool = False,
 ) -> dict[tuple, Moments]:
-    """A1 and the counts of P1/P2, all columns of a chunk in one aggregation."""
+    """A1 and the counts of P1/P2, all columns of a chunk in one aggregation.
+
+    Boolean words are looked for in text columns, and only if `words` asks for it.
+    """
     result: dict[tuple, Moments] = {}
     for start in range(0, len(columns), COLUMNS_PER_JOB):
         chunk = columns[start : start + COLUMNS_PER_JOB]
@@ -82,8 +89,7 @@ def moments(
             dtype = df.schema[name].dataType
             cells.append(number(df, name, strict).alias(f"v{i}"))
             cells.append(filled(df, name, strict).isNotNull().alias(f"f{i}"))
-            word = F.lower(cell_text(col(name), dtype)).isin(TRUE_WORDS + FALSE_WORDS)
-            cells.append(F.coalesce(word, F.lit(False)).alias(f"w{i}"))
+            cells.append(_is_other_word(col(name), dtype, words).alias(f"w{i}"))
         keys = [col(group).alias("g")] if group else []
         aggs = [F.count("*").alias("rows")]
         for i in range(len(chunk)):
@@ -99,7 +105,7 @@ def moments(
                 .alias(f"sd{i}"),
                 F.min(real).alias(f"low{i}"),
                 F.max(real).alias(f"high{i}"),
-                F.count_if(F.col(f"f{i}") & ~F.col(f"w{i}")).alias(f"other{i}"),
+                F.count_if(F.col(f"f{i}") & F.col(f"w{i}")).alias(f"other{i}"),
             ]
         cells = df.select(*keys, *cells)
         rows = (cells.groupBy("g").agg(*aggs) if group else cells.agg(*aggs)).collect()
@@ -120,6 +126,13 @@ def moments(
     return result
 
 
+def _is_other_word(c: Column, dtype: T.DataType, words: bool) -> Column:
+    """Does the cell hold anything but a boolean word?"""
+    if not words or not is_text(dtype):
+        return F.lit(not isinstance(dtype, T.BooleanType))
+    return ~F.coalesce(F.lower(c).isin(TRUE_WORDS + FALSE_WORDS), F.lit(False))
+
+
 def long_numbers(
     df: DataFrame, columns: list[str], group: str | None = None, strict: bool = False
 ) -> DataFrame:

@@ -9,7 +9,9 @@ NUMBERS = {
     "1e3": 1000.0, " 5 ": 5.0, "\t7\n": 7.0, "1d": 1.0, "1f": 1.0, "0x1p3": 8.0, ".5": 0.5, "+5": 5.0,
     "-0.0": -0.0, "1e999": math.inf, "Infinity": math.inf, "-Infinity": -math.inf, "NaN": math.nan,
     " NaN ": math.nan, "nan": None, "inf": None, "infinity": None, "abc": None, "1_0": None, "": None,
-    "12,5": None, "n1": None, "InfinityNaN": None,
+    "12,5": None, "n1": None, "InfinityNaN": None, "5.": 5.0, ".": None, "1e": None, "0x.8p1": 1.0, "0x1": None,
+    "-1.5e-3": -0.0015, "1 2": None, "--1": None, "1.2.3": None, "+Infinity": math.inf, "-NaN": math.nan,
+    "0x1.8p0": 1.5, "0x1.p1d": 2.0, "9" * 400: math.inf, "1" * 5000 + "x": None, "\u0661": None, "1\u00a0": None,
 }
 
 

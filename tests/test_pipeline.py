@@ -318,3 +318,51 @@ def test_odd_column_names(spark):
     got = run_steps(df, *steps)
     assert got.columns == ["a.b c", "q`t_a"] and [tuple(r) for r in got.collect()] == [(1.0, 1), (0.0, 1)]
     assert math.isclose(got.agg(F.sum("`a.b c`")).first()[0], 1.0)
+
+
+PUSHED = [
+    (Step.filter("l_quantity", ">", "10"), "engine", "Or(IsNull(l_quantity),And(GreaterThan(l_quantity,10.0)"),
+    (Step.filter("l_orderkey", "!=", "3"), "engine", "Or(IsNull(l_orderkey),Not(EqualTo(l_orderkey,3)))"),
+    (Step(Op.DROP_MISSING_ROWS), "engine", "IsNotNull(l_discount)"),
+    (Step(Op.REMOVE_OUTLIERS_IQR, "l_quantity"), "engine", "Or(Or(IsNull(l_quantity)"),
+    (Step(Op.REMOVE_OUTLIERS_IQR, "l_quantity"), "sql", "GreaterThanOrEqual(l_quantity"),
+    (Step.filter("l_returnflag", "==", "A"), "sql", "EqualTo(l_returnflag,A)"),
+]
+
+
+@pytest.mark.parametrize("step, form, pushed", PUSHED)
+def test_filters_reach_the_file_scan(spark, step, form, pushed):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = run_steps(df, step, form=form)._jdf.queryExecution().executedPlan().toString()
+    line = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert pushed in line, line
+    assert "Exchange" not in plan
+
+
+def test_typed_filter_against_brute_force(spark):
+    values = [1.0, 10.0, 10.5, float("nan"), float("inf"), float("-inf"), None]
+    df = frame(spark, [(v,) for v in values], "x double")
+
+    def keeps(v, operator, t):
+        if v is None:
+            return True
+        return {">": v > t, "<": v < t, ">=": v >= t, "<=": v <= t, "==": v == t, "!=": v != t}[operator]
+
+    for operator in (">", "<", ">=", "<=", "==", "!="):
+        got = [r["x"] for r in run_steps(df, Step.filter("x", operator, "10")).collect()]
+        assert sorted(map(str, got)) == sorted(str(v) for v in values if keeps(v, operator, 10.0))
+    spread = frame(spark, [(float(i % 10),) for i in range(100)] + [(1e9,), (float("nan"),), (None,)], "x double")
+    left = run_steps(spread, Step(Op.REMOVE_OUTLIERS_IQR, "x"))
+    assert left.count() == 102 and left.filter("x = 1e9").count() == 0
+
+
+def test_chains_on_one_text_column_stay_small(spark):
+    """Every step mentions its input once or twice, so that pushed filters stay compact."""
+    rows = people(spark)
+    df = frame(spark, rows, SCHEMA)
+    steps = [Step(Op.FILL_MISSING_MEAN, "age"), Step(Op.NORMALIZE_ZSCORE, "age")]
+    steps += [Step(Op.NORMALIZE_ROBUST, "age"), Step.filter("age", "<", "2"), Step(Op.NORMALIZE_MINMAX, "age")]
+    got = run_steps(df, *steps, Step.filter("age", ">", "0.25"))
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    assert got.filter("age = 'old'").count() > 0
