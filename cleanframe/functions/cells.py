@@ -37,7 +37,7 @@ def col(name: str) -> Column:
 
 def once(c: Column, f: Callable[[Column], Column]) -> Column:
     """`f(c)` with `c` evaluated a single time per row, however often `f` mentions it."""
-    return F.transform(F.array(c), f)[0]
+    return F.transform(F.array(c), lambda x: f(x))[0]
 
 
 def is_text(dtype: T.DataType) -> bool:

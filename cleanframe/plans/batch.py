@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cleanframe.functions.cells import col
 from cleanframe.operators.state import HIDDEN
-from cleanframe.plans.pipeline import run
+from cleanframe.plans.pipeline import reads_statistics, run
 from cleanframe.plans.spec import Op, PipelineSpec, SpecError
 from cleanframe.session import small_table, table_schema, written
 from cleanframe.sources import readers
@@ -229,6 +229,10 @@ def _clean(
     same_path = F.regexp_replace(col(_SOURCE), "^file:/+", "file:/") == F.col("path")
     table = table.join(F.broadcast(names), same_path).drop("path", _SOURCE)
 
+    if reads_statistics(spec):
+        # Parse the files once; statistics then read single columns.
+        table = written(table, "batch")
+
     if len(files) == 1:
         cleaned = run(table.drop(group), spec, order_by=order).withColumn(group, F.lit(files[0].name))
     else:

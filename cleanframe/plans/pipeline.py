@@ -42,6 +42,12 @@ _CHANGES_COLUMNS = {Op.ONE_HOT_ENCODE, Op.TRAIN_TEST_SPLIT}
 _SHUFFLES = {Op.REMOVE_DUPLICATES, Op.LABEL_ENCODE}
 
 
+def reads_statistics(spec: PipelineSpec) -> bool:
+    """Does fitting the pipeline scan its input?"""
+    fitting = (Op.LABEL_ENCODE, Op.ONE_HOT_ENCODE, Op.SORT_COLUMN)
+    return any(s.operation in _SCALAR_NEEDS or s.operation in fitting for s in spec.steps)
+
+
 @dataclass(frozen=True)
 class _Needs:
     """What a step must know: scalars of its column, and larger fitted objects."""

@@ -324,7 +324,7 @@ PUSHED = [
     (Step.filter("l_quantity", ">", "10"), "engine", "Or(IsNull(l_quantity),And(GreaterThan(l_quantity,10.0)"),
     (Step.filter("l_orderkey", "!=", "3"), "engine", "Or(IsNull(l_orderkey),Not(EqualTo(l_orderkey,3)))"),
     (Step(Op.DROP_MISSING_ROWS), "engine", "IsNotNull(l_discount)"),
-    (Step(Op.REMOVE_OUTLIERS_IQR, "l_quantity"), "engine", "Or(Or(IsNull(l_quantity)"),
+    (Step(Op.REMOVE_OUTLIERS_IQR, "l_quantity"), "engine", "GreaterThanOrEqual(l_quantity,-24.5)"),
     (Step(Op.REMOVE_OUTLIERS_IQR, "l_quantity"), "sql", "GreaterThanOrEqual(l_quantity"),
     (Step.filter("l_returnflag", "==", "A"), "sql", "EqualTo(l_returnflag,A)"),
 ]
