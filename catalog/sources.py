@@ -88,10 +88,26 @@ def json_arrays(spark, sf_dir):
 def json_lines(spark, sf_dir):
     path = scratch_path(spark, "events.json")
     table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").write.json(path)
-    df = readers.read_json(spark, path, lines=True)
+    df = readers.read_json(spark, path)
     return df.withColumn("event_id", F.col("event_id").cast("bigint"))
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, md5(text) AS digest
+  FROM conversations""")
+def json_pretty_arrays(spark, sf_dir):
+    """Objects that span lines: such a file is read as a whole."""
+    path = scratch_path(spark, "conversations.json")
+    shown = F.to_json(F.struct("conv_id", "turn", "text"), {"pretty": "true"})
+    objects = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / PER_FILE).alias("file"), shown.alias("o")
+    )
+    arrays = objects.groupBy("file").agg(F.concat_ws(",\n", F.collect_list("o")).alias("body"))
+    array = F.concat(F.lit("["), "body", F.lit("]")).alias("value")
+    arrays.select(array, "file").repartition("file").write.partitionBy("file").text(path)
+    back = readers.read_json(spark, f"{path}/*/*")
+    return back.select("conv_id", "turn", F.md5("text").alias("digest"))
+
+
 def _workbook(rows) -> bytes:
     """A minimal workbook with inline texts, numbers and booleans."""
 

@@ -151,7 +151,7 @@ def _inspect(spark: SparkSession, paths: list[str], report: _Report) -> list[_Fi
         known = {_plain(f.path): f for f in readers.scan_json(spark, patterns["json"])}
         for uri in by_kind["json"]:
             if uri in known and known[uri].valid:
-                files.append(_File(uri, "json", known[uri].header, True))
+                files.append(_File(uri, "json", known[uri].header, known[uri].whole))
             else:
                 report.add(unquote(uri), FAILED, message="The file is no JSON array of objects")
     if by_kind["xlsx"]:
@@ -189,7 +189,7 @@ def _load(spark: SparkSession, files: list[_File], position: bool) -> DataFrame:
             spark, paths, names, first.whole, position, short_rows="error", source=_SOURCE
         )
     if first.kind == "json":
-        return readers.json_frame(spark, paths, names, position=position, source=_SOURCE)
+        return readers.json_frame(spark, paths, names, first.whole, position, _SOURCE)
     return readers.xlsx_frame(spark, paths, names, position, source=_SOURCE)
 
 

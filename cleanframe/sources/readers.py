@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import unquote
 
 from pyspark import cloudpickle
@@ -59,10 +60,6 @@ def file_position() -> Column:
     )
 
 
-def _cleaned(df: DataFrame, names: list[str], extra: list[Column]) -> DataFrame:
-    return df.select(*[blank_to_null(col(n)).alias(n) for n in names], *extra)
-
-
 def tidy(name: str) -> str:
     """A header without the white space that quotes may have kept."""
     return name.strip(CONTROLS) or name
@@ -205,82 +202,126 @@ def csv_frame(
 class JsonFile:
     path: str
     header: tuple[str, ...]
+    whole: bool  # objects span lines, so the file cannot be split
     valid: bool
 
 
-def scan_json(spark: SparkSession, paths: list[str] | str, lines: bool = False) -> list[JsonFile]:
-    """Object keys of every file in the order of their first appearance."""
-    text = spark.read.text(paths, wholetext=not lines).select("value", file_position().alias("at"))
-    if lines:
-        objects = text.filter(F.trim("value") != "").select(
-            "at", F.col("at.line").alias("item"), F.col("value").alias("object"), F.lit(True).alias("valid")
-        )
-    else:
+def _json_objects(spark: SparkSession, paths: list[str] | str, whole: bool) -> DataFrame:
+    """Rows `(at, item, object, line)`: the objects of every file as JSON text.
+
+    With `whole` a file is one JSON array. Otherwise every line holds an object
+    or nothing, and may add the brackets and commas of an array around them.
+    """
+    text = spark.read.text(paths, wholetext=whole).select("value", file_position().alias("at"))
+    if whole:
         parsed = text.select("at", F.from_json("value", "array<string>").alias("items"))
-        objects = parsed.select(
-            "at",
-            F.col("items").isNotNull().alias("valid"),
-            F.posexplode_outer("items").alias("item", "object"),
+        return parsed.select(
+            "at", F.posexplode_outer("items").alias("item", "object"), F.lit(None).cast("string").alias("line")
         )
+    line = trim_controls(F.col("value"))
+    inner = F.regexp_replace(F.regexp_replace(line, r"\A\[", ""), r"[,\]]\z", "")
+    return text.select("at", F.col("at.line").alias("item"), trim_controls(inner).alias("object"), line.alias("line"))
+
+
+def scan_json(spark: SparkSession, paths: list[str]) -> list[JsonFile]:
+    """Object keys of every file in the order of their first appearance.
+
+    Files with an object per line, bracketed as an array or not, are recognised
+    in a pass over their lines; only the others are scanned as a whole.
+    """
+    by_line = _json_shapes(_json_objects(spark, paths, whole=False), by_line=True)
+    rest = [literal_path(unquote(f.path)) for f in by_line if not f.valid]
+    if not rest:
+        return by_line
+    whole = _json_shapes(_json_objects(spark, rest, whole=True), by_line=False)
+    return [*[f for f in by_line if f.valid], *whole]
+
+
+def _json_shapes(objects: DataFrame, by_line: bool) -> list[JsonFile]:
+    present = F.coalesce(F.length("object") > 0, F.lit(False))
+    one = F.json_array_length(F.concat(F.lit("["), "object", F.lit("]"))) == 1
+    keys = F.when(one, F.json_object_keys("object"))
+    line = F.col("line")
+    counted = {
+        "objects": present,
+        "bad": present & keys.isNull(),
+        "open": line.startswith("["),
+        "close": line.endswith("]") | line.endswith("],"),
+        "comma": line.endswith(","),
+        "missing": F.col("object").isNull(),
+    }
     # Objects share few key lists: count those first, and take only them apart.
     shapes = objects.groupBy(
-        F.col("at.file").alias("path"),
-        F.col("at.block").alias("block"),
-        F.json_object_keys("object").alias("keys"),
-    ).agg(F.min("item").alias("item"), F.min("valid").alias("valid"))
-    keys = shapes.select("path", "block", "item", "valid", F.posexplode_outer("keys").alias("n", "key"))
+        F.col("at.file").alias("path"), F.col("at.block").alias("block"), keys.alias("keys")
+    ).agg(F.min("item").alias("item"), *[F.count_if(c).alias(n) for n, c in counted.items()])
+    parts = shapes.select(
+        "path", "block", "item", *counted, F.posexplode_outer("keys").alias("n", "key")
+    )
+    once_per_shape = F.coalesce("n", F.lit(0)) == 0
     found = (
-        keys.groupBy("path", "key")
-        .agg(F.min(F.struct("block", "item", "n")).alias("first"), F.min("valid").alias("valid"))
+        parts.groupBy("path", "key")
+        .agg(
+            F.min(F.struct("block", "item", "n")).alias("first"),
+            *[F.sum(F.when(once_per_shape, F.col(n)).otherwise(0)).alias(n) for n in counted],
+        )
         .orderBy("path", "first")
         .collect()
     )
-    header: dict[str, list[str]] = {}
-    valid: dict[str, bool] = {}
-    for r in found:
-        names = header.setdefault(r["path"], [])
-        if r["key"] is not None:
-            names.append(r["key"])
-        valid[r["path"]] = valid.get(r["path"], True) and r["valid"]
-    return [JsonFile(p, tuple(h), valid[p]) for p, h in header.items()]
-
-
-def read_json(
-    spark: SparkSession, paths: list[str] | str, lines: bool = False, position: bool = False
-) -> DataFrame:
-    """S3: an array of objects per file (or one object per line).
+    files = []
+    for path, rows in groupby(found, key=lambda r: r["path"]):
+        rows = list(rows)
+        total = {n: sum(r[n] for r in rows) for n in counted}
+        if by_line:
+            array = total["open"] == total["close"] == 1 and total["comma"] == max(total["objects"] - 1, 0)
+            bare = total["open"] == total["close"] == total["comma"] == 0 < total["objects"]
+            valid = total["bad"] == 0 and (array or bare)
+        else:
+            # An empty array has one missing object, as has a file that does not parse.
+            valid = total["bad"] == 0 and total["missing"] == 0
+        names = tuple(r["key"] for r in rows if r["key"] is not None)
+        files.append(JsonFile(path, names, not by_line, valid))
+    return files
+
+
+def read_json(spark: SparkSession, paths: list[str] | str, position: bool = False) -> DataFrame:
+    """S3: an array of objects per file, or one object per line.
 
     Columns are the union of all keys, in the order of their first appearance.
     """
-    files = scan_json(spark, paths, lines)
+    files = scan_json(spark, paths)
     broken = [f.path for f in files if not f.valid]
     if broken:
         raise SpecError(f"Not a JSON array of objects: {broken}")
     names = list(dict.fromkeys(k for f in files for k in f.header))
-    return json_frame(spark, paths, names, lines, position)
+    if not any(f.whole for f in files):
+        return json_frame(spark, paths, names, False, position)
+    # Files of both kinds are read each in its own way.
+    kinds = {whole: [literal_path(unquote(f.path)) for f in files if f.whole is whole] for whole in (True, False)}
+    frames = [json_frame(spark, ps, names, whole, position) for whole, ps in kinds.items() if ps]
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def json_frame(
     spark: SparkSession,
     paths: list[str] | str,
     names: list[str],
-    lines: bool = False,
+    whole: bool,
     position: bool = False,
     source: str | None = None,
 ) -> DataFrame:
+    """JSON files with the keys `names`; nested values arrive as JSON text."""
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    # Nested values arrive as their JSON text, numbers as written.
-    raw = (
-        spark.read.schema(text_schema(names))
-        .option("multiLine", not lines)
-        .option("mode", "FAILFAST")
-        .json(paths)
-    )
-    extra = [file_position().alias(POSITION)] if position else []
+    objects = _json_objects(spark, paths, whole).filter(F.length("object") > 0)
+    parsed = F.from_json("object", text_schema(names), {"mode": "FAILFAST"})
+    rows = objects.select("at", "item", parsed.alias("o"))
+    cells = [blank_to_null(F.col("o").getField(n)).alias(n) for n in names]
+    if position:
+        line = F.col("item").cast("bigint").alias("line")
+        cells.append(F.struct("at.file", "at.block", line).alias(POSITION))
     if source:
-        extra.append(F.col("_metadata.file_path").alias(source))
-    return _cleaned(raw, names, extra)
+        cells.append(F.col("at.file").alias(source))
+    return rows.select(*cells)
 
 
 def read_xlsx(

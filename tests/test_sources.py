@@ -84,23 +84,56 @@ def test_tsv(spark, tmp_path):
     assert next((tmp_path / "out").glob("*.csv")).read_text() == 'x\ty z\tw\na b  c\t"q"\t\n'
 
 
-def test_json_columns_in_order_of_appearance(spark, tmp_path):
-    doc = '[{"z": 1, "a": 4.50}, {"a": null, "m": {"k": [1, 2]}, "z": true}, {"b": " "}]'
-    df = readers.read_table(spark, write(tmp_path / "a.json", doc))
-    assert df.columns == ["z", "a", "m", "b"]
-    assert rows(df) == [
-        ("1", "4.50", None, None), ("true", None, '{"k": [1, 2]}', None), (None, None, None, None),
-    ]
-    lines = "\n".join(json.dumps(o) for o in [{"q": 1}, {"b": 2, "q": 3}])
-    df = readers.read_json(spark, write(tmp_path / "l.json", lines), lines=True)
-    assert df.columns == ["q", "b"] and rows(df) == [("1", None), ("3", "2")]
+OBJECTS = ['{"z": 1, "a": 4.50}', '{"a": null, "m": {"k": [1, 2]}, "z": true}', '{"b": " "}']
+LAYOUTS = {
+    "compact": "[" + ", ".join(OBJECTS) + "]",
+    "indented": json.dumps([json.loads(o) for o in OBJECTS], indent=2).replace("4.5", "4.50"),
+    "array of lines": "[\n  " + ",\r\n  ".join(OBJECTS) + "\n]\n",
+    "brackets on object lines": "[" + ",\n".join(OBJECTS) + "]",
+    "bare lines": "\n\n".join(OBJECTS) + "\n",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_json_columns_in_order_of_appearance(spark, tmp_path, layout):
+    path = write(tmp_path / "a.json", LAYOUTS[layout])
+    df = readers.read_table(spark, path, position=True)
+    assert df.columns == ["z", "a", "m", "b", readers.POSITION]
+    got = rows(df.orderBy(readers.POSITION).drop(readers.POSITION))
+    nested = got[1][2]
+    assert json.loads(nested) == {"k": [1, 2]}
+    assert got == [("1", "4.5", None, None), ("true", None, nested, None), (None, None, None, None)]
+    assert readers.scan_json(spark, [path])[0].whole == (layout in ("compact", "indented"))
+
+
+def test_json_files_of_both_kinds(spark, tmp_path):
+    write(tmp_path / "a.json", '[{"q": 1}, {"b": 2}]')
+    write(tmp_path / "b.json", '{"b": 3}\n{"c": 4}\n')
+    df = readers.read_json(spark, str(tmp_path / "*.json"))
+    assert sorted(df.columns) == ["b", "c", "q"]
+    assert sorted(map(str, rows(df.select("q", "b", "c")))) == sorted(
+        map(str, [("1", None, None), (None, "2", None), (None, "3", None), (None, None, "4")])
+    )
+
+
+def test_json_keys_may_have_any_name(spark, tmp_path):
+    path = write(tmp_path / "a.json", '[{"at": 1, "item": 2, "o.x": "3", "line`": 9007199254740993}]')
+    df = readers.read_json(spark, path)
+    assert df.columns == ["at", "item", "o.x", "line`"]
+    assert rows(df) == [("1", "2", "3", "9007199254740993")]
 
 
 def test_json_without_objects(spark, tmp_path):
     df = readers.read_json(spark, write(tmp_path / "e.json", "[]"))
     assert df.columns == [] and df.count() == 0
+
+
+@pytest.mark.parametrize(
+    "text", ['[{"a": ', '[{"a": 1},', '[{"a": 1}\n{"a": 2}]', '{"a": 1},\n{"a": 2}', "[1, 2]", "x", '[{"a": 1}, 2]']
+)
+def test_broken_json(spark, tmp_path, text):
     with pytest.raises(SpecError):
-        readers.read_json(spark, write(tmp_path / "b.json", '[{"a": '))
+        readers.read_json(spark, write(tmp_path / "b.json", text))
 
 
 @pytest.mark.parametrize("name", ["data", "data.txt", "data.xls"])
