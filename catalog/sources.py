@@ -138,7 +138,7 @@ def _workbook(rows) -> bytes:
     return out.getvalue()
 
 
-def _workbook_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _workbook_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [
         (int(k), float(t), p, s == "F")
         for k, t, p, s in zip(

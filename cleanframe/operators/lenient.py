@@ -87,14 +87,13 @@ def remove_duplicates(state: State, step: Step, stats: Statistics) -> State:
     if not hidden:
         return state.with_df(df.dropDuplicates())
     order = state.row_order()
-    payload = F.struct(*[col(h) for h in hidden])
-    first = F.min(F.struct(order, payload) if order is not None else F.struct(payload))
-    kept = df.groupBy(*[col(c) for c in [*group, *columns]]).agg(first.alias(f"{HIDDEN}first"))
-    part = "col2" if order is not None else "col1"
+    payload = F.struct(*[col(h) for h in hidden]).alias("payload")
+    first = F.struct(payload) if order is None else F.struct(order.alias("order"), payload)
+    kept = df.groupBy(*[col(c) for c in [*group, *columns]]).agg(F.min(first).alias(f"{HIDDEN}first"))
     return state.with_df(
         kept.select(
             *[col(c) for c in [*group, *columns]],
-            *[F.col(f"{HIDDEN}first")[part][h].alias(h) for h in hidden],
+            *[F.col(f"{HIDDEN}first")["payload"][h].alias(h) for h in hidden],
         )
     )
 

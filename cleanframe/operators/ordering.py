@@ -23,16 +23,22 @@ def row_digest(columns: list[str]) -> Column:
     return F.xxhash64(*[col(c) for c in columns])
 
 
-def sort_rows(df: DataFrame, keys: list[Column], tiebreak: list[Column] | None = None) -> DataFrame:
+def sort_rows(
+    df: DataFrame,
+    keys: list[Column],
+    tiebreak: list[Column] | None = None,
+    distinct_rows: bool = False,
+) -> DataFrame:
     """Sort by `keys`; equal keys are ordered by `tiebreak`, then by row content.
 
     The row digest as last key lets range partitioning cut through a hot key.
     Whole-row copies share a digest; where they outgrow a partition's share
-    they are counted first and sorted in pieces.
+    they are counted first and sorted in pieces. `distinct_rows` says that there
+    are none, which saves the pass that looks for them.
     """
     digest = row_digest(df.columns)
     order = [*keys, *(tiebreak or [])]
-    if not _has_hot_copies(df, digest):
+    if distinct_rows or not _has_hot_copies(df, digest):
         return df.orderBy(*order, digest)
     size = F.lit(COPIES_PER_PIECE)
     grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__copies"))

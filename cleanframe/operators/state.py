@@ -14,6 +14,9 @@ from cleanframe.session import small_table
 # Columns with this prefix travel with the rows but are no user data.
 HIDDEN = "__cf_"
 
+# The place of a row in its file, which readers add on request.
+POSITION = f"{HIDDEN}pos"
+
 
 @dataclass(frozen=True)
 class SortKey:

@@ -153,15 +153,18 @@ def quartiles(
     strict: bool = False,
 ) -> dict[tuple, list[float | None]]:
     """A2: first quartile, median and third quartile of each column."""
-    alias = {name: f"c{i}" for i, name in enumerate(columns)}
-    summaries = {
-        (*key[:-1], alias[key[-1]]): m.summary for key, m in stats.items() if key[-1] in alias
-    }
     keys = ["g", "c"] if group else ["c"]
-    values = long_numbers(df, columns, group, strict)
-    picked = quantiles(values, summaries, QUARTILES, method, keys)
-    name_of = {a: n for n, a in alias.items()}
-    return {(*key[:-1], name_of[key[-1]]): q for key, q in picked.items()}
+    result = {}
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        chunk = columns[start : start + COLUMNS_PER_JOB]
+        alias = {name: f"c{i}" for i, name in enumerate(chunk)}
+        summaries = {
+            (*key[:-1], alias[key[-1]]): m.summary for key, m in stats.items() if key[-1] in alias
+        }
+        values = long_numbers(df, chunk, group, strict)
+        for key, q in quantiles(values, summaries, QUARTILES, method, keys).items():
+            result[(*key[:-1], chunk[int(key[-1][1:])])] = q
+    return result
 
 
 def compact(text: Column) -> Column:

@@ -20,7 +20,7 @@ from cleanframe.operators.labels import group_label_codes, label_codes
 from cleanframe.operators.ordering import sort_rows
 from cleanframe.operators.quantiles import LINEAR7, WEIBULL6
 from cleanframe.operators.split import split_cut
-from cleanframe.operators.state import HIDDEN, State, Statistics
+from cleanframe.operators.state import HIDDEN, POSITION, State, Statistics
 from cleanframe.operators.statistics import frequency_summary, moments, quartiles
 from cleanframe.plans.spec import Op, PipelineSpec, SpecError, Step, check_pattern
 from cleanframe.session import written
@@ -201,7 +201,8 @@ def _finish(state: State, keep: tuple[str, ...] = ()) -> DataFrame:
     if state.sorts:
         group = [col(state.group)] if state.group else []
         ties = [col(o) for o in state.order_by]
-        df = sort_rows(df, [*group, *[s.column() for s in state.sorts]], ties)
+        keys = [*group, *[s.column() for s in state.sorts]]
+        df = sort_rows(df, keys, ties, distinct_rows=POSITION in state.order_by)
     return df.drop(*[c for c in df.columns if c.startswith(HIDDEN) and c not in keep])
 
 

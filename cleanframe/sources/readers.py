@@ -16,14 +16,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cleanframe.functions.cells import CONTROLS, blank_to_null, col, trim_controls
-from cleanframe.operators.state import HIDDEN
+from cleanframe.operators.state import HIDDEN, POSITION
 from cleanframe.plans.spec import SpecError
 from cleanframe.sources import xlsx
 
 # Workbook functions travel with their tasks, so executors need no installed package.
 cloudpickle.register_pickle_by_value(xlsx)
 
-POSITION = f"{HIDDEN}pos"
 HEADER_JOBS = 16
 FORMATS = ("csv", "xlsx", "json", "parquet")
 

@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from cleanframe.operators import quantiles as q
 from cleanframe.operators.statistics import moments, quartiles
