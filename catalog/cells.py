@@ -68,5 +68,5 @@ ROW_TEXT = r"""'(' || o_orderkey || ',' || CASE
 @query(f"SELECT o_orderkey, md5({ROW_TEXT}) AS digest FROM orders")
 def cell_row_hash(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
-    digest = cells.row_hash([F.col("o_orderkey"), F.col("o_orderpriority")])
+    digest = cells.row_hash(df, ["o_orderkey", "o_orderpriority"])
     return df.select("o_orderkey", digest.alias("digest"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Words read as true and as false, compared in lower case.
 TRUE_WORDS = ["true", "1", "yes", "y"]
@@ -142,28 +142,28 @@ def regex_replace(c: Column, pattern: str, replacement: str | None) -> Column:
     return F.when(is_filled(c), replaced).otherwise(c)
 
 
-def row_text(columns: list[Column]) -> Column:
+def row_text(df: DataFrame, names: list[str]) -> Column:
     """A row as one composite-value literal: `(a,"b c",)`; NULL is empty.
 
     A field is quoted when empty or when it holds a comma, parenthesis,
     quote, backslash or white space; quotes and backslashes are doubled.
     """
     fields = []
-    for c in columns:
-        s = c.cast("string")
-        quoted = F.concat(
-            F.lit('"'),
-            F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""')),
-            F.lit('"'),
-        )
-        needs_quotes = (s == "") | s.rlike(r'[,()"\\\s]')
-        fields.append(F.when(s.isNull(), "").when(needs_quotes, quoted).otherwise(s))
+    for name in names:
+        dtype, s = df.schema[name].dataType, col(name).cast("string")
+        if is_number(dtype):
+            fields.append(F.coalesce(s, F.lit("")))
+            continue
+        doubled = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""'))
+        quoted = F.concat(F.lit('"'), doubled, F.lit('"'))
+        needs_quotes = s.rlike(r'[,()"\\\s]|\A\z')
+        fields.append(F.coalesce(F.when(needs_quotes, quoted).otherwise(s), F.lit("")))
     return F.concat(F.lit("("), F.concat_ws(",", *fields), F.lit(")"))
 
 
-def row_hash(columns: list[Column]) -> Column:
+def row_hash(df: DataFrame, names: list[str]) -> Column:
     """F8: md5 of the row text."""
-    return F.md5(row_text(columns))
+    return F.md5(row_text(df, names))
 
 
 def descending_text(c: Column) -> Column:

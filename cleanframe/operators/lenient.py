@@ -185,7 +185,7 @@ def train_test_split(state: State, step: Step, stats: Statistics) -> State:
     if not state.split:
         return state
     columns = tuple(state.columns)
-    hashed = row_hash([col(c) for c in columns])
+    hashed = row_hash(state.df, list(columns))
     return state.with_df(mark_split(state.df, hashed, stats.cuts[columns]))
 
 

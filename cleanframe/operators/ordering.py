@@ -13,8 +13,8 @@ from cleanframe.session import small_table, table_schema, written
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
-# Copies of one row that stay together while sorting, and the table size from
-# which such groups are looked for.
+# Copies of one row that one task writes out at a time, and the table size from
+# which groups of copies are looked for.
 COPIES_PER_PIECE = 10_000
 COPIES_MATTER_FROM = 5_000_000
 
@@ -33,24 +33,26 @@ def sort_rows(
 
     The row digest as last key lets range partitioning cut through a hot key.
     Whole-row copies share a digest; where they outgrow a partition's share
-    they are counted first and sorted in pieces. `distinct_rows` says that there
+    they are numbered and sorted by number as well. `distinct_rows` says that there
     are none, which saves the pass that looks for them.
     """
     digest = row_digest(df.columns)
     order = [*keys, *(tiebreak or [])]
     if distinct_rows or not _has_hot_copies(df, digest):
         return df.orderBy(*order, digest)
+    # Count the copies, cut the counts into pieces, spread the pieces, and number
+    # every copy: the number then splits the group over range partitions. All of it
+    # follows from the rows themselves, so a repeated task gives the same rows.
+    names = df.columns
     size = F.lit(COPIES_PER_PIECE)
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__copies"))
+    grouped = df.groupBy(*[col(c) for c in names]).agg(F.count("*").alias("__copies"))
     last = F.floor((F.col("__copies") - 1) / size)
     pieces = grouped.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    held = F.least(size, F.col("__copies") - F.col("__piece") * size).cast("int")
-    return (
-        pieces.withColumn("__held", held)
-        .orderBy(*order, digest, "__piece")
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__held"))))
-        .select(*[col(c) for c in df.columns])
-    )
+    spread = pieces.withColumn("__digest", digest).repartition("__digest", "__piece")
+    start = F.col("__piece") * size
+    end = F.least(start + size, F.col("__copies")) - 1
+    copies = spread.withColumn("__copy", F.explode(F.sequence(start, end)))
+    return copies.orderBy(*order, "__digest", "__copy").select(*[col(c) for c in names])
 
 
 def _has_hot_copies(df: DataFrame, digest: Column) -> bool:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanframe.functions.cells import col, row_hash
+from cleanframe.functions.cells import row_hash
 
 # Hex digits settled per pass, which bounds what the driver reads per pass.
 DIGITS_PER_PASS = 3
 DIRECT = 4096
 
 
+# Sorts after every hex digit.
+_ABOVE = "~"
+
+
 def split_cut(df: DataFrame, hashed: Column, ratio: float) -> str:
-    """Largest hash whose cumulative share does not exceed `ratio`; '' if there is none.
+    """A text that separates the hashes whose cumulative share is within `ratio`.
 
     Rows are counted by hash prefix (map-side combined), and only the prefix
     that straddles the cut is opened further, so copies of one row stay a
@@ -25,10 +29,13 @@ def split_cut(df: DataFrame, hashed: Column, ratio: float) -> str:
         width = len(prefix) + DIGITS_PER_PASS
         direct = inside is not None and inside <= DIRECT
         slot = F.col("h") if direct or width >= 32 else F.substring("h", 1, width)
+        # Numbers tell as well as the hashes whether a slot holds only one of them,
+        # and are aggregated by hashing, where texts would be sorted.
+        tag = F.xxhash64("h")
         counts = (
             hashes.filter(F.col("h").startswith(prefix))
             .groupBy(slot.alias("slot"))
-            .agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+            .agg(F.count("*").alias("n"), F.min(tag).alias("lo"), F.max(tag).alias("hi"))
             .collect()
         )
         if total is None:
@@ -39,7 +46,7 @@ def split_cut(df: DataFrame, hashed: Column, ratio: float) -> str:
                 straddling = r
                 break
             below += r["n"]
-            cut = r["hi"]
+            cut = r["slot"] + _ABOVE
         if straddling is None or straddling["lo"] == straddling["hi"]:
             return cut
         prefix, inside = straddling["slot"], straddling["n"]
@@ -49,7 +56,7 @@ def train_test_split(
     df: DataFrame, ratio: float = 0.8, columns: list[str] | None = None, name: str = "split_set"
 ) -> DataFrame:
     """Add `split_set`; equal rows always land on the same side."""
-    hashed = row_hash([col(c) for c in columns or df.columns])
+    hashed = row_hash(df, columns or df.columns)
     return mark_split(df, hashed, split_cut(df, hashed, ratio), name)
 
 

@@ -128,7 +128,7 @@ def _measure(state: State, segment: list[Step]) -> Statistics:
             stats.codes[step.column] = _codes(state, step.column)
         if needs.cut:
             columns = tuple(state.columns)
-            hashed = row_hash([col(c) for c in columns])
+            hashed = row_hash(df, list(columns))
             stats.cuts[columns] = split_cut(df, hashed, step.split_ratio())
     by_quartile = list(dict.fromkeys(c for c, f in wanted if f in ("q1", "median", "q3")))
     by_moment = list(dict.fromkeys(c for c, f in wanted if f != "mode"))

@@ -65,7 +65,7 @@ def test_as_long_saturates(spark):
 
 def test_row_text_quotes_like_a_composite_literal(spark):
     df = spark.createDataFrame([(1, 'a,"b\\', None), (2, "", "x y")], "a int, b string, c string")
-    got = [r[0] for r in df.select(cells.row_text([F.col(c) for c in "abc"])).collect()]
+    got = [r[0] for r in df.select(cells.row_text(df, df.columns)).collect()]
     assert got == ['(1,"a,""b\\\\",)', '(2,"","x y")']
 
 

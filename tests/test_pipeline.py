@@ -251,11 +251,9 @@ def test_split_cut_is_the_cumulative_share(spark, ratio):
     words = ["hot"] * 700 + [str(rng.randint(0, 900)) for _ in range(1300)]
     df = frame(spark, [(w,) for w in words], "w string").select(F.md5("w").alias("h"))
     hashes = sorted(r["h"] for r in df.collect())
-    want = ""
-    for at, h in enumerate(hashes, 1):
-        if (at == len(hashes) or hashes[at] != h) and at / len(hashes) <= ratio:
-            want = h
-    assert split_cut(df, F.col("h"), ratio) == want
+    last = {h: at for at, h in enumerate(hashes, 1)}
+    cut = split_cut(df, F.col("h"), ratio)
+    assert [h for h in hashes if h <= cut] == [h for h in hashes if last[h] / len(hashes) <= ratio]
 
 
 def test_split_of_an_empty_table(spark):
