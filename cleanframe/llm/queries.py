@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import toxicity
+from cleanframe.llm import decontaminate, ngram_join, toxicity
 from cleanframe.llm.common import hashed_share, read
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
@@ -27,3 +27,21 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hits",
         "n_quoted",
     )
+
+
+@query()
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+@query()
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
