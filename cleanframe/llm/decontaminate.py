@@ -66,11 +66,11 @@ class PositionalIndex:
         starts = self.postings.join(sized(first), "term").select(*KEYS, "phrase", "length", (F.col("pos") - F.col("off")).alias("start"))
         starts = starts.filter("start >= 0")
         met = self._met(starts, second, self.postings)
-        single = starts.filter("length = 1")
-        left = written(met, "phrase-starts")
+        single = starts.filter("length = 1").distinct()
+        left = written(met.distinct(), "phrase-starts")  # a repeated document has its postings twice
         rest = written(ranked.filter("rank >= 2").select("phrase", "off", "term"), "terms")
         where = written(left.select(*KEYS).distinct(), "phrase-documents")
-        near = self.postings.join(sized(where), KEYS, "left_semi")
+        near = self.postings.join(sized(where), KEYS, "left_semi").distinct()
         wanted = left.join(sized(rest), "phrase").select(*left.columns, (F.col("start") + F.col("off")).alias("pos"), "term")
         full = wanted.join(near, [*KEYS, "pos", "term"]).groupBy(*left.columns).count().filter("count = length - 2").drop("count")
         return full.unionByName(left.filter("length = 2")).unionByName(single)
@@ -94,7 +94,7 @@ class PositionalIndex:
         `width` words away. Positions meet in blocks of `width` words, so no list is compared with a whole text."""
         ranked = self._ranked(terms.dropDuplicates(["phrase", "term"]))
         anchors = self.postings.join(sized(ranked.filter("rank = 0").select("phrase", "term", "length")), "term")
-        anchors = anchors.select(*KEYS, "phrase", "length", F.col("pos").alias("at"))
+        anchors = anchors.select(*KEYS, "phrase", "length", F.col("pos").alias("at")).distinct()
         others = anchors.join(sized(ranked.filter("rank > 0").select("phrase", "term")), "phrase")
         block = F.floor(F.col("at") / width)
         spread = others.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
