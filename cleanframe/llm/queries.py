@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import decontaminate, ngram_join, toxicity
+from cleanframe.llm import decontaminate, ngram_join, pii, toxicity
 from cleanframe.llm.common import hashed_share, read
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: The secret of the surrogates in these queries; a user gives their own.
+SURROGATE_KEY = "an example key"
+
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     """Learned from labelled rows whose crc32(id) mod 3 is not 1."""
@@ -45,3 +48,8 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query()
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
