@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import decontaminate, ngram_join, pii, toxicity
+from cleanframe.llm import bpe, decontaminate, ngram_join, pii, toxicity
 from cleanframe.llm.common import hashed_share, read
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
@@ -53,3 +54,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @query()
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
+
+
+@query()
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("ids_bytes", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
