@@ -5,14 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import bpe, decontaminate, ngram_join, pii, toxicity
-from cleanframe.llm.common import hashed_share, read
+from cleanframe.llm import bpe, decontaminate, embedding_dedup, language_id, ngram_join, pii, sharding, token_counts, toxicity, url_filter
+from cleanframe.llm.common import hashed_share, read, utf8
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 #: The secret of the surrogates in these queries; a user gives their own.
 SURROGATE_KEY = "an example key"
+#: The URL rules that these queries are asked for.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
@@ -66,3 +68,46 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids_bytes", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query()
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    judged = url_filter.UrlFilter.fit(url_filter.labelled_by_rules(pages, URL_RULES), URL_RULES)
+    return judged.judge(pages, "page_id")
+
+
+@query()
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces and scores of the file, read as a unigram vocabulary."""
+    vocabulary = token_counts.UnigramVocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary)
+
+
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(hashed_share("doc_id", 5) != 0))
+    return language_id.predict(docs, model).select(
+        "doc_id", F.coalesce(hashed_share("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages")
+    )
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, texts included, are shuffled into 8 shards whose row counts are at most one apart."""
+    text = utf8(F.coalesce("text", F.lit("")))
+    return sharding.shuffle_into_shards(read(spark, sf_dir, "documents"), 8).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
