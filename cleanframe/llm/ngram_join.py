@@ -9,8 +9,8 @@ against one centre of each shared shingle (at most as many pairs as there are pr
 components. Then only pairs from different components remain, all of which are checked, so that the components are
 exactly those of all links: a pair left out joins two nodes that are already in one component.
 
-Pairs are filtered by size, by position, then exactly by the smallest hashes of both sets (a lower bound of their
-difference), and last verified on the whole sets.
+Pairs are filtered by size and by the place of what they share, then by the smallest hashes of both sets (a lower bound of
+their difference), and last verified on the whole sets. None of these filters drops a similar pair.
 
 Defined results: a NULL text or one without words has an empty set, no links, and is its own component. Repeated rows
 and equal texts are linked. With fewer words than a shingle has, the whole sequence is the only shingle. Ids may repeat
@@ -106,31 +106,44 @@ class GroupedPrefixJoin:
         return written(sets.join(keys.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "n", "hashes"), "ngram-sets")
 
     def ordered(self, nodes: DataFrame, common: DataFrame) -> DataFrame:
-        """nodes with their hashes in the common order as `ordered`, and how many of them are not common as `rare`."""
-        entries = nodes.select("node", F.explode("hashes").alias("h"))
-        held = entries.join(common, "h").groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("often"))
-        both = nodes.join(held, "node", "left")
-        none = F.array().cast("array<bigint>")
-        rare = F.array_except("hashes", F.coalesce("often", none))
-        return both.select("node", "n", F.size("hashes").alias("known"), F.size(rare).alias("rare"), F.concat(rare, F.coalesce("often", none)).alias("ordered"))
+        """(node, n, known, rare, ordered) of the nodes (node, n, hashes) that hold common hashes: how many hashes are
+        known, how many of them are rare, and the known ones in the common order."""
+        held = nodes.select("node", F.explode("hashes").alias("h")).join(common, "h")
+        often = held.groupBy("node").agg(F.sort_array(F.collect_list("h")).alias("often"))
+        rare = F.array_except("hashes", "often")
+        both = nodes.join(often, "node")
+        return both.select("node", "n", F.size("hashes").alias("known"), F.size(rare).alias("rare"), F.concat(rare, "often").alias("ordered"))
 
     def prefixes(self) -> DataFrame:
-        """(node, n, prefix) of every node."""
-        entries = self.nodes.select(F.explode("hashes").alias("h"))
-        common = written(entries.groupBy("h").count().filter(F.col("count") > COMMON).select("h"), "ngram-common")
+        """(node, n, prefix) of every node.
+
+        Common are the hashes that stand in many of the sets as far as these are known, and those in many of the sets
+        that consist of common hashes mostly. The latter are read as a whole, both to find these hashes and their prefix.
+        """
         p = self.prefix_length()
-        first = written(self.ordered(self.nodes.select("node", "n", "hashes"), common), "ngram-ordered")
         enough = (F.col("rare") >= p) | (F.col("known") >= F.col("n"))
-        short = self.whole_sets(first.filter(~enough).select("node"))  # mostly common shingles: needs the whole set
-        both = first.filter(enough).unionByName(self.ordered(short, common))
-        return written(both.select("node", "n", F.slice("ordered", 1, p).alias("prefix")), "ngram-prefixes")
+        known = self.nodes.select("node", "n", "hashes")
+        often = lambda sets: sets.select(F.explode("hashes").alias("h")).groupBy("h").count().filter(F.col("count") > COMMON).select("h")
+        common = written(often(known), "ngram-common")
+        short = written(self.ordered(known, common).filter(~enough).select("node"), "ngram-short")
+        whole = self.whole_sets(short)
+        common = written(common.unionByName(often(whole)).distinct(), "ngram-common")
+        rest = known.join(short, "node", "left_anti")
+        first = written(self.ordered(rest, common), "ngram-ordered")
+        more = self.whole_sets(first.filter(~enough).select("node"))
+        wholes = whole.unionByName(more)
+        second = written(self.ordered(wholes, common), "ngram-ordered")
+        plain = [t.join(o.select("node"), "node", "left_anti") for t, o in ((rest, first), (wholes, second))]
+        parts = [o.select("node", "n", F.slice("ordered", 1, p).alias("prefix")) for o in (first.filter(enough), second)]
+        parts += [t.select("node", "n", F.slice("hashes", 1, p).alias("prefix")) for t in plain]
+        return written(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "ngram-prefixes")
 
     def similar_size(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that are similar enough."""
-        sketch = self.nodes.select("node", "n", "hashes")
+        sketch = self.nodes.select("node", "n", F.slice("hashes", 1, self.prefix_length() + 8).alias("hashes"))
         side = lambda x: sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
         both = salted_join(salted_join(pairs, side("a"), "a"), side("b"), "b")
         last = lambda x: F.when(F.size(f"h{x}") < F.col(f"n{x}"), F.element_at(f"h{x}", -1)).otherwise(F.lit(2**63 - 1))
@@ -157,16 +170,31 @@ class GroupedPrefixJoin:
         members = written(keyed.join(groups, ["n", "p1", "p2"]).select("node", "group"), "ngram-members")
         heads = prefixes.join(groups.select(F.col("group").alias("node"), "size"), "node")
         entries = heads.select(F.col("node").alias("group"), "n", "size", F.posexplode("prefix").alias("pos", "h"))
-        shared = entries.groupBy("h").agg(F.min("group").alias("centre"), F.sum("size").alias("in_all")).filter("in_all > 1")
+        # The centre has the fewest rare hashes before the shared one: what many near copies have in common is most of it.
+        shared = entries.groupBy("h").agg(F.min_by("group", "pos").alias("centre"), F.sum("size").alias("in_all")).filter("in_all > 1")
         postings = written(entries.join(shared.select("h", "centre"), "h"), "ngram-postings")
-        stars = postings.select(F.col("centre").alias("a"), F.col("group").alias("b")).unionAll(members.select(F.col("group").alias("a"), F.col("node").alias("b")))
-        links = self.verified(written(stars.filter("a <> b").distinct(), "ngram-pairs"))
+        inside = members.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
+        links = self.verified(written(self.stars(postings).unionByName(inside), "ngram-pairs"))
         found = written(components(links), "ngram-components")
         rest = self.verified(self.remaining(postings, members, found))
         if rest.isEmpty():
             return found
         return written(components(links.unionAll(rest)), "ngram-components")
 
+    def shared_at_least(self, a: Column, b: Column) -> Column:
+        """Prefix entries that similar sets of these sizes share: all they share but what can lie behind a prefix."""
+        both = F.ceil((a + b) * self.num / (self.num + self.den))
+        behind = F.ceil(F.greatest(a, b) * self.num / self.den) - 1
+        return F.greatest(both - behind, F.lit(1))
+
+    def stars(self, postings: DataFrame) -> DataFrame:
+        """Pairs (centre, group) of similar size that meet on half as many shingles as similar sets must share. No
+        link depends on this choice: what it leaves out remains for `remaining`."""
+        met = postings.filter("centre <> group").groupBy(F.col("centre").alias("a"), F.col("group").alias("b")).agg(F.count("*").alias("met"), F.first("n").alias("nb"))
+        sizes = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
+        near = met.join(sizes, "a").filter(self.similar_size(F.col("na"), F.col("nb")))
+        return near.filter(F.col("met") * 2 >= self.shared_at_least(F.col("na"), F.col("nb"))).select("a", "b")
+
     def remaining(self, postings: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs of nodes that share a prefix shingle but no component. In each shingle's list one side of a pair is
         outside the list's largest component, so that a list inside one component gives no pairs."""
@@ -176,11 +204,12 @@ class GroupedPrefixJoin:
         largest = sizes.groupBy("h").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
         mixed = written(listed.join(largest.filter("parts > 1"), "h").select("h", "node", "n", "pos", "component", "main"), "ngram-mixed")
         a, b = mixed.filter("component <> main").alias("a"), mixed.alias("b")
-        reach = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
         apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-        enough = reach * (self.num + self.den) >= self.num * (F.col("a.n") + F.col("b.n"))
+        # At the first hash that two similar sets share, enough of both must still follow.
+        left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+        enough = left * (self.num + self.den) >= (F.col("a.n") + F.col("b.n")) * self.num
         pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & apart & self.similar_size(F.col("a.n"), F.col("b.n")) & enough)
-        return written(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "ngram-pairs")
+        return written(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "ngram-pairs")
 
     def classes(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row of the texts."""
