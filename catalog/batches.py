@@ -48,6 +48,16 @@ def batch_statistics_per_file(spark, sf_dir):
     )
 
 
+@query("SELECT o_orderkey AS output, o_orderstatus AS v FROM orders WHERE o_orderstatus <> 'F'")
+def batch_with_a_column_named_output(spark, sf_dir):
+    """The folders of the cleaned files take another name where the table has such a column."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("output"), F.col("o_orderstatus").alias("v"))
+    out = scratch_path(spark, "batch")
+    process(spark, _files(spark, df, "orders"), PipelineSpec((Step.filter("v", "!=", "F"),)), out)
+    cleaned = spark.read.option("header", True).csv(out)
+    return cleaned.select(F.col("output").cast("bigint").alias("output"), "v")
+
+
 @query(f"""SELECT 'SUCCESS' AS status, count(DISTINCT floor(o_orderkey / {PER_FILE})) AS files, count(*) AS rows
 FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0
 UNION ALL

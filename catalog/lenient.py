@@ -20,8 +20,8 @@ from catalog.registry import (
 )
 from cleanframe.operators.ordering import number_rows
 from cleanframe.operators.split import train_test_split
-from cleanframe.plans.pipeline import run_steps
-from cleanframe.plans.spec import Op, Step
+from cleanframe.plans.pipeline import fit, run_steps
+from cleanframe.plans.spec import Op, PipelineSpec, Step
 
 KEYS = "l_orderkey, l_linenumber"
 
@@ -134,6 +134,69 @@ def normalize_minmax_text(spark, sf_dir):
     return run_steps(prices(spark, sf_dir), Step(Op.NORMALIZE_MINMAX, "price"))
 
 
+SIX_DECIMALS = """regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '.0')"""
+
+
+@query(f"""WITH {PRICES}, s AS (SELECT avg(v) AS mean, stddev_samp(v) AS sd FROM pr)
+SELECT {KEYS}, CASE WHEN v IS NULL THEN price ELSE {SIX_DECIMALS.format('(v - mean) / sd')} END AS price FROM pr, s""")
+def normalize_zscore_text(spark, sf_dir):
+    return run_steps(prices(spark, sf_dir), Step(Op.NORMALIZE_ZSCORE, "price"))
+
+
+@query(f"""WITH {PRICES}, q AS ({quartiles6('pr', 'v')})
+SELECT {KEYS}, CASE WHEN v IS NULL THEN price ELSE {SIX_DECIMALS.format('(v - median) / (q3 - q1)')} END AS price
+FROM pr, q""")
+def normalize_robust_text(spark, sf_dir):
+    return run_steps(prices(spark, sf_dir), Step(Op.NORMALIZE_ROBUST, "price"))
+
+
+@query(f"SELECT {KEYS}, CASE WHEN l_linenumber = 7 THEN '9' ELSE '5' END AS x FROM lineitem")
+def normalize_robust_text_no_iqr(spark, sf_dir):
+    """Without a quartile range the column stays as it is, whatever its spread."""
+    x = F.when(F.col("l_linenumber") == 7, "9").otherwise("5").alias("x")
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x)
+    return run_steps(df, Step(Op.NORMALIZE_ROBUST, "x"))
+
+
+@query(f"""WITH {PRICES}, s AS (SELECT min(v) AS lo, max(v) AS hi FROM pr WHERE l_orderkey % 2 = 0)
+SELECT {KEYS}, CASE WHEN v IS NULL THEN price ELSE {SIX_DECIMALS.format('(v - lo) / (hi - lo)')} END AS price
+FROM pr, s""")
+def scaling_fitted_on_other_texts(spark, sf_dir):
+    """Fitted on numbers only, applied to a table with words."""
+    df = prices(spark, sf_dir)
+    numbers = df.filter(every("l_orderkey", 2) & F.col("price").try_cast("double").isNotNull())
+    return fit(numbers, PipelineSpec((Step(Op.NORMALIZE_MINMAX, "price"),))).transform(df)
+
+
+@query(f"""WITH {ORDERS}, f AS (
+  SELECT o_orderpriority AS p, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code
+  FROM od WHERE trim(o_orderpriority) <> '' GROUP BY 1)
+SELECT o_orderkey AS key, 'same' AS o_orderkey, CAST(code AS BIGINT) AS o_orderpriority
+FROM od LEFT JOIN f ON o_orderpriority = p""")
+def label_encode_after_rewriting_the_order(spark, sf_dir):
+    """Rows keep the order they came in, also when a step overwrites the column that told it."""
+    df = orders(spark, sf_dir).select(F.col("o_orderkey").alias("key"), "o_orderkey", "o_orderpriority")
+    steps = (Step.regex("o_orderkey", "^.*$", "same"), Step(Op.LABEL_ENCODE, "o_orderpriority"))
+    coded = run_steps(df, *steps, order_by="o_orderkey")
+    return coded.withColumn("o_orderpriority", F.col("o_orderpriority").cast("bigint"))
+
+
+@query(f"""WITH {ORDERS} SELECT o_orderkey AS key,
+  row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1 AS position FROM od""")
+def sort_after_encoding_the_order(spark, sf_dir):
+    df = orders(spark, sf_dir).select(F.col("o_orderkey").alias("key"), "o_orderkey", "o_orderstatus")
+    steps = (Step(Op.CAST_COLUMN, "o_orderkey", "boolean"), Step(Op.SORT_COLUMN, "o_orderstatus", "ascending"))
+    return number_rows(run_steps(df, *steps, order_by="o_orderkey"), "position").select("key", "position")
+
+
+@query("SELECT '-0.0' AS zero, l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def sort_negative_zeros(spark, sf_dir):
+    """Few different rows, many copies of each: sorting changes no cell and drops no copy."""
+    df = table(spark, sf_dir, "lineitem").select((F.abs("l_discount") * F.lit(-0.0)).alias("zero"), "l_returnflag")
+    placed = run_steps(df, Step(Op.SORT_COLUMN, "l_returnflag", "ascending"))
+    return placed.groupBy(F.col("zero").cast("string").alias("zero"), "l_returnflag").agg(F.count("*").alias("n"))
+
+
 def _digits(spark, sf_dir):
     """Texts that are whole numbers, fractions, words, blank or missing."""
     digits = F.regexp_extract("props", "[0-9]+", 0)

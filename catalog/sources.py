@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from catalog.registry import orders, query, table
+from catalog.registry import LINEITEM, lineitem, orders, query, table
 from cleanframe.session import scratch_path
 from cleanframe.sources import readers, writers
 
@@ -29,6 +29,15 @@ def csv_round_trip(spark, sf_dir):
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
+@query(f"""WITH {LINEITEM} SELECT nullif(trim(l_returnflag), '') AS l_returnflag, count(*) AS n
+FROM li GROUP BY 1""")
+def csv_single_column(spark, sf_dir):
+    """Rows whose only cell is missing are rows."""
+    path = scratch_path(spark, "flags.csv")
+    writers.write_csv(lineitem(spark, sf_dir).select("l_returnflag"), path)
+    return readers.read_csv(spark, path).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
   CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS o_orderpriority,
   o_orderstatus FROM orders""")
@@ -66,6 +75,15 @@ def tsv_flat_cells(spark, sf_dir):
 PER_FILE = 5_000
 
 
+@query(f"""WITH {LINEITEM} SELECT nullif(trim(l_returnflag), '') AS l_returnflag, count(*) AS n
+FROM li GROUP BY 1""")
+def csv_single_column(spark, sf_dir):
+    """Rows whose only cell is missing are rows."""
+    path = scratch_path(spark, "flags.csv")
+    writers.write_csv(lineitem(spark, sf_dir).select("l_returnflag"), path)
+    return readers.read_csv(spark, path).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
   CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS o_orderpriority,
   o_orderstatus FROM orders""")

@@ -1,9 +1,8 @@
 """The seventeen steps, lenient form.
 
 Blank cells are missing and cells that are no numbers are left alone. Numbers
-put into text columns are written to six decimals; a text column that holds
-nothing but numbers turns into doubles of six decimals when it is scaled.
-Columns that already have a numeric type give doubles, unrounded.
+put into text columns are written to six decimals, and a text column stays text
+whatever it holds. Columns of a numeric type give doubles, unrounded.
 """
 
 from __future__ import annotations
@@ -118,10 +117,8 @@ def remove_outliers(state: State, step: Step, stats: Statistics) -> State:
     return state.with_df(state.df.filter(once(once(c, parse_double), inside)))
 
 
-def _scale(
-    state: State, step: Step, stats: Statistics, centre: Column, width: Column
-) -> State:
-    """`(x - centre) / width`; without spread the column stays as it is."""
+def _scale(state: State, step: Step, centre: Column, width: Column) -> State:
+    """`(x - centre) / width`; where the width is 0 or unknown the column stays as it is."""
     column = step.column
     c, dtype = col(column), state.dtype(column)
     scaled = (parse_double(c, dtype) - centre) / F.nullif(width, F.lit(0.0))
@@ -130,8 +127,6 @@ def _scale(
         return state.with_column(column, F.when(flat, c.cast("double")).otherwise(scaled))
     if not is_text(dtype):
         return state
-    if not state.group and stats.raw(column, "all_numeric") and stats.raw(column, "spread"):
-        return state.with_column(column, F.round(scaled, 6))
     return state.with_column(column, once(c, lambda x: _scaled_text(x, centre, width)))
 
 
@@ -147,19 +142,19 @@ def _scaled_text(x: Column, centre: Column, width: Column) -> Column:
 def normalize_minmax(state: State, step: Step, stats: Statistics) -> State:
     """E8"""
     low, spread = stats.value(step.column, "low"), stats.value(step.column, "spread")
-    return _scale(state, step, stats, low, spread)
+    return _scale(state, step, low, spread)
 
 
 def normalize_zscore(state: State, step: Step, stats: Statistics) -> State:
     """E9"""
     mean, sd = stats.value(step.column, "mean"), stats.value(step.column, "sd")
-    return _scale(state, step, stats, mean, sd)
+    return _scale(state, step, mean, sd)
 
 
 def normalize_robust(state: State, step: Step, stats: Statistics) -> State:
     """E10"""
     q1, median, q3 = (stats.value(step.column, f) for f in ("q1", "median", "q3"))
-    return _scale(state, step, stats, median, q3 - q1)
+    return _scale(state, step, median, q3 - q1)
 
 
 def cast_column(state: State, step: Step, stats: Statistics) -> State:
@@ -320,11 +315,11 @@ STEPS = {
 
 
 def category_values(
-    df: DataFrame, column: str, limit: int, order: Column | None = None
+    df: DataFrame, column: str, limit: int | None, order: Column | None = None
 ) -> list[str]:
     """The distinct filled texts of a column, by value or by first appearance.
 
-    They become columns, so more than `limit` of them is an error.
+    They become columns of the result; more than `limit` of them is an error where one is given.
     """
     dtype = df.schema[column].dataType
     text = cell_text(blank_to_null(col(column), dtype), dtype).alias("v")
@@ -333,8 +328,8 @@ def category_values(
     else:
         cells = df.select(text, order.alias("at")).filter(F.col("v").isNotNull())
         found = cells.groupBy("v").agg(F.min("at").alias("at")).orderBy("at", "v")
-    rows = found.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise SpecError(f"{column} has more than {limit} values to encode as columns")
     values = [r["v"] for r in rows]
     return values if order is not None else sorted(values, key=lambda s: s.encode("utf-16-be"))

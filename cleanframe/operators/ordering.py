@@ -13,11 +13,6 @@ from cleanframe.session import small_table, table_schema, written
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
-# Copies of one row that one task writes out at a time, and the table size from
-# which groups of copies are looked for.
-COPIES_PER_PIECE = 10_000
-COPIES_MATTER_FROM = 5_000_000
-
 
 def row_digest(columns: list[str]) -> Column:
     return F.xxhash64(*[col(c) for c in columns])
@@ -31,41 +26,16 @@ def sort_rows(
 ) -> DataFrame:
     """Sort by `keys`; equal keys are ordered by `tiebreak`, then by row content.
 
-    The row digest as last key lets range partitioning cut through a hot key.
-    Whole-row copies share a digest; where they outgrow a partition's share
-    they are numbered and sorted by number as well. `distinct_rows` says that there
-    are none, which saves the pass that looks for them.
+    The row digest cuts a hot key over range partitions. Copies of a whole row share a digest; their place in the
+    table is the last key and cuts them too. Nothing in a copy tells it from the others, so the place is written down
+    first: a task that runs again must deal its rows as before. `distinct_rows` says that there are no copies.
     """
-    digest = row_digest(df.columns)
-    order = [*keys, *(tiebreak or [])]
-    if distinct_rows or not _has_hot_copies(df, digest):
-        return df.orderBy(*order, digest)
-    # Count the copies, cut the counts into pieces, spread the pieces, and number
-    # every copy: the number then splits the group over range partitions. All of it
-    # follows from the rows themselves, so a repeated task gives the same rows.
     names = df.columns
-    size = F.lit(COPIES_PER_PIECE)
-    grouped = df.groupBy(*[col(c) for c in names]).agg(F.count("*").alias("__copies"))
-    last = F.floor((F.col("__copies") - 1) / size)
-    pieces = grouped.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    spread = pieces.withColumn("__digest", digest).repartition("__digest", "__piece")
-    start = F.col("__piece") * size
-    end = F.least(start + size, F.col("__copies")) - 1
-    copies = spread.withColumn("__copy", F.explode(F.sequence(start, end)))
-    return copies.orderBy(*order, "__digest", "__copy").select(*[col(c) for c in names])
-
-
-def _has_hot_copies(df: DataFrame, digest: Column) -> bool:
-    """Does one group of identical rows exceed half a partition's share?"""
-    spark = df.sparkSession
-    share = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    probe = df.select(digest.alias("h")).agg(
-        F.count("*").alias("n"), F.expr("approx_top_k(h, 1, 1000)").alias("top")
-    )
-    row = probe.first()
-    if row["n"] < COPIES_MATTER_FROM or not row["top"]:
-        return False
-    return row["top"][0]["count"] > row["n"] / share
+    order = [*keys, *(tiebreak or []), row_digest(names)]
+    if distinct_rows:
+        return df.orderBy(*order)
+    placed = written(df.withColumn("__place", F.monotonically_increasing_id()), "places")
+    return placed.orderBy(*order, "__place").select(*[col(c) for c in names])
 
 
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:

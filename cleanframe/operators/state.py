@@ -39,7 +39,7 @@ class State:
     form: str = "engine"
     order_by: tuple[str, ...] = ()
     group: str | None = None
-    max_categories: int = 1_000
+    max_categories: int | None = None
     split: bool = False
     sorts: tuple[SortKey, ...] = ()
 

@@ -106,6 +106,14 @@ def status_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count("*").alias("files"))
 
 
+def folder_column(columns: list[str]) -> str:
+    """Name of the folders `<name>=<file>`: `output`, or `output_file`, ... where the table has such a column."""
+    name, taken = "output", {c.lower() for c in columns}
+    while name in taken:
+        name += "_file"
+    return name
+
+
 def _listing(spark: SparkSession, paths: list[str] | str, report: _Report) -> list[str]:
     def files(p):
         return sorted(_plain(u) for u in spark.read.format("binaryFile").load(p).inputFiles())
@@ -134,7 +142,7 @@ def _inspect(spark: SparkSession, paths: list[str], report: _Report) -> list[_Fi
         try:
             kind = readers.format_of(p)
             if kind not in by_kind:
-                raise SpecError(f"Unsupported file type: {kind}")
+                raise SpecError(f"batches do not read {kind} files")
             by_kind[kind].append(p)
         except SpecError as e:
             report.add(unquote(p), FAILED, message=str(e))
@@ -198,7 +206,7 @@ def _run(
 ) -> None:
     """Clean files of one shape; on an error halve the list until the file is found."""
     try:
-        counts = _clean(spark, files, spec, out_dir)
+        folder, counts = _clean(spark, files, spec, out_dir)
     except (PySparkException, Py4JJavaError, SpecError) as e:
         if len(files) == 1:
             report.add(files[0].path, FAILED, message=_first_line(e))
@@ -208,14 +216,15 @@ def _run(
         _run(spark, files[half:], spec, out_dir, report)
         return
     for f in files:
-        report.add(f.path, SUCCESS, f"{out_dir}/output={f.name}", counts.get(f.name, 0))
+        report.add(f.path, SUCCESS, f"{out_dir}/{folder}={f.name}", counts.get(f.name, 0))
 
 
 def _clean(
     spark: SparkSession, files: list[_File], spec: PipelineSpec, out_dir: str
-) -> dict[str, int]:
+) -> tuple[str, dict[str, int]]:
+    """Name of the folder column, and rows by output name."""
     if not files[0].header:
-        return {}
+        return "output", {}
     group = f"{HIDDEN}output"
     by_appearance = any(s.operation is Op.LABEL_ENCODE for s in spec.steps)
     order = readers.POSITION if by_appearance else None
@@ -243,10 +252,7 @@ def _clean(
         cleaned = written(cleaned.hint("rebalance", group), "cleaned")
     counts = {r[group]: r["n"] for r in cleaned.groupBy(group).agg(F.count("*").alias("n")).collect()}
 
-    data = [c for c in cleaned.columns if c != group]
-    output = "output"
-    if output in [c.lower() for c in data]:
-        raise SpecError("a column named `output` cannot be written to per-file folders")
+    output = folder_column([c for c in cleaned.columns if c != group])
     for f in files:
         if not counts.get(f.name):
             empty = cleaned.limit(0).drop(group).coalesce(1)
@@ -258,4 +264,4 @@ def _clean(
         mode="overwrite",
         partition_by=[output],
     )
-    return counts
+    return output, counts

@@ -85,7 +85,7 @@ def _barrier(state: State, steps: list[Step], on_missing: str) -> tuple[list[Ste
             if columns_changed:
                 return segment, at
             if on_missing == "error":
-                raise SpecError(f"Column not found: {step.column} ({step.operation.value})")
+                raise SpecError(f"the table has no column {step.column} for {step.operation.value}")
             continue
         if columns_changed and needs_column:
             return segment, at
@@ -103,6 +103,7 @@ def _barrier(state: State, steps: list[Step], on_missing: str) -> tuple[list[Ste
         if step.operation is Op.REGEX_REPLACE:
             rule = step.regex_rule()
             check_pattern(state.df.sparkSession, rule.pattern, rule.replacement)
+        step.validate()
         segment.append(step)
         rows_changed |= step.operation in _DROPS_ROWS
         reordered |= step.operation is Op.SORT_COLUMN
@@ -187,14 +188,20 @@ class FittedPipeline:
 
     segments: tuple[tuple[tuple[Step, ...], Statistics], ...]
     start: State
+    frozen: tuple[tuple[str, str], ...] = ()
 
     def transform(self, df: DataFrame) -> DataFrame:
-        state = replace(self.start, df=df)
+        state = replace(self.start, df=_frozen(df, self.frozen))
         for segment, stats in self.segments:
             state = _run_segment(state, list(segment), stats)
         return _finish(state)
 
 
+def _frozen(df: DataFrame, names: tuple[tuple[str, str], ...]) -> DataFrame:
+    """df with hidden copies of the columns that tell the row order."""
+    return df.withColumns({hidden: col(c) for c, hidden in names}) if names else df
+
+
 def _finish(state: State, keep: tuple[str, ...] = ()) -> DataFrame:
     """Sort once, by the latest sorting step first, and drop the hidden columns."""
     df = state.df
@@ -213,14 +220,23 @@ def _fit_and_run(
     order_by: list[str] | str | None,
     on_missing: str,
     split: bool,
-    max_categories: int,
+    max_categories: int | None,
     group: str | None,
-) -> tuple[State, State, list]:
+) -> tuple[State, State, list, tuple]:
     if form not in FORMS:
         raise SpecError(f"Unknown form: {form}")
     order = (order_by,) if isinstance(order_by, str) else tuple(order_by or ())
+    # Rows keep the order they came in: where a step rewrites a column of that order, a hidden copy stands in for it.
+    rewritten = {s.column for s in spec.steps if s.operation not in _KEEPS_CELLS}
+    frozen = tuple((c, f"{HIDDEN}order{i}") for i, c in enumerate(order) if c in rewritten)
+    names = dict(frozen)
     start = State(
-        df, form=form, order_by=order, group=group, split=split, max_categories=max_categories
+        _frozen(df, frozen),
+        form=form,
+        order_by=tuple(names.get(c, c) for c in order),
+        group=group,
+        split=split,
+        max_categories=max_categories,
     )
     state, rest, segments = start, list(spec.steps), []
     shuffled = False
@@ -235,7 +251,7 @@ def _fit_and_run(
         segments.append((tuple(segment), stats))
         shuffled |= any(s.operation in _SHUFFLES for s in segment)
         rest = rest[used:]
-    return start, state, segments
+    return start, state, segments, frozen
 
 
 def fit(
@@ -245,13 +261,13 @@ def fit(
     order_by: list[str] | str | None = None,
     on_missing: str = "skip",
     split: bool = False,
-    max_categories: int = 1_000,
+    max_categories: int | None = None,
 ) -> FittedPipeline:
     """Statistics of every step, read off `df`."""
-    start, _, segments = _fit_and_run(
+    start, _, segments, frozen = _fit_and_run(
         df, spec, form, order_by, on_missing, split, max_categories, None
     )
-    return FittedPipeline(tuple(segments), replace(start, df=None))
+    return FittedPipeline(tuple(segments), replace(start, df=None), frozen)
 
 
 def run(
@@ -261,14 +277,14 @@ def run(
     order_by: list[str] | str | None = None,
     on_missing: str = "skip",
     split: bool = False,
-    max_categories: int = 1_000,
+    max_categories: int | None = None,
     group: str | None = None,
 ) -> DataFrame:
     """PL1: the steps in order, with statistics of the table itself.
 
     With `group`, every statistic is taken per value of that column.
     """
-    _, state, _ = _fit_and_run(
+    _, state, _, _ = _fit_and_run(
         df, spec, form, order_by, on_missing, split, max_categories, group
     )
     return _finish(state, keep=(group,) if group else ())

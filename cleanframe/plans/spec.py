@@ -7,8 +7,9 @@ import re
 from dataclasses import dataclass, field
 from enum import Enum
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 SCHEMA_VERSION = 1
 
@@ -53,7 +54,7 @@ class RegexRule:
             rule = json.loads(param or "")
             return RegexRule(rule["pattern"], rule.get("replacement"))
         except (ValueError, KeyError, TypeError, AttributeError) as e:
-            raise SpecError("Could not decode regex rule") from e
+            raise SpecError("a regex rule is a JSON object with a pattern") from e
 
 
 @dataclass(frozen=True)
@@ -91,28 +92,31 @@ class Step:
             try:
                 ratio = self.split_ratio()
             except ValueError:
-                raise SpecError("Train ratio must be a number (e.g. 0.8).") from None
+                raise SpecError(f"the share of training rows is no number: {self.param}") from None
             if not 0 < ratio < 1:
-                raise SpecError("Train ratio must be between 0 and 1.")
+                raise SpecError(f"the share of training rows must lie inside (0, 1): {ratio}")
         elif self.operation is Op.FILTER_ROWS:
             if not self.filter_parts()[1].strip():
-                raise SpecError("Enter a filter value before adding this step.")
+                raise SpecError("a filter needs a value to compare with")
         elif self.operation is Op.REGEX_REPLACE:
             pattern = self.regex_rule().pattern
             if not pattern:
-                raise SpecError("Enter a regex pattern before adding this step.")
+                raise SpecError("a regex rule needs a pattern")
             if spark is not None:
                 check_pattern(spark, pattern, self.regex_rule().replacement)
 
 
 def check_pattern(spark: SparkSession, pattern: str, replacement: str | None = "") -> None:
-    """Let the engine's own regex compiler judge a pattern before any job starts."""
+    """Let the engine's own regex compiler judge a rule before any job starts.
+
+    The query has no table, so it is answered while it is planned. The empty alternative makes the rule match the empty
+    text, which puts the replacement's group references to the test as well.
+    """
+    query = "SELECT regexp_replace('', :pattern, '') AS a, regexp_replace('', concat(:pattern, '|'), :replacement) AS b"
     try:
-        spark.range(1).select(
-            F.regexp_replace(F.lit("x"), F.lit(pattern), F.lit(""))
-        ).collect()
-    except PySparkException as e:
-        raise SpecError(f"Invalid regex pattern: {pattern}") from e
+        spark.sql(query, args={"pattern": pattern, "replacement": replacement or ""}).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        raise SpecError(f"Invalid regex rule: {pattern!r} to {replacement!r}") from e
 
 
 @dataclass(frozen=True)
@@ -133,35 +137,53 @@ class PipelineSpec:
         try:
             doc = json.loads(text)
         except ValueError as e:
-            raise SpecError(f"Invalid pipeline JSON: {e}") from e
+            raise SpecError(f"the pipeline is not JSON: {e}") from e
         if not isinstance(doc, dict):
-            raise SpecError("Invalid pipeline: not an object.")
+            raise SpecError("a pipeline is a JSON object")
         version = doc.get("schemaVersion", SCHEMA_VERSION)
         if version != SCHEMA_VERSION:
-            raise SpecError(f"Unsupported pipeline schema version: {version}")
+            raise SpecError(f"this version of the pipeline format cannot be read: {version}")
         if not isinstance(doc.get("steps"), list):
-            raise SpecError("Invalid pipeline: missing steps array.")
+            raise SpecError("a pipeline has a list of steps")
         steps = []
         for item in doc["steps"]:
             name = item.get("operation") if isinstance(item, dict) else None
-            if name not in Op.__members__:
-                raise SpecError(f"Unknown pipeline operation: {name}")
-            steps.append(Step(Op(name), item.get("column"), item.get("param")))
-        return PipelineSpec(tuple(steps))
-
-    def save(self, path: str) -> None:
+            if not isinstance(name, str) or name not in Op.__members__:
+                raise SpecError(f"there is no operation {name}")
+            column, param = item.get("column"), item.get("param")
+            if not all(x is None or isinstance(x, str) for x in (column, param)):
+                raise SpecError(f"column and parameter of {name} must be texts")
+            steps.append(Step(Op(name), column, param))
+        spec = PipelineSpec(tuple(steps))
+        spec.validate()
+        return spec
+
+    def validate(self) -> None:
+        """PL6 for every step; patterns are judged when the pipeline meets its table."""
+        for s in self.steps:
+            s.validate()
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """PL3: a file of the driver, or with a session a folder wherever Spark can write."""
+        if spark is not None:
+            spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+            return
         with open(path, "w", encoding="utf-8") as f:
             f.write(self.to_json())
 
     @staticmethod
-    def load(path: str) -> PipelineSpec:
+    def load(path: str, spark: SparkSession | None = None) -> PipelineSpec:
+        if spark is not None:
+            # A specification is a list of steps that somebody wrote: one row.
+            parts = spark.read.option("wholetext", True).text(path).collect()
+            return PipelineSpec.from_json("".join(r["value"] for r in parts))
         with open(path, encoding="utf-8") as f:
             return PipelineSpec.from_json(f.read())
 
     def column_warnings(self, columns: list[str]) -> list[str]:
         """PL5: one warning per step whose column is not among the input columns."""
         return [
-            f"Column not found in current dataset: {s.column} ({s.operation.value})"
+            f"the table has no column {s.column} for {s.operation.value}"
             for s in self.steps
             if s.column and s.column.strip() and s.column not in columns
         ]

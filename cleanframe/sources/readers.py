@@ -31,10 +31,10 @@ def format_of(path: str) -> str:
     """The lower-cased extension decides."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if "." not in name:
-        raise SpecError(f"File has no extension: {name}")
+        raise SpecError(f"the name tells no format: {name}")
     ext = name.rsplit(".", 1)[-1].lower()
     if ext not in FORMATS:
-        raise SpecError(f"Unsupported file type: {ext}")
+        raise SpecError(f"there is no reader for {ext} files")
     return ext
 
 

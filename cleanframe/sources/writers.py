@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, types as T
 
-from cleanframe.functions.cells import cell_text, col, flat_text, format_double
+from cleanframe.functions.cells import blank_to_null, cell_text, col, flat_text, format_double
 
 
 def export_cells(df: DataFrame, decimals: bool = False) -> list[Column]:
@@ -27,14 +27,23 @@ def write_csv(
     mode: str = "errorifexists",
     partition_by: list[str] | None = None,
 ) -> None:
-    """K1: header and rows, NULL as an empty cell, quotes doubled."""
+    """K1: header and rows, NULL as an empty cell, quotes doubled.
+
+    In a table of one column a blank cell is written as `""`, as a blank line would be no row.
+    """
+    cells = export_cells(df, decimals)
+    data = [c for c in df.columns if c not in (partition_by or [])]
+    empty = ""
+    if len(data) == 1:
+        empty = '""'
+        cells = [blank_to_null(c).alias(n) if n in data else c for c, n in zip(cells, df.columns)]
     writer = (
-        df.select(*export_cells(df, decimals))
+        df.select(*cells)
         .write.mode(mode)
         .option("header", True)
         .option("escape", '"')
-        .option("nullValue", "")
-        .option("emptyValue", "")
+        .option("nullValue", empty)
+        .option("emptyValue", empty)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
     )

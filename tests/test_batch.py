@@ -52,7 +52,7 @@ def test_bad_files_are_found_and_stop_nothing(spark, tmp_path):
     got = process(spark, [paths, str(tmp_path / "nowhere.csv")], RULE, str(tmp_path / "out"))
     assert {r["status"]: r["files"] for r in status_counts(got).collect()} == {"SUCCESS": 5, "FAILED": 6}
     rows = report(got)
-    assert "Row shorter" in rows["short.csv"]["message"] and "Unsupported" in rows["x.txt"]["message"]
+    assert "Row shorter" in rows["short.csv"]["message"] and "no reader" in rows["x.txt"]["message"]
     assert content(rows["g3.csv"]) == ["name,email", "Ada,3@redacted.test"]
 
 
