@@ -21,6 +21,7 @@ from cleanframe.functions.cells import (
     parse_double,
 )
 from cleanframe.operators.quantiles import WEIBULL6, Summary, quantiles
+from cleanframe.session import written
 
 # Columns per aggregation job, so that generated code stays compilable.
 COLUMNS_PER_JOB = 40
@@ -162,6 +163,9 @@ def quartiles(
             (*key[:-1], alias[key[-1]]): m.summary for key, m in stats.items() if key[-1] in alias
         }
         values = long_numbers(df, chunk, group, strict)
+        if any(is_text(df.schema[name].dataType) for name in chunk):
+            # The rounds below read parsed numbers instead of parsing the texts again each time.
+            values = written(values, "numbers")
         for key, q in quantiles(values, summaries, QUARTILES, method, keys).items():
             result[(*key[:-1], chunk[int(key[-1][1:])])] = q
     return result

@@ -6,7 +6,9 @@ stand in their files, also when a file is read in several splits.
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import groupby
@@ -15,7 +17,7 @@ from urllib.parse import unquote
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cleanframe.functions.cells import CONTROLS, blank_to_null, col, trim_controls
+from cleanframe.functions.cells import CONTROLS, blank_to_null, col, is_filled, trim_controls
 from cleanframe.operators.state import HIDDEN, POSITION
 from cleanframe.plans.spec import SpecError
 from cleanframe.sources import xlsx
@@ -69,6 +71,7 @@ class CsvFile:
     path: str
     header: tuple[str, ...]
     multi_line: bool  # a quoted cell spans lines, so the file cannot be split
+    fewest: int | None = None  # cells of the shortest row, where lines tell
 
 
 def _odd_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -93,18 +96,45 @@ def csv_header(spark: SparkSession, paths: list[str] | str, multi_line: bool = F
     return reader.csv(paths).columns
 
 
+def header_names(line: str) -> list[str]:
+    """The column names of a header line: empty and repeated ones get their place, as Spark's reader does it."""
+    cells = [c.strip(CONTROLS) for c in next(csv.reader([line]))]
+    repeated = {c for c, n in Counter(c.lower() for c in cells).items() if n > 1}
+    return [f"_c{i}" if not c else f"{c}{i}" if c.lower() in repeated else c for i, c in enumerate(cells)]
+
+
 def scan_csv(spark: SparkSession, paths: list[str]) -> list[CsvFile]:
-    """Header of every file, and whether it must be read as a whole."""
-    odd = _odd_lines(spark, paths).groupBy("path").agg(F.max(F.col("odd").cast("int")).alias("odd"))
-    flags = {r["path"]: bool(r["odd"]) for r in odd.collect()}
+    """Header of every file, whether it must be read as a whole, and its shortest row; one job for all files.
+
+    Only a file whose header itself holds a line break needs a look of its own.
+    """
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    bare = F.when(quotes > 0, F.regexp_replace(value, '"[^"]*"', "")).otherwise(value)
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        (F.col("_metadata.file_block_start") == 0).alias("head"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+        (quotes % 2 == 1).cast("int").alias("odd"),
+        F.when(is_filled(value), cells).alias("cells"),
+    )
+    first = F.when(F.col("head") & F.col("cells").isNotNull(), F.col("at"))
+    found = lines.groupBy("path").agg(
+        F.max("odd").alias("odd"), F.min("cells").alias("fewest"), F.min_by("value", first).alias("line")
+    )
 
-    def inspect(path: str) -> CsvFile:
-        names = csv_header(spark, literal_path(unquote(path)), flags[path])
-        return CsvFile(path, tuple(names), flags[path])
+    def inspect(r) -> CsvFile:
+        line, whole = r["line"], bool(r["odd"])
+        if line is None:
+            return CsvFile(r["path"], (), whole)
+        if line.count('"') % 2 or line.startswith("\ufeff"):
+            return CsvFile(r["path"], tuple(csv_header(spark, literal_path(unquote(r["path"])), whole)), whole)
+        return CsvFile(r["path"], tuple(header_names(line)), whole, None if whole else r["fewest"])
 
-    # Headers take one tiny job per file; the pool only overlaps their latency.
     with ThreadPoolExecutor(HEADER_JOBS) as pool:
-        return list(pool.map(inspect, sorted(flags)))
+        return list(pool.map(inspect, sorted(found.collect(), key=lambda r: r["path"])))
 
 
 def literal_path(path: str) -> str:

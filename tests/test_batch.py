@@ -56,6 +56,31 @@ def test_bad_files_are_found_and_stop_nothing(spark, tmp_path):
     assert content(rows["g3.csv"]) == ["name,email", "Ada,3@redacted.test"]
 
 
+def test_jobs_do_not_grow_with_files_and_bad_files(spark, tmp_path):
+    def jobs(name, good, bad):
+        texts = {f"g{i}_csv": f"name,email\nAda,{i}@x\n" for i in range(good)}
+        texts |= {f"s{i}_csv": "name,email\nAda,a@x\nBob\n" for i in range(bad)}
+        paths = files(tmp_path / name, **texts)
+        spark.sparkContext.setJobGroup(name, name)
+        rows = process(spark, paths, RULE, str(tmp_path / f"{name}-out"))
+        statuses = {r["status"]: r["files"] for r in status_counts(rows).collect()}
+        assert statuses == {"SUCCESS": good} | ({"FAILED": bad} if bad else {})
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    few, many = jobs("few", 2, 0), jobs("many", 12, 5)
+    spark.sparkContext._jsc.clearJobGroup()
+    assert many <= few + 1
+
+
+@pytest.mark.parametrize("line", ["a,b", "a,A,c", ' a ,"b ""x"", y",', ",,", "x,x,_c1", '"q"'])
+def test_header_names_are_those_of_the_reader(spark, tmp_path, line):
+    from cleanframe.sources.readers import csv_header, header_names
+
+    path = tmp_path / "h.csv"
+    path.write_text(line + "\n1,2,3\n")
+    assert header_names(line) == csv_header(spark, str(path))
+
+
 def test_statistics_belong_to_each_file(spark, tmp_path):
     paths = files(tmp_path / "in", a_csv="x\n1\n3\n\n", b_csv="x\n10\n30\n20\n")
     spec = PipelineSpec((Step(Op.NORMALIZE_MINMAX, "x"), Step(Op.SORT_COLUMN, "x", "descending")))
