@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import bpe, decontaminate, embedding_dedup, language_id, ngram_join, pii, sharding, token_counts, toxicity, url_filter
+from cleanframe.llm import bpe, decontaminate, embedding_dedup, language_id, ngram_join, oracles, pii, sharding, token_counts, toxicity, url_filter
 from cleanframe.llm.common import hashed_share, read, utf8
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
@@ -35,12 +35,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(oracles.SHINGLE_CLASSES)
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
-@query()
+@query(oracles.CONTAMINATION)
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -108,6 +108,6 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(oracles.VECTOR_CLASSES)
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
