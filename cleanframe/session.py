@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -33,8 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+# Scratch tables of this driver that still exist, in the order of their making.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/cleanframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/cleanframe/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables made so far (from the `since`-th on). DataFrames that read them end with that."""
+    paths, _MADE[since:] = _MADE[since:], []
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end; results must be written or collected before."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str = "table") -> DataFrame:
+    """The table that `make` gives, written and read back; the scratch tables of its making are deleted."""
+    path = scratch_path(spark, label)
+    with scratch(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
