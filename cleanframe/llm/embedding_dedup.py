@@ -85,16 +85,22 @@ def _codes(models: dict[int, list[tuple[np.ndarray, np.ndarray]]], width: int, t
 
 
 def _cosines(threshold: float):
+    """Pairs (a, b, va, vb) whose cosine in double precision reaches the threshold; all pairs of a batch at once."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keep = []
-            for a, b in zip(batch.column("va"), batch.column("vb")):
-                x, y = np.asarray(a.values, np.float64), np.asarray(b.values, np.float64)
-                x, y = x / np.abs(x).max(), y / np.abs(y).max()
-                keep.append(x @ y / math.sqrt((x @ x) * (y @ y)) >= threshold)
-            part = batch.filter(pa.array(keep, pa.bool_()))
+            sides = []
+            for name in ("va", "vb"):
+                lists = batch.column(name)
+                starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+                values = np.asarray(lists.flatten(), np.float64)
+                scale = np.maximum.reduceat(np.abs(values), starts)
+                sides.append(values / np.repeat(scale, np.diff(np.append(starts, len(values)))))
+            x, y = sides
+            total = lambda v: np.add.reduceat(v, starts)
+            part = batch.filter(pa.array(total(x * y) / np.sqrt(total(x * x) * total(y * y)) >= threshold, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
     return run
