@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleanframe.functions.cells import row_hash
+from cleanframe.session import written
 
 # Hex digits settled per pass, which bounds what the driver reads per pass.
 DIGITS_PER_PASS = 3
@@ -22,7 +23,8 @@ def split_cut(df: DataFrame, hashed: Column, ratio: float) -> str:
     that straddles the cut is opened further, so copies of one row stay a
     single counter however many there are.
     """
-    hashes = df.select(hashed.alias("h"))
+    # The row text and its hash are computed once; the passes below read hashes only.
+    hashes = written(df.select(hashed.alias("h")), "hashes")
     prefix, below, total, cut = "", 0, None, ""
     inside = None
     while True:
