@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cleanframe.session import written
+from cleanframe.session import written, written_alone
 
-__all__ = ["hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "smallest", "utf8", "written"]
+__all__ = ["hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "smallest", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

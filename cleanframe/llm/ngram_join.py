@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import row_keys, salted_join, struct_type, written
+from cleanframe.llm.common import row_keys, salted_join, struct_type, written, written_alone
 from cleanframe.llm.components import components
 
 #: Rows of a list of keys that may be broadcast: at most some tens of MB.
@@ -86,7 +86,7 @@ class GroupedPrefixJoin:
     def __init__(self, texts: DataFrame, words: int, num: int, den: int):
         if not 0 < num <= den or words < 1:
             raise ValueError("the similarity is num / den in (0, 1], a shingle has a word at least")
-        self.texts, self.words, self.num, self.den = texts, words, num, den
+        self.texts, self.words, self.num, self.den, self.spark = texts, words, num, den, texts.sparkSession
         self.shape = struct_type(id=texts.schema["id"].dataType, n=T.LongType(), digest=T.BinaryType(), hashes=T.ArrayType(T.LongType()))
         self.rows = written(texts.mapInArrow(_sets(words, num, den, False), self.shape), "ngram-rows")
         nodes = self.rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
@@ -136,7 +136,7 @@ class GroupedPrefixJoin:
         plain = [t.join(o.select("node"), "node", "left_anti") for t, o in ((rest, first), (wholes, second))]
         parts = [o.select("node", "n", F.slice("ordered", 1, p).alias("prefix")) for o in (first.filter(enough), second)]
         parts += [t.select("node", "n", F.slice("hashes", 1, p).alias("prefix")) for t in plain]
-        return written(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), "ngram-prefixes")
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
     def similar_size(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
@@ -158,12 +158,12 @@ class GroupedPrefixJoin:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
         both = salted_join(salted_join(near, side("a"), "a", 5_000), side("b"), "b", 5_000)
         same = F.size(F.array_intersect("ha", "hb"))
-        linked = both.filter(same * self.den >= (F.col("na") + F.col("nb") - same) * self.num)
-        return written(linked.select("a", "b"), "ngram-links")
+        return both.filter(same * self.den >= (F.col("na") + F.col("nb") - same) * self.num).select("a", "b")
 
     def labels(self) -> DataFrame:
-        """(node, component) of the nodes that have links."""
-        prefixes = self.prefixes()
+        """(node, component) of the nodes that have links. What a step leaves besides its result is deleted."""
+        alone = lambda make, label: written_alone(self.spark, make, label)
+        prefixes = alone(self.prefixes, "ngram-prefixes")
         keyed = prefixes.select("node", "n", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"))
         groups = keyed.groupBy("n", "p1", "p2").agg(F.min("node").alias("group"), F.count("*").alias("size"))
         groups = written(groups, "ngram-groups")
@@ -174,12 +174,12 @@ class GroupedPrefixJoin:
         shared = entries.groupBy("h").agg(F.min_by("group", "pos").alias("centre"), F.sum("size").alias("in_all")).filter("in_all > 1")
         postings = written(entries.join(shared.select("h", "centre"), "h"), "ngram-postings")
         inside = members.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
-        links = self.verified(written(self.stars(postings).unionByName(inside), "ngram-pairs"))
-        found = written(components(links), "ngram-components")
-        rest = self.verified(self.remaining(postings, members, found))
+        links = alone(lambda: self.verified(written(self.stars(postings).unionByName(inside), "ngram-pairs")), "ngram-links")
+        found = alone(lambda: components(links), "ngram-components")
+        rest = alone(lambda: self.verified(written(self.remaining(postings, members, found), "ngram-pairs")), "ngram-links")
         if rest.isEmpty():
             return found
-        return written(components(links.unionAll(rest)), "ngram-components")
+        return alone(lambda: components(links.unionAll(rest)), "ngram-components")
 
     def shared_at_least(self, a: Column, b: Column) -> Column:
         """Prefix entries that similar sets of these sizes share: all they share but what can lie behind a prefix."""
@@ -209,11 +209,11 @@ class GroupedPrefixJoin:
         left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
         enough = left * (self.num + self.den) >= (F.col("a.n") + F.col("b.n")) * self.num
         pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & apart & self.similar_size(F.col("a.n"), F.col("b.n")) & enough)
-        return written(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "ngram-pairs")
+        return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """(id, n_shingles, component_id) of every row of the texts."""
-        labels = self.labels()
+        labels = written_alone(self.spark, self.labels, "ngram-labels")
         placed = self.nodes.select("node", "digest", "id").join(labels, "node", "left")
         placed = placed.select("digest", "id", F.coalesce("component", "node").alias("component"))
         names = placed.groupBy("component").agg(F.min("id").alias("component_id"))

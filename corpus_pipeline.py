@@ -9,11 +9,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cleanframe.llm import bpe, decontaminate, ngram_join, pii, toxicity
-from cleanframe.llm.common import read, written
+from cleanframe.llm.common import read, written_alone
 from cleanframe.llm.queries import SURROGATE_KEY, toxicity_model
 
 #: SQL cannot express the learned lexicon, the surrogates or the merges; tests hold the stages against plain versions.
@@ -60,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written_alone(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -10,6 +10,7 @@ from test_llm_ngram_join import plain as plain_classes
 
 import corpus_pipeline as C
 from cleanframe.llm import bpe, toxicity
+from cleanframe.llm.common import written
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +56,7 @@ def test_stages_against_plain_versions(spark, folder):
 
     stages, tables = dict(C.STAGES), []
     for name in ("toxicity", "near_duplicates", "decontamination", "personal_data", "tokens"):
-        frame = C.written(stages[name](spark, frame, path), f"test-{name}")
+        frame = written(stages[name](spark, frame, path), f"test-{name}")
         tables.append(frame)
     assert all(t.columns == ["doc_id", "text", "lang", "source", "n_chars"] for t in tables[:4])
     assert sorted(((r.doc_id, r.text) for r in tables[2].collect()), key=repr) == sorted(kept, key=repr)
