@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cleanframe.session import written, written_alone
@@ -64,6 +62,3 @@ def salted_join(many: DataFrame, one: DataFrame, on: str, rows_per_task: int = 5
 def struct_type(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
-
-def fresh(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"

@@ -332,7 +332,7 @@ def _weights(entries, found, bad: int, good: int, window: int) -> ToxicityModel:
     return ToxicityModel(model.entries, weights, float(beta[0]), float(max(beta[1], 0)), float(max(beta[2], 0)), window)
 
 
-def _scores(model: ToxicityModel, names: list[str], fields: pa.Schema | None = None):
+def _scores(model: ToxicityModel, names: list[str]):
     def run(batches):
         words = Words(Automaton(list(model.entries)))
         for batch in batches:
