@@ -2,7 +2,7 @@
 
 1. Texts are split into pre-tokens. A block of texts keeps its distinct words once, and each text as the positions of its
    pre-tokens in that list, so that what is shuffled later grows with distinct words and not with tokens.
-2. The words of all blocks are exploded and dealt by word; equal words meet, and each distinct word is encoded once.
+2. The words of all blocks are exploded into buckets by hash; equal words meet, and each distinct word is encoded once.
 3. The ids go back to the blocks, where the texts are reassembled by position.
 Decoding joins each id with the table of token bytes (one row for each id of the vocabulary) and joins the bytes.
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
+import zlib
 from array import array
 
 import numpy as np
@@ -85,7 +87,34 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(halves.T).view(np.uint32).ravel()
 
 
-def _blocks(pattern: str, size: int, id_type: pa.DataType):
+def _packed_words(words: list[bytes]) -> bytes:
+    """Sorted words: their lengths and their bytes, compressed."""
+    lengths = _packed(array("I", map(len, words)))
+    return struct.pack("<I", len(lengths)) + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def _unpacked_words(data: bytes) -> list[bytes]:
+    size = struct.unpack_from("<I", data)[0]
+    lengths = _unpacked(data[4 : 4 + size])
+    text = zstandard.ZstdDecompressor().decompress(data[4 + size :])
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _bucketed(numbers: dict[str, int], buckets: int) -> list[dict]:
+    """The words of a block by bucket, sorted, with their numbers."""
+    dealt: dict[int, list[tuple[bytes, int]]] = {}
+    for word, number in numbers.items():
+        data = word.encode()
+        dealt.setdefault(zlib.crc32(data) % buckets, []).append((data, number))
+    rows = []
+    for bucket, own in dealt.items():
+        own.sort()
+        rows.append({"bucket": bucket, "words": _packed_words([w for w, _ in own]), "numbers": _packed(array("I", [n for _, n in own]))})
+    return rows
+
+
+def _blocks(pattern: str, size: int, buckets: int, id_type: pa.DataType):
     def run(batches):
         split = regex.compile(pattern)
         task, made = TaskContext.get().partitionId(), 0
@@ -98,9 +127,9 @@ def _blocks(pattern: str, size: int, id_type: pa.DataType):
                     pa.array([ids], pa.list_(id_type)),
                     pa.array([counts], pa.list_(pa.int64())),
                     pa.array([_packed(positions)], pa.binary()),
-                    pa.array([list(numbers)], pa.list_(pa.string())),
+                    pa.array([_bucketed(numbers, buckets)], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("numbers", pa.binary())]))),
                 ],
-                ["block", "ids", "counts", "positions", "words"],
+                ["block", "ids", "counts", "positions", "dealt"],
             )
 
         for batch in batches:
@@ -120,37 +149,27 @@ def _blocks(pattern: str, size: int, id_type: pa.DataType):
     return run
 
 
-def _encoded(ranks, flush: int = 1_000_000):
-    """Sorted (word, block, number) to chunks of a block's dictionary: numbers, lengths and ids, packed."""
+def _encoded(ranks):
+    """Rows (bucket, block, words, numbers) sorted by bucket to the dictionaries of their blocks: numbers, lengths, ids.
+    The words of one bucket are held at a time, each encoded once."""
 
     def run(batches):
-        table = ranks.value
-        parts: dict[int, tuple[array, array, array]] = {}
-        held, last, ids = 0, None, []
-
-        def chunks():
-            rows = list(parts.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in rows], pa.int64()), *(pa.array([_packed(p[k]) for _, p in rows], pa.binary()) for k in range(3))],
-                ["block", "numbers", "lengths", "ids"],
-            )
-
+        table, at, known = ranks.value, None, {}
         for batch in batches:
-            for word, block, number in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if word != last:
-                    last, ids = word, encode_word(word.encode(), table)
-                own = parts.get(block)
-                if own is None:
-                    own = parts[block] = (array("I"), array("I"), array("I"))
-                own[0].append(number)
-                own[1].append(len(ids))
-                own[2].extend(ids)
-                held += 1
-            if held >= flush:
-                yield from chunks()
-                parts, held = {}, 0
-        if parts:
-            yield from chunks()
+            for bucket, block, words, numbers in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if bucket != at:
+                    at, known = bucket, {}
+                lengths, ids = array("I"), array("I")
+                for word in _unpacked_words(words):
+                    own = known.get(word)
+                    if own is None:
+                        own = known[word] = encode_word(word, table)
+                    lengths.append(len(own))
+                    ids.extend(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (numbers, _packed(lengths), _packed(ids)))],
+                    ["block", "numbers", "lengths", "ids"],
+                )
 
     return run
 
@@ -192,20 +211,23 @@ def _texts(out: pa.Schema):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, ids): the token ids of every whole text."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc_id", text: str = "text", block: int = BLOCK, buckets: int = 0) -> DataFrame:
+    """(id, ids): the token ids of every whole text. Words are dealt to `buckets`, by default four for each shuffle
+    partition; a task holds the distinct words of one bucket."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # fixed size: a row for each token
     kind = docs.schema[id_column].dataType
+    dealt = struct_type(bucket=T.IntegerType(), words=T.BinaryType(), numbers=T.BinaryType())
     shape = struct_type(
-        block=T.LongType(), ids=T.ArrayType(kind), counts=T.ArrayType(T.LongType()), positions=T.BinaryType(), words=T.ArrayType(T.StringType())
+        block=T.LongType(), ids=T.ArrayType(kind), counts=T.ArrayType(T.LongType()), positions=T.BinaryType(), dealt=T.ArrayType(dealt)
     )
     own = docs.select(F.col(id_column), F.col(text))
-    blocks = written(own.mapInArrow(_blocks(pattern, block, to_arrow_type(kind)), shape), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("number", "word")).select("word", "block", "number")
-    dealt = words.repartition("word").sortWithinPartitions("word")
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(own.mapInArrow(_blocks(pattern, block, buckets, to_arrow_type(kind)), shape), "bpe-blocks")
+    words = blocks.select("block", F.inline("dealt")).select("bucket", "block", "words", "numbers")
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     chunks = dealt.mapInArrow(_encoded(ranks), struct_type(block=T.LongType(), numbers=T.BinaryType(), lengths=T.BinaryType(), ids=T.BinaryType()))
     out = T.StructType([T.StructField(id_column, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     arrow = pa.schema([pa.field(id_column, to_arrow_type(kind)), pa.field("ids", pa.list_(pa.int32()))])
