@@ -3,7 +3,8 @@
 1. Texts are split into pre-tokens. A block of texts keeps its distinct words once, and each text as the positions of its
    pre-tokens in that list, so that what is shuffled later grows with distinct words and not with tokens.
 2. The words of all blocks are exploded into buckets by hash; equal words meet, and each distinct word is encoded once.
-3. The ids go back to the blocks, where the texts are reassembled by position.
+3. The ids go back to the blocks, where the texts are reassembled by position. Blocks are written in buckets, so that only
+   the ids move for that.
 Decoding joins each id with the table of token bytes (one row for each id of the vocabulary) and joins the bytes.
 
 Defined results: NULL and empty texts have no ids and decode to no bytes. Repeated rows are encoded one by one. Special
@@ -25,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import struct_type, written
+from cleanframe.llm.common import bucketed, struct_type
 
 #: Pre-tokens of a block: its words and positions are handled together in one task.
 BLOCK = 4_000_000
@@ -225,7 +226,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     )
     own = docs.select(F.col(id_column), F.col(text))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = written(own.mapInArrow(_blocks(pattern, block, buckets, to_arrow_type(kind)), shape), "bpe-blocks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(own.mapInArrow(_blocks(pattern, block, buckets, to_arrow_type(kind)), shape), "block", tasks, "bpe-blocks")
     words = blocks.select("block", F.inline("dealt")).select("bucket", "block", "words", "numbers")
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     chunks = dealt.mapInArrow(_encoded(ranks), struct_type(block=T.LongType(), numbers=T.BinaryType(), lengths=T.BinaryType(), ids=T.BinaryType()))

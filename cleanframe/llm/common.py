@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from cleanframe.session import written, written_alone
+from cleanframe.session import scratch_path, written, written_alone
 
-__all__ = ["hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "smallest", "utf8", "written", "written_alone"]
+__all__ = ["bucketed", "hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "smallest", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -20,6 +20,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """df written in buckets of a key and read back: work that groups by the key needs no shuffle of it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    name = "cleanframe_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    table = spark.read.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name goes, the files stay
+    return table
+
+
 def utf8(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
