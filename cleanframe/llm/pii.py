@@ -9,12 +9,17 @@ keep script and case, cards and IBANs keep a right (or wrong) check digit, names
 Collision checks: a surrogate that two entities of a kind draw, or that is itself a detected value of that kind, goes to
 the smallest value only or to none; the others draw again. So distinct entities stay distinct and nothing maps to a real one.
 
+Late attempts draw longer surrogates, so that also values with few others of their layout find a free one. Letters without
+a plain alphabet become letters of their script. An address or field value without any letter or digit is no entity.
+
 Defined results: NULL and empty texts stay. Repeated rows are changed alike. Documents are told apart by id and text, so
 ids may repeat or be NULL. All other columns are returned as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cleanframe.llm.common import row_keys, salted_join, written
@@ -32,6 +37,31 @@ ALPHABETS = [
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 HEX = ["0123456789", "abcdef"]
+#: Letters and digits of no alphabet above become one of their script; the first class that fits wins, and the last two fit
+#: what remains.
+SCRIPTS = [
+    (r"\p{IsHan}", "天地山水火木金土日月人口手心石田力工大小中上下左右春夏秋冬東西"),
+    (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"),
+    (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノ"),
+    (r"\p{IsHangul}", "가나다라마바사아자차카타파하거너더러머버서어저처"),
+    (r"[\p{L}&&\p{IsArabic}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    (r"[\p{L}&&\p{IsHebrew}]", "אבגדהוזחטיכלמנסעפצקרשת"),
+    (r"[\p{L}&&\p{IsDevanagari}]", "अआइईउऊएकखगघचछजझटठडढतथदधनपफबभमयरलवशसह"),
+    (r"[\p{L}&&\p{IsThai}]", "กขคงจชซญณดตถทธนบปผพฟภมยรลวศสหอ"),
+    (r"[\p{L}&&\p{IsGeorgian}]", "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ"),
+    (r"[\p{Lu}&&\p{IsArmenian}]", "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔ"),
+    (r"[\p{L}&&\p{IsArmenian}]", "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփք"),
+    (r"[\p{Lu}&&\p{IsCyrillic}]", ALPHABETS[4]),
+    (r"[\p{L}&&\p{IsCyrillic}]", ALPHABETS[3]),
+    (r"[\p{Lu}&&\p{IsGreek}]", ALPHABETS[6]),
+    (r"[\p{L}&&\p{IsGreek}]", ALPHABETS[5]),
+    (r"[\u0660-\u0669]", "٠١٢٣٤٥٦٧٨٩"),
+    (r"[\u06F0-\u06F9]", "۰۱۲۳۴۵۶۷۸۹"),
+    (r"[\u0966-\u096F]", "०१२३४५६७८९"),
+    (r"\p{N}", ALPHABETS[0]),
+    (r"[\p{Lu}\p{Lt}]", ALPHABETS[2]),
+    (r"\p{L}", ALPHABETS[1]),
+]
 #: Syllables of surrogate names, by script; the last syllable is by gender.
 SYLLABLES = {"latin": "ba de fi go ka lu mi no pa re si to va wen jo hal".split(), "cyrillic": "ба де фи го ка лу ми но па ре си то ва вен жо хал".split()}
 ENDINGS = {
@@ -44,9 +74,9 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FIELD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}(?:=\s{0,3}[\"']?|:\s{0,3}[\"']?(?=[^\s\"']{0,80}\d))"
 #: kind: (pattern, what must not stand before, what must not stand after). The first kind that fits a place wins.
 PATTERNS = {
-    "field": (FIELD + r"[\p{L}\p{N}+/_\-.]{6,200}", r"[\p{L}\p{N}_]", r"$^"),
+    "field": (FIELD + r"(?=[+/_\-.]{0,200}[\p{L}\p{N}])[\p{L}\p{N}+/_\-.]{6,200}", r"[\p{L}\p{N}_]", r"$^"),
     "key": (r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]{0,63}\d)[0-9a-f]{32,64}", r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]"),
-    "email": (r"[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}", r"[\p{L}\p{N}._%+\-]", r"$^"),
+    "email": (r"(?=[._%+\-]{0,64}(?:@\-{0,62})?[\p{L}\p{N}])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}", r"[\p{L}\p{N}._%+\-]", r"$^"),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}\p{N}]", r"[\p{L}\p{N}]"),
     "ssn": (r"\d{3}-\d{2}-\d{4}", r"[\p{N}\-]", r"\p{N}|-\p{N}"),
     "card": (r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}", r"[\p{L}\p{N}+]", r"\p{N}"),
@@ -119,16 +149,28 @@ def _stream(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(key), F.lit("|"), *marked, F.lit("|"), F.lit(key)), 512)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def _exchanged(value: Column, stream: Column, alphabets: list[str], keep: int = 0) -> Column:
-    """Each character after the first `keep` becomes another one of its alphabet."""
+    """Each character after the first `keep` becomes another one of its alphabet. With all alphabets, every other letter or
+    digit becomes another one of its script; what is neither stays."""
 
     def one(ch: Column, i: Column) -> Column:
-        out = ch
-        for letters in alphabets:
-            at = F.position(ch, F.lit(letters))
-            moved = (at + _byte(stream, i) % (len(letters) - 1)) % len(letters) + 1
-            out = F.when(at > 0, F.substr(F.lit(letters), moved, F.lit(1))).otherwise(out)
-        return F.when(i < keep, ch).otherwise(out)
+        letters = F.lit("")
+        for script, own in reversed(SCRIPTS if alphabets is ALPHABETS else []):
+            letters = F.when(ch.rlike(script), own).otherwise(letters)
+        for own in alphabets:
+            letters = F.when(F.position(ch, F.lit(own)) > 0, own).otherwise(letters)
+
+        def moved(own: Column) -> Column:
+            at, shift, n = F.position(ch, own), _byte(stream, i), F.length(own)
+            place = F.when(at > 0, (at + shift % (n - 1)) % n).otherwise(shift % n) + 1
+            return F.when((n == 0) | (i < keep), ch).otherwise(F.substr(own, place, F.lit(1)))
+
+        return _bound(letters, moved)
 
     return F.array_join(F.transform(_chars(value), one), "")
 
@@ -161,14 +203,20 @@ def _iban(value: Column, stream: Column) -> Column:
     return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
 
 
-def _email(value: Column, stream: Column, key: str) -> Column:
+def _more(stream: Column, attempt: int) -> Column:
+    """What late attempts add to a surrogate, so that values with few of their layout never run out."""
+    extra = attempt // 4
+    return F.substr(stream, F.lit(129 - extra), F.lit(extra))
+
+
+def _email(value: Column, stream: Column, key: str, more: Column) -> Column:
     """Local part by the whole address, domain by the domain alone: one domain keeps one surrogate."""
     at = F.position(F.lit("@"), value)
     domain = F.substr(value, at + 1)
     top = F.regexp_extract(domain, r"(\.[^.]+)$", 1)
     name = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
     local = _exchanged(F.substr(value, F.lit(1), at - 1), stream, ALPHABETS)
-    return F.concat(local, F.lit("@"), _exchanged(name, _stream(key, F.lit("domain"), domain), ALPHABETS), top)
+    return F.concat(local, more, F.lit("@"), _exchanged(name, _stream(key, F.lit("domain"), domain), ALPHABETS), top)
 
 
 def _ipv4(stream: Column) -> Column:
@@ -188,26 +236,31 @@ def _name(value: Column, kind: Column, stream: Column, attempt: int) -> Column:
 
 
 def _surrogate(kind: Column, value: Column, key: str, attempt: int) -> Column:
-    stream = _stream(key, kind, value, F.lit(attempt))
+    return _bound(_stream(key, kind, value, F.lit(attempt)), lambda stream: _drawn(kind, value, stream, key, attempt))
+
+
+def _drawn(kind: Column, value: Column, stream: Column, key: str, attempt: int) -> Column:
+    more = _more(stream, attempt)
+    digits = F.translate(more, "abcdef", "012345")
     hexadecimal = value.rlike("^[0-9a-f]+$")
     prefix = r"^(?:AKIA|ASIA|gh[pousr]_|sk-)"
     secret = F.concat(F.regexp_extract(value, f"({prefix})?", 0), _exchanged(F.regexp_replace(value, prefix, ""), stream, ALPHABETS))
     return (
         F.when(kind.startswith("given_") | kind.startswith("family_"), _name(value, kind, stream, attempt))
-        .when(kind == "email", _email(value, stream, key))
+        .when(kind == "email", _email(value, stream, key, more))
         .when(kind == "ipv4", _ipv4(stream))
         .when(kind == "card", _card(value, stream))
         .when(kind == "iban", _iban(value, stream))
-        .when(kind.isin("key", "field") & hexadecimal, _exchanged(value, stream, HEX))
-        .when(kind == "key", secret)
-        .when(kind == "field", _exchanged(value, stream, ALPHABETS))
-        .when(kind == "phone", _exchanged(value, stream, ALPHABETS[:1], 1))
-        .otherwise(_exchanged(value, stream, ALPHABETS[:1]))
+        .when(kind.isin("key", "field") & hexadecimal, F.concat(_exchanged(value, stream, HEX), more))
+        .when(kind == "key", F.concat(secret, more))
+        .when(kind == "field", F.concat(_exchanged(value, stream, ALPHABETS), more))
+        .when(kind == "phone", F.concat(_exchanged(value, stream, ALPHABETS[:1], 1), digits))
+        .otherwise(F.concat(_exchanged(value, stream, ALPHABETS[:1]), digits))
     )
 
 
 def _laid_out(raw: Column, plain: Column) -> Column:
-    """The characters of `plain` in place of the letters and digits of a mention."""
+    """The characters of `plain` in place of the letters and digits of a mention; what is left over stands at the end."""
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"))
 
     def put(acc: Column, ch: Column) -> Column:
@@ -215,7 +268,7 @@ def _laid_out(raw: Column, plain: Column) -> Column:
         own = F.when(slot, F.substr(plain, acc["at"], F.lit(1))).otherwise(ch)
         return F.struct((acc["at"] + slot.cast("int")).alias("at"), F.concat(acc["text"], own).alias("text"))
 
-    return F.aggregate(_chars(raw), start, put, lambda acc: acc["text"])
+    return F.aggregate(_chars(raw), start, put, lambda acc: F.concat(acc["text"], F.substr(plain, acc["at"])))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:

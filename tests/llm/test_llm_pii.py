@@ -97,3 +97,26 @@ def test_keys_change_surrogates_and_extra_columns_stay(spark, found):
 
 def test_empty_table(spark):
     assert P.replace(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
+
+
+def replaced(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, r.n_entities) for r in P.replace(rows, "key").orderBy("doc_id").collect()]
+
+
+def test_letters_of_every_script_are_replaced(spark):
+    secrets = ["token=日本語日本語", "用户@例子.中国", "josé.ñandú@éé.de", "password=пароёль٤٢", "token=한국어한국어", "pwd=𐐀𐐁𐐂𐐃𐐄𐐅ßŒ", "secret=éèêëôûà"]
+    for old, (new, n) in zip(secrets, replaced(spark, secrets)):
+        split = "=" if "=" in old else "@"
+        one, two = old.rsplit("." if split == "@" else "\0")[0], new.rsplit("." if split == "@" else "\0")[0]
+        start = old.index(split) + 1 if split == "=" else 0
+        assert n == 1 and len(one) == len(two) and old[:start] == new[:start]
+        assert all(a != b for a, b in zip(one[start:], two[start:]) if a.isalnum())
+
+
+def test_no_value_exhausts_the_rounds(spark):
+    """Values without a letter or digit are no entities; all ten values of a layout still get distinct surrogates."""
+    texts = ["password=......", "__@--.--"] + [f"password=.....{i}" for i in range(10)]
+    got = replaced(spark, texts)
+    assert got[:2] == [(t, 0) for t in texts[:2]]
+    assert len({t for t, _ in got[2:]}) == 10 and not {t for t, _ in got[2:]} & set(texts) and all(n == 1 for _, n in got[2:])
