@@ -71,11 +71,18 @@ ENDINGS = {
 
 NAME = r"\p{Lu}\p{Ll}+"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-FIELD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}(?:=\s{0,3}[\"']?|:\s{0,3}[\"']?(?=[^\s\"']{0,80}\d))"
+FIELD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}(?:=\s{0,3}|:\s{0,3}(?=[\"']?[^\s\"']{0,4000}\d))"
+#: A field's value: up to the closing quote of its line, or up to white space or a quote; a letter or digit is in its first 4,000 characters.
+SPACE = r"\s\p{Z}\p{Cc}"
+VALUE = (
+    r"(?:\"(?=[^\"\p{Cc}\p{Zl}\p{Zp}\p{L}\p{N}]{0,4000}[\p{L}\p{N}])[^\"\p{Cc}\p{Zl}\p{Zp}]{6,}+(?=\")"
+    r"|'(?=[^'\p{Cc}\p{Zl}\p{Zp}\p{L}\p{N}]{0,4000}[\p{L}\p{N}])[^'\p{Cc}\p{Zl}\p{Zp}]{6,}+(?=')"
+    rf"|[\"']?(?=[^{SPACE}\"'\p{{L}}\p{{N}}]{{0,4000}}[\p{{L}}\p{{N}}])[^{SPACE}\"']{{6,}}+)"
+)
 #: kind: (pattern, what must not stand before, what must not stand after). The first kind that fits a place wins.
 PATTERNS = {
-    "field": (FIELD + r"(?=[+/_\-.]{0,200}[\p{L}\p{N}])[\p{L}\p{N}+/_\-.]{6,200}", r"[\p{L}\p{N}_]", r"$^"),
-    "key": (r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f]{0,63}\d)[0-9a-f]{32,64}", r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]"),
+    "field": (FIELD + VALUE, r"[\p{L}\p{N}_]", r"$^"),
+    "key": (r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|(?=[a-f]*+\d)[0-9a-f]{32,}+", r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]"),
     "email": (r"(?=[._%+\-]{0,64}(?:@\-{0,62})?[\p{L}\p{N}])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}", r"[\p{L}\p{N}._%+\-]", r"$^"),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}\p{N}]", r"[\p{L}\p{N}]"),
     "ssn": (r"\d{3}-\d{2}-\d{4}", r"[\p{N}\-]", r"\p{N}|-\p{N}"),
@@ -90,7 +97,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?<!{before})(?:{pattern})(?!{after})" for pattern, before, after in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@=]|(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}"
+HINT = rf"[0-9@=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}"
 KEYS = ["k1", "k2"]
 ROUNDS = 60
 
@@ -102,7 +109,7 @@ def mentions(text: str) -> Column:
 
 def _kind(raw: Column) -> Column:
     found = F.lit(None).cast("string")
-    for kind, (pattern, _, _) in reversed(PATTERNS.items()):
+    for kind, (pattern, _, _) in reversed({**PATTERNS, "field": (FIELD + ".+", "", "")}.items()):
         found = F.when(raw.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(found)
     return found
 
@@ -130,7 +137,8 @@ def _parts(raw: Column, kind: Column) -> Column:
 
 
 def _field(raw: Column, group: int) -> Column:
-    return F.regexp_extract(raw, rf"^([\p{{L}}_\-]+\s{{0,3}}[=:]\s{{0,3}}[\"']?)(.+)$", group)
+    """Of a field: 1 what stands before the value, 2 the value, 3 punctuation that may end a sentence and stays."""
+    return F.regexp_extract(raw, rf"^([\p{{L}}_\-]+\s{{0,3}}[=:]\s{{0,3}}[\"']?)(.+?)([.,;:!?)\]}}>]*+)$", group)
 
 
 def _chars(value: Column) -> Column:
@@ -138,9 +146,12 @@ def _chars(value: Column) -> Column:
 
 
 def _byte(stream: Column, i: Column | int) -> Column:
-    """The i-th byte of 64 that a hash in hexadecimal holds, starting over after the last."""
-    at = (F.lit(i) if isinstance(i, int) else i) % 64
-    return F.conv(F.substr(stream, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    """The i-th byte of a hash in hexadecimal; the hash of it and a block's number goes on after each 64 bytes."""
+    if isinstance(i, int):
+        return F.conv(F.substr(stream, F.lit(i * 2 + 1), F.lit(2)), 16, 10).cast("int")
+    block = F.floor(i / 64).cast("string")
+    own = F.when(i < 64, stream).otherwise(F.sha2(F.concat(stream, F.lit("|"), block), 512))
+    return F.conv(F.substr(own, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _stream(key: str, *parts: Column) -> Column:
@@ -309,7 +320,7 @@ class Surrogates:
             F.when(kind == "person", F.concat(F.regexp_extract(raw, r"^\S+ ", 0), F.array_join("new", " ")))
             .when(kind == "email", cased)
             .when(kind.isin("ipv4", "key"), first)
-            .when(kind == "field", F.concat(_field(raw, 1), first))
+            .when(kind == "field", F.concat(_field(raw, 1), first, _field(raw, 3)))
             .otherwise(_laid_out(raw, first))
         )
         self.replacements = written(drawn.select("raw", kind.alias("kind"), replacement.alias("replacement")), "replacements")

@@ -120,3 +120,16 @@ def test_no_value_exhausts_the_rounds(spark):
     got = replaced(spark, texts)
     assert got[:2] == [(t, 0) for t in texts[:2]]
     assert len({t for t, _ in got[2:]}) == 10 and not {t for t, _ in got[2:]} & set(texts) and all(n == 1 for _, n in got[2:])
+
+
+def test_fields_and_keys_are_replaced_whole(spark):
+    long, digits = "Ab1" * 150, "0123456789abcdef" * 8
+    secrets = [f"token={long}", f"key {digits} end", "sk-" + "aB3" * 30, "password=P@ssw0rd! x", 'pwd="correct horse: battery" x', "token=YWJjZGVm==", "secret='a b c d e f' x"]
+    for old, (new, n) in zip(secrets, replaced(spark, secrets)):
+        assert n == 1 and len(old) == len(new)
+        start = 3 if old.startswith("sk-") else 4 if old.startswith("key") else old.index("=") + 1
+        end = len(old) - (4 if old.endswith(" end") else 2 if old.endswith(" x") else 0)
+        assert old[:start] == new[:start] and old[end:] == new[end:]
+        assert all(a != b for a, b in zip(old[start:end], new[start:end]) if a.isalnum())
+    (one, _), (two, _) = replaced(spark, ["token=abc123xyz, next", "token=abc123xyz"])
+    assert one == two + ", next"
