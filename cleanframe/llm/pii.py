@@ -1,7 +1,8 @@
 """Personal data: detected entities get keyed surrogates of the same type, in DataFrame functions only.
 
 Detected: e-mail addresses, IBANs, social security numbers, payment cards, IPv4 addresses, phone numbers, access keys,
-`password=...` fields, and names after a title. An entity is its kind and canonical value (digits without layout,
+`password=...` fields, and names after a title; in a text with a titled name, its words are found again without one.
+A given name has one entity, whose gender is that of any titled mention. An entity is its kind and canonical value (digits without layout,
 lower-case address, ...). Its surrogate is drawn from SHA-512 of the secret key, kind, value and attempt, so that every
 mention in every document gets the same one, and is written into the layout of each mention: digits stay digits, letters
 keep script and case, cards and IBANs keep a right (or wrong) check digit, names keep gender and script.
@@ -69,7 +70,13 @@ ENDINGS = {
     "cyrillic": {"m": "рик тон берт мунд".split(), "f": "лина рита несса белла".split(), "u": "лей ран сен мон".split()},
 }
 
-NAME = r"\p{Lu}\p{Ll}+"
+TITLE = rf"(?:{MALE}|{FEMALE}|Dr|Prof)"
+#: Two letters or more, with inner capitals, hyphens and apostrophes; not the 's of a possessive.
+NAME = r"(?=\p{Lu}(?:[\p{L}\p{M}]|['’\-]\p{L}))\p{Lu}[\p{L}\p{M}]*+(?:(?:['’](?!s(?![\p{L}\p{M}]))|-)[\p{L}\p{M}]++){0,3}+"
+PARTICLE = r"(?:von|van|zu|de|der|den|del|della|di|da|dos|du|la|le|el|al|bin|ibn|y)"
+BETWEEN = rf"(?:(?:{PARTICLE}|\p{{Lu}}\.) ){{0,3}}"
+#: A word that may be a name again.
+UNTITLED = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){NAME}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FIELD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}(?:=\s{0,3}|:\s{0,3}(?=[\"']?[^\s\"']{0,4000}\d))"
 #: A field's value: up to the closing quote of its line, or up to white space or a quote; a letter or digit is in its first 4,000 characters.
@@ -93,11 +100,11 @@ PATTERNS = {
         r"[\p{L}\p{N}+]",
         r"\p{N}",
     ),
-    "person": (rf"(?:{MALE}|{FEMALE}|Dr|Prof)\.? {NAME}(?: {NAME})?", r"[\p{L}\p{N}]", r"\p{L}"),
+    "person": (rf"{TITLE}\.? {BETWEEN}{NAME}(?: (?!{TITLE}\.? ){BETWEEN}{NAME}){{0,3}}", r"[\p{L}\p{N}]", r"\p{L}"),
 }
 ANY = "|".join(f"(?<!{before})(?:{pattern})(?!{after})" for pattern, before, after in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@=]|AKIA|ASIA|gh[pousr]_|sk-|(?:{MALE}|{FEMALE}|Dr|Prof)\.? \p{{Lu}}"
+HINT = rf"[0-9@=]|AKIA|ASIA|gh[pousr]_|sk-|{TITLE}\.? (?:{PARTICLE} |\p{{Lu}})"
 KEYS = ["k1", "k2"]
 ROUNDS = 60
 
@@ -119,15 +126,25 @@ def _plain(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[^\p{L}\p{N}]", "")
 
 
+def _words(raw: Column) -> Column:
+    """The words of a name after its title."""
+    return F.split(F.regexp_replace(raw, r"^\S+ ", ""), " ")
+
+
+def _cased(surrogate: Column, word: Column) -> Column:
+    """A name's surrogate, in capitals if the name is."""
+    return F.when((word == F.upper(word)) & ~word.rlike(r"^\p{Lu}\.$"), F.upper(surrogate)).otherwise(surrogate)
+
+
 def _parts(raw: Column, kind: Column) -> Column:
-    """The entities of a mention: (kind, value); a name has one for each of its words."""
-    words = F.split(F.regexp_replace(raw, r"^\S+ ", ""), " ")
-    gender = F.when(raw.rlike(f"^(?:{MALE})\\b"), "m").when(raw.rlike(f"^(?:{FEMALE})"), "f").otherwise("u")
-    given = F.struct(F.concat(F.lit("given_"), gender).alias("kind"), F.get(words, F.lit(0)).alias("value"))
-    family = F.struct(F.lit("family_u").alias("kind"), F.element_at(words, -1).alias("value"))
+    """The entities of a mention: (kind, value); a name has one for each of its words, with no kind for particles."""
+    gender = F.when(raw.rlike(rf"^(?:{MALE})(?!\p{{L}})"), "m").when(raw.rlike(f"^(?:{FEMALE})"), "f").otherwise("u")
+    last = F.size(_words(raw)) - 1
+    named = lambda w, i: F.when(~w.rlike(f"^{PARTICLE}$"), F.when(i == last, "family_u").otherwise(F.concat(F.lit("given_"), gender)))
+    names = F.transform(_words(raw), lambda w, i: F.struct(named(w, i).alias("kind"), F.initcap(w).alias("value")))
     one = lambda value: F.array(F.struct(kind.alias("kind"), value.alias("value")))
     return (
-        F.when(kind == "person", F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family)))
+        F.when(kind == "person", names)
         .when(kind == "email", one(F.lower(raw)))
         .when(kind == "ipv4", one(raw))
         .when(kind == "key", one(raw))
@@ -282,6 +299,36 @@ def _laid_out(raw: Column, plain: Column) -> Column:
     return F.aggregate(_chars(raw), start, put, lambda acc: F.concat(acc["text"], F.substr(plain, acc["at"])))
 
 
+def _renamed(gap: Column, names: Column) -> Column:
+    """(text, n) of the text between two mentions: its words that are among names (value, kind, surrogate), or whose
+    parts between hyphens are, get the surrogates; n words do."""
+
+    def known(word: Column) -> Column:
+        return _cased(F.get(F.filter(names, lambda x: x["value"] == F.initcap(word)), F.lit(0))["surrogate"], word)
+
+    def new(word: Column) -> Column:
+        parts = F.transform(F.split(word, "-"), lambda part: F.coalesce(known(part), part))
+        return F.coalesce(known(word), F.when(F.contains(word, F.lit("-")), F.array_join(parts, "-")).otherwise(word))
+
+    def put(changed: Column) -> Column:
+        pieces = F.transform(F.split(gap, UNTITLED, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(changed, i)["new"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(changed, lambda x: x["old"] != x["new"])).alias("n"))
+
+    found = F.regexp_extract_all(gap, F.lit(UNTITLED), F.lit(0))
+    return _bound(F.transform(found, lambda word: F.struct(word.alias("old"), new(word).alias("new"))), put)
+
+
+def with_known_gender(parts: DataFrame) -> DataFrame:
+    """Rows with a kind and a value, where a given name has one kind: that of its titled mentions, `given_u` without any
+    that tells or with both."""
+    given = parts.filter(F.col("kind").startswith("given_"))
+    told = F.when(F.col("kind") != "given_u", F.col("kind"))
+    known = given.groupBy("value").agg(F.min(told).alias("low"), F.max(told).alias("high"))
+    known = known.select("value", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("given_u").alias("kind"))
+    one = salted_join(given.drop("kind"), known, "value").select(parts.columns)
+    return parts.filter(~F.col("kind").startswith("given_")).unionByName(one)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct entities (kind, value); no two of a kind are equal, none is a value of its kind."""
     entities = written(entities.distinct(), "entities")
@@ -310,36 +357,47 @@ class Surrogates:
         self.found = written(found.dropDuplicates(KEYS), "mentions")
         raws = self.found.select(F.explode("mentions").alias("raw")).distinct().withColumn("kind", _kind(F.col("raw")))
         raws = written(raws.select("raw", "kind", _parts(F.col("raw"), F.col("kind")).alias("parts")), "raw-mentions")
-        self.entities = surrogates(raws.select(F.inline("parts")), key)
         flat = raws.select("raw", F.col("kind").alias("as"), F.posexplode("parts").alias("pos", "part")).select("raw", "as", "pos", "part.kind", "part.value")
+        flat = written(with_known_gender(flat.filter(F.col("kind").isNotNull())), "mention-parts")
+        self.entities = surrogates(flat.select("kind", "value"), key)
         drawn = flat.join(self.entities, ["kind", "value"]).groupBy("raw", "as")
-        drawn = drawn.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))), lambda x: x["surrogate"]).alias("new"))
-        raw, kind, first = F.col("raw"), F.col("as"), F.col("new")[0]
+        drawn = drawn.agg(F.sort_array(F.collect_list(F.struct("pos", "value", "kind", "surrogate"))).alias("new"))
+        raw, kind, first = F.col("raw"), F.col("as"), F.col("new")[0]["surrogate"]
+        person = F.transform(_words(raw), lambda w, i: F.coalesce(_cased(F.get(F.filter("new", lambda x: x["pos"] == i), F.lit(0))["surrogate"], w), w))
+        names = F.transform(F.filter("new", lambda x: ~x["value"].endswith(".")), lambda x: F.struct(x["value"], x["kind"], x["surrogate"]))
         cased = F.when((raw == F.upper(raw)) & (raw != F.lower(raw)), F.upper(first)).otherwise(first)
         replacement = (
-            F.when(kind == "person", F.concat(F.regexp_extract(raw, r"^\S+ ", 0), F.array_join("new", " ")))
+            F.when(kind == "person", F.concat(F.regexp_extract(raw, r"^\S+ ", 0), F.array_join(person, " ")))
             .when(kind == "email", cased)
             .when(kind.isin("ipv4", "key"), first)
             .when(kind == "field", F.concat(_field(raw, 1), first, _field(raw, 3)))
             .otherwise(_laid_out(raw, first))
         )
-        self.replacements = written(drawn.select("raw", kind.alias("kind"), replacement.alias("replacement")), "replacements")
+        self.replacements = written(drawn.select("raw", kind.alias("kind"), replacement.alias("replacement"), F.when(kind == "person", names).alias("names")), "replacements")
 
     def replaced(self) -> DataFrame:
         """docs with the text after replacement; n_entities counts mentions, in a column of that name."""
         single = self.found.select(*KEYS, F.posexplode("mentions").alias("pos", "raw"))
         single = written(single, "single-mentions")
-        joined = salted_join(single, self.replacements.select("raw", "replacement"), "raw", 20_000)
-        lists = joined.groupBy(*KEYS).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "replacement"))), lambda x: x["replacement"]).alias("_new"))
+        joined = salted_join(single, self.replacements.select("raw", "replacement", "names"), "raw", 20_000)
+        lists = joined.groupBy(*KEYS).agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "replacement"))), lambda x: x["replacement"]).alias("_new"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias("_names"),
+        )
         columns = [c for c in self.docs.columns if c != "n_entities"]
         k1, k2 = row_keys(self.id_column, self.text)
         keyed = self.docs.select(*columns, k1, k2)
         hinted = F.coalesce(F.col(self.text).rlike(HINT), F.lit(False))
         changed = keyed.filter(hinted).join(lists, KEYS, "left")
+        plain = lambda gap: F.struct(gap.alias("text"), F.lit(0).alias("n"))
         gaps = F.split(F.col(self.text), ANY, -1)
-        pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(F.get("_new", i), F.lit(""))))
-        text = F.when(F.col("_new").isNull(), F.col(self.text)).otherwise(F.array_join(pieces, ""))
-        count = F.coalesce(F.size(F.coalesce("_new", F.array().cast("array<string>"))), F.lit(0)).cast("long")
+        gaps = F.when(F.size("_names") > 0, F.transform(gaps, lambda gap: _renamed(gap, F.col("_names")))).otherwise(F.transform(gaps, plain))
+        own, after = [c for c in changed.columns if c not in KEYS], F.struct(F.col("_new").alias("new"), gaps.alias("gaps")).alias("_after")
+        changed = changed.select(*own, F.when(F.col("_new").isNotNull(), after).alias("_after"))
+        pieces = F.transform("_after.gaps", lambda gap, i: F.concat(gap["text"], F.coalesce(F.get("_after.new", i), F.lit(""))))
+        text = F.when(F.col("_after").isNull(), F.col(self.text)).otherwise(F.array_join(pieces, ""))
+        untitled = F.aggregate("_after.gaps", F.lit(0), lambda n, gap: n + gap["n"])
+        count = F.coalesce(F.size("_after.new") + untitled, F.lit(0)).cast("long")
         as_before = [F.col(c) for c in columns]
         with_new = [text.alias(c) if c == self.text else F.col(c) for c in columns]
         return changed.select(*with_new, count.alias("n_entities")).unionByName(keyed.filter(~hinted).select(*as_before, F.lit(0).cast("long").alias("n_entities")))

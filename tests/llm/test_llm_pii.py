@@ -133,3 +133,18 @@ def test_fields_and_keys_are_replaced_whole(spark):
         assert all(a != b for a, b in zip(old[start:end], new[start:end]) if a.isalnum())
     (one, _), (two, _) = replaced(spark, ["token=abc123xyz, next", "token=abc123xyz"])
     assert one == two + ", next"
+
+
+def test_names_are_found_again_without_title(spark):
+    texts = [
+        "Mr. John Smith spoke. Smith said John left; SMITH's car, Smith-Lee. Smithson stays.",
+        "Dr. John Smith and Mr. McDonald met Ms. O'Brien, Frau Anna-Maria Lopez Garcia and Prof. J. van Dyke.",
+        "Smith and John are not named with a title here.",
+    ]
+    (one, n), (two, m), (three, k) = replaced(spark, texts)
+    found = re.fullmatch(r"Mr\. (\w+) (\w+) spoke\. (\w+) said (\w+) left; (\w+)'s car, (\w+)-Lee\. Smithson stays\.", one)
+    given, family = found[1], found[2]
+    assert found[3] == family == found[6] and found[4] == given and found[5] == family.upper() and n == 5
+    assert two.startswith(f"Dr. {given} {family} and Mr. ") and given.endswith(tuple(P.ENDINGS["latin"]["m"])) and m == 5
+    assert not re.search("Smith|John|Donald|Brien|Anna|Maria|Lopez|Garcia|Dyke", two)
+    assert (three, k) == (texts[2], 0)
