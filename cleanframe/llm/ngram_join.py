@@ -211,22 +211,46 @@ class GroupedPrefixJoin:
         pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & apart & self.similar_size(F.col("a.n"), F.col("b.n")) & enough)
         return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
-    def classes(self) -> DataFrame:
-        """(id, n_shingles, component_id) of every row of the texts."""
+    def links(self) -> DataFrame:
+        """All pairs (a, b) of nodes that are similar enough, also inside a component: as many as a group has links."""
+        prefixes = written_alone(self.spark, self.prefixes, "ngram-prefixes")
+        entries = written(prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "h")), "ngram-entries")
+        a, b = entries.alias("a"), entries.alias("b")
+        left = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+        enough = left * (self.num + self.den) >= (F.col("a.n") + F.col("b.n")) * self.num
+        met = (F.col("a.h") == F.col("b.h")) & (F.col("a.node") < F.col("b.node")) & self.similar_size(F.col("a.n"), F.col("b.n")) & enough
+        pairs = a.join(b, met).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        return written(self.verified(written(pairs, "ngram-pairs")), "ngram-links")
+
+    def link_counts(self) -> DataFrame:
+        """(digest, n_links) of every node: rows linked directly with each of its rows, copies included."""
+        links = self.links()
+        copies = self.nodes.select("node", "digest").join(self.rows.filter("n > 0").groupBy("digest").agg(F.count("*").alias("copies")), "digest")
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        others = salted_join(ends, copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("n"))
+        return copies.join(others, "node", "left").select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+    def classes(self, counted: bool = False) -> DataFrame:
+        """(id, n_shingles, component_id) of every row of the texts; n_links too if counted."""
         labels = written_alone(self.spark, self.labels, "ngram-labels")
         placed = self.nodes.select("node", "digest", "id").join(labels, "node", "left")
         placed = placed.select("digest", "id", F.coalesce("component", "node").alias("component"))
         names = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-        named = written(salted_join(placed.select("digest", "component"), names, "component").select("digest", "component_id"), "ngram-named")
+        named = salted_join(placed.select("digest", "component"), names, "component").select("digest", "component_id")
+        if counted:
+            named = named.join(self.link_counts(), "digest")
+        named, more = written(named, "ngram-named"), ["n_links"] if counted else []
         rows = self.rows.select("id", F.col("n").alias("n_shingles"), "digest")
-        linked = salted_join(rows.filter("n_shingles > 0"), named, "digest").select("id", "n_shingles", "component_id")
-        return linked.unionByName(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
+        linked = salted_join(rows.filter("n_shingles > 0"), named, "digest").select("id", "n_shingles", "component_id", *more)
+        none = [F.lit(0).cast("long").alias(c) for c in more]
+        return linked.unionByName(rows.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *none))
 
 
-def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id. Two documents link when den * |both| >= num * |either|."""
+def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, counted: bool = False) -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id; if counted, also n_links (other rows linked directly),
+    for which all pairs are verified. Two documents link when den * |both| >= num * |either|."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    return GroupedPrefixJoin(texts, words, num, den).classes().withColumnRenamed("id", id_column)
+    return GroupedPrefixJoin(texts, words, num, den).classes(counted).withColumnRenamed("id", id_column)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

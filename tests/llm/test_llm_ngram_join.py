@@ -96,3 +96,12 @@ def test_empty_and_long(spark):
 def test_bad_parameters(spark):
     with pytest.raises(ValueError):
         N.link(spark.createDataFrame([], "doc_id long, text string"), num=0)
+
+
+def test_links_inside_components_are_counted(spark, rows):
+    got = N.link(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, counted=True)
+    own = [sets(t, 3) for _, t in rows]
+    near = lambda a, b: len(a & b) * 100 >= 90 * len(a | b)
+    want = [(i, len(s), sum(near(s, o) for o in own) - 1 if s else 0) for (i, _), s in zip(rows, own)]
+    found = [(r.doc_id, r.n_shingles, r.n_links) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
