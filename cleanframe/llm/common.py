@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cleanframe.session import scratch_path, written, written_alone
 
-__all__ = ["bucketed", "hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "smallest", "utf8", "written", "written_alone"]
+__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -72,3 +76,70 @@ def salted_join(many: DataFrame, one: DataFrame, on: str, rows_per_task: int = 5
 def struct_type(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
+
+
+def bound_arrow_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Batches handed to Python hold at most `size` bytes, unless the session bounds them more tightly: texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "", str((1 << 31) - 1)) or _bytes(spark.conf.get(name)) > size:
+        spark.conf.set(name, str(size))
+
+
+def _bytes(said: str) -> int:
+    unit = {"k": 10, "m": 20, "g": 30}.get(said.lower().rstrip("b")[-1:], 0)
+    return int(said.lower().rstrip("bkmg") or 0) << unit
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where a column of df has one of them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def scanned(rows: DataFrame, unit: list[int], join: Callable[[list[int], list[int]], list[int]], backwards: bool) -> DataFrame:
+    """(at, before): for each row (c, block, at, value array<long>) of a key c, what comes before it in the order of `at`
+    (behind it, if backwards), joined in the order of `at`; `unit` where there is nothing.
+
+    `join` is associative. Rows of a block are joined first, then the blocks of a key: a task holds the rows of one block or
+    one row for each block of a key, and blocks are partitions of sorted data, so neither grows with a hot key.
+    """
+    kind = rows.schema["c"].dataType
+    arrow = to_arrow_type(kind)
+    both = (lambda old, new: join(new, old)) if backwards else join
+
+    def ordered(table: pa.Table, by: str) -> list[dict]:
+        return sorted(table.to_pylist(), key=lambda r: r[by], reverse=backwards)
+
+    def totals(table: pa.Table) -> pa.Table:
+        whole, own = list(unit), ordered(table, "at")
+        for r in own:
+            whole = both(whole, r["value"])
+        return pa.table([pa.array([own[0]["c"]], arrow), pa.array([own[0]["block"]], pa.int64()), pa.array([whole], pa.list_(pa.int64()))], names=["c", "block", "value"])
+
+    def seeds(table: pa.Table) -> pa.Table:
+        whole, own, out = list(unit), ordered(table, "block"), []
+        for r in own:
+            out.append(whole)
+            whole = both(whole, r["value"])
+        return pa.table([pa.array([own[0]["c"]] * len(own), arrow), pa.array([r["block"] for r in own], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["kc", "kblock", "seed"])
+
+    def placed(table: pa.Table) -> pa.Table:
+        own = ordered(table, "at")
+        whole, out = own[0]["seed"], []
+        for r in own:
+            out.append(whole)
+            whole = both(whole, r["value"])
+        return pa.table([pa.array([r["at"] for r in own], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["at", "before"])
+
+    rows = written(rows, "scan-rows")
+    long, values = T.LongType(), T.ArrayType(T.LongType())
+    whole = rows.groupBy("c", "block").applyInArrow(totals, struct_type(c=kind, block=long, value=values))
+    first = whole.groupBy("c").applyInArrow(seeds, struct_type(kc=kind, kblock=long, seed=values))
+    held = rows.join(first, F.col("c").eqNullSafe(F.col("kc")) & (F.col("block") == F.col("kblock")))
+    return held.groupBy("c", "block").applyInArrow(placed, struct_type(at=long, before=values))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import bpe, decontaminate, embedding_dedup, language_id, ngram_join, oracles, pii, sharding, token_counts, toxicity, url_filter
+from cleanframe.llm import bpe, conversation_repair, decontaminate, embedding_dedup, language_id, ngram_join, oracles, pii, sharding, token_counts, toxicity, url_filter
 from cleanframe.llm.common import hashed_share, read, utf8
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
@@ -111,3 +111,28 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.VECTOR_CLASSES)
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """What op13 repairs: every row's fate is its crc32(conv_id:turn) mod 20; NULLs are one space."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20
+    rows = turns.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), fate.alias("fate")).filter("fate != 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(damaged(turns)).conversations()
+    ids = turns.select("conv_id").distinct()
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id",
+        *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
