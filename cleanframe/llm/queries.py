@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cleanframe.llm import bpe, conversation_repair, decontaminate, embedding_dedup, language_id, ngram_join, oracles, pii, sharding, token_counts, toxicity, url_filter
+from cleanframe.llm import bpe, conversation_repair, decontaminate, embedding_dedup, language_id, ngram_join, oracles, pii, sharding, syncmers, token_alignment, token_counts, toxicity, url_filter
 from cleanframe.llm.common import hashed_share, read, utf8
 from cleanframe.llm.registry import ORACLES, QUERIES, query
 
@@ -136,3 +136,14 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query()
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.align(read(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
