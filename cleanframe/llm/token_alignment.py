@@ -8,9 +8,9 @@ Chunks of a text are byte ranges. The fragment of a chunk holds the tokens that
 (open prefix), whole groups, and those after the last common end (open suffix). Joining fragments closes the group between
 them; it is associative, so the fragments of a very long text are made by different tasks and joined as a tree.
 
-Both tokenizers cut at the borders of units (a word with the spaces before it, or a run of marks), as A's pattern cuts there
-and no piece of B mixes letters with marks or holds a space behind another character; the model file is checked for that. So
-each distinct unit is tokenized and aligned once for the corpus counts, and once in a while by the tasks that put texts
+Both tokenizers cut at the borders of units (mostly a word with the spaces before it, or a run of marks): A's pattern cuts
+there, and no piece of B holds a space behind another character or mixes letters with marks, for which the model file is
+checked. So each distinct unit is tokenized once for the corpus counts, and once in a while by the tasks that put texts
 together. How often a pair of ids is linked is summed over distinct units. What a unit's links are worth (count, and whether
 it is the highest of the B id) is shared with every task for the most frequent units, a list of bounded size, and joined for
 the others.
@@ -25,10 +25,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
+from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,15 +37,59 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cleanframe.llm.common import bound_arrow_batches, salted_join, struct_type, written
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = r".,;:!?\n"
-UNITS = re.compile(rf"[{MARKS}]+(?=[{LETTER}])| *[^ {MARKS}]*[{LETTER}](?=[{MARKS}])| *[^ ]+| +")
+MARKS = ".,;:!?\n"
 #: The character that stands for a space in pieces of B.
 ESCAPED = "▁"
 CHUNK, MARGIN = 1 << 16, 1 << 12
 #: Units whose worth is shared with every task; the others are joined.
 SHARED_UNITS = 200_000
 #: Units that a Python worker remembers; the older half goes when they are full.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Bits of a B id in a link.
+SHIFT = 24
+
+_ASCII, _MARK, _POINT, _SOLID, _C3, _AFTER_C3, _LEAD, _NEXT = (1 << i for i in range(8))
+
+
+def _classes() -> np.ndarray:
+    """What a byte can be: an ASCII letter, a mark, a mark that is no space, a character that is no space, the first and the
+    second byte of a letter from À to ÿ, the first byte of a character of two bytes that is no space, a later byte."""
+    out = np.zeros(256, np.uint8)
+    for b in range(256):
+        ch = chr(b)
+        out[b] = (
+            (_ASCII if ch.isascii() and ch.isalpha() else 0)
+            | (_MARK if ch in MARKS else 0)
+            | (_POINT if ch in MARKS and ch != "\n" else 0)
+            | (_SOLID if 33 <= b <= 126 else 0)
+            | (_C3 if b == 0xC3 else 0)
+            | (_AFTER_C3 if 0x80 <= b <= 0xBF and b not in (0x97, 0xB7) else 0)
+            | (_LEAD if 0xC3 <= b <= 0xDF else 0)
+            | (_NEXT if 0x80 <= b <= 0xBF else 0)
+        )
+    return out
+
+
+CLASSES = _classes()
+
+
+def borders(data: np.ndarray) -> np.ndarray:
+    """Positions (from 1) in UTF-8 bytes where a unit begins: a space after a character that is none; a mark after a letter; a
+    letter after a mark, where the mark is no line break or the only space there. No lookahead of A's pattern passes them."""
+    if len(data) < 2:
+        return np.empty(0, np.int64)
+    kind = CLASSES[data]
+    has = lambda x, flag: (x & flag) != 0
+    shifted = lambda x, n: np.concatenate([np.zeros(n, x.dtype), x[:-n]]) if n < len(x) else np.zeros_like(x)
+    before, twice = shifted(kind, 1), shifted(kind, 2)
+    behind = np.append(kind[1:], 0).astype(np.uint8)
+    letter_ended = has(before, _ASCII) | (has(before, _AFTER_C3) & has(twice, _C3))
+    solid_ended = has(before, _SOLID) | (has(before, _NEXT) & has(twice, _LEAD))
+    letter_begins = has(kind, _ASCII) | (has(kind, _C3) & has(behind, _AFTER_C3))
+    mark_ended = has(before, _POINT) | ((shifted(data, 1) == 10) & has(twice, _SOLID))
+    cut = ((data == 32) & solid_ended) | (has(kind, _MARK) & letter_ended) | (letter_begins & mark_ended)
+    cut[0] = False
+    return np.flatnonzero(cut)
 
 
 def _byte_of() -> dict[str, int]:
@@ -54,17 +99,6 @@ def _byte_of() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(others)}}
 
 
-@dataclass(frozen=True, slots=True)
-class Unit:
-    """A unit's tokens: links as a << 24 | b, the groups written out, and numbers of tokens and groups."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: tuple[int, ...]
-    groups: str
-
-
 class Tokenizers:
     """Both tokenizers, for units and whole texts."""
 
@@ -78,7 +112,7 @@ class Tokenizers:
             vocabulary = json.load(f)["model"]["vocab"]
         ranks = {bytes(byte_of[ch] for ch in token): number for token, number in vocabulary.items()}
         self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.a_size = [0] * (max(ranks.values()) + 1)
+        self.a_size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, number in ranks.items():
             self.a_size[number] = len(token)
         model = sentencepiece_model_pb2.ModelProto()
@@ -87,76 +121,96 @@ class Tokenizers:
         normal = model.normalizer_spec
         if normal.precompiled_charsmap or normal.remove_extra_whitespaces or not (normal.add_dummy_prefix and normal.escape_whitespaces and model.trainer_spec.byte_fallback):
             raise ValueError("the model changes texts, so its tokens need not cover their bytes")
-        mixed = re.compile(rf"[^{ESCAPED}]{ESCAPED}|[{LETTER}][{MARKS}]|[{MARKS}][{LETTER}]")
+        marks = re.escape(MARKS)
+        mixed = re.compile(rf"[^{ESCAPED}]{ESCAPED}|[{LETTER}][{marks}]|[{marks}][{LETTER}]")
         # types 1 and 4: ordinary pieces and those a user added
         if any(p.type in (1, 4) and mixed.search(p.piece) for p in model.pieces):
             raise ValueError("a piece of the model crosses the border of units")
-        self.b_size = [1 if p.type == 6 else len(p.piece.replace(ESCAPED, " ").encode()) for p in model.pieces]
+        self.b_size = np.array([1 if p.type == 6 else len(p.piece.replace(ESCAPED, " ").encode()) for p in model.pieces], np.int64)
         normal.add_dummy_prefix = False  # units bring their own spaces
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
     def tokens(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
         return list(zip(map(self.a.encode_ordinary, units), self.b.encode(units, num_threads=1)))
 
-    def aligned(self, a: list[int], b: list[int]):
-        """(tokens of A, tokens of B, end) of each group."""
-        a_size, b_size = self.a_size, self.b_size
-        i = j = start_a = start_b = at_a = at_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += a_size[a[i]]
-                i += 1
-            else:
-                at_b += b_size[b[j]]
-                j += 1
-            if at_a == at_b:
-                yield a[start_a:i], b[start_b:j], at_a
-                start_a, start_b = i, j
-
-    def links(self, a: list[int], b: list[int]) -> list[int]:
-        """All overlapping pairs of a group."""
-        out, i, j = [], 0, 0
-        at_a, at_b = self.a_size[a[0]], self.b_size[b[0]]
-        while True:
-            out.append(a[i] << 24 | b[j])
-            if at_a == at_b:
-                return out
-            if at_a < at_b:
-                i += 1
-                at_a += self.a_size[a[i]]
-            else:
-                j += 1
-                at_b += self.b_size[b[j]]
-
-    def unit(self, a: list[int], b: list[int]) -> Unit:
-        links, groups = [], []
-        for x, y, _ in self.aligned(a, b):
-            links += self.links(x, y)
-            groups.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-        return Unit(len(a), len(b), len(groups), tuple(links), ";".join(groups))
+    def groups(self, unit: str):
+        """(tokens of A, tokens of B, end) of each group of a unit."""
+        (a, b), = self.tokens([unit])
+        both = Aligned(self, np.array(a, np.int64), np.array(b, np.int64))
+        i = j = 0
+        for x, y in zip(both.last_a, both.last_b):
+            yield a[i : x + 1], b[j : y + 1], int(both.ends_a[x])
+            i, j = x + 1, y + 1
+
+    @property
+    def names(self) -> pa.Array:
+        """The ids written out: A followed by a comma or, at the end of a group, a bar; B by a comma or a semicolon."""
+        if not hasattr(self, "_names"):
+            a = [f"{i}{x}" for i in range(len(self.a_size)) for x in ",|"]
+            b = [f"{i}{x}" for i in range(len(self.b_size)) for x in ",;"]
+            self._names = pa.array(a + b, pa.large_string())
+        return self._names
+
+
+class Aligned:
+    """Two token streams over the same bytes; unit borders are common ends, so the streams of many texts may be one."""
+
+    def __init__(self, tokenizers: Tokenizers, a: np.ndarray, b: np.ndarray):
+        self.tokenizers, self.a, self.b = tokenizers, a, b
+        self.ends_a, self.ends_b = np.cumsum(tokenizers.a_size[a]), np.cumsum(tokenizers.b_size[b])
+        size = int(self.ends_a[-1]) + 1 if len(a) else 1
+        if size != (int(self.ends_b[-1]) + 1 if len(b) else 1):
+            raise ValueError("the tokens of both do not cover the same bytes")
+        self.at_a, self.at_b = np.zeros(size, bool), np.zeros(size, bool)
+        self.at_a[self.ends_a] = True
+        self.at_b[self.ends_b] = True
+        self.closes_a, self.closes_b = self.at_b[self.ends_a], self.at_a[self.ends_b]
+        self.last_a, self.last_b = np.flatnonzero(self.closes_a), np.flatnonzero(self.closes_b)
+
+    def links(self) -> np.ndarray:
+        """a << SHIFT | b of each stretch between neighbouring ends, in order: one for each overlapping pair."""
+        ends = np.flatnonzero(self.at_a | self.at_b)
+        place = lambda at: np.cumsum(at)[ends - 1] if len(ends) else ends
+        return self.a[place(self.at_a)] << SHIFT | self.b[place(self.at_b)]
+
+    def written_out(self) -> tuple[memoryview, np.ndarray]:
+        """All groups as text, each ended by a semicolon, and where each of them ends."""
+        group_a, group_b = np.cumsum(self.closes_a) - self.closes_a, np.cumsum(self.closes_b) - self.closes_b
+        places = np.empty(len(self.a) + len(self.b), np.int64)
+        places[np.arange(len(self.a)) + np.append(0, self.last_b + 1)[group_a]] = self.a * 2 + self.closes_a
+        offset = 2 * len(self.tokenizers.a_size)
+        places[np.arange(len(self.b)) + (self.last_a + 1)[group_b]] = offset + self.b * 2 + self.closes_b
+        taken = self.tokenizers.names.take(pa.array(places))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+        data = memoryview(taken.buffers()[2]) if len(taken) else memoryview(b"")
+        return data, ends[self.last_a + self.last_b + 2]
 
 
 class Memory:
-    """Units already aligned, kept for later tasks of the same Python worker; bounded, recently used ones stay."""
+    """Token ids of units, kept for later tasks of the same Python worker; bounded, recently used ones stay."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.young: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
-    def learn(self, units: set[str]) -> None:
-        """Afterwards `young` holds all of these."""
+    def ids(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of A and B of each of these distinct units, as 32-bit numbers."""
         if len(self.young) + len(units) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
+        young, old = self.young, self.old
         missing = []
-        for u in units - self.young.keys():
-            known = self.old.get(u)
-            if known is None:
-                missing.append(u)
-            else:
-                self.young[u] = known
-        for u, (a, b) in zip(missing, self.tokenizers.tokens(missing) if missing else ()):
-            self.young[u] = self.tokenizers.unit(a, b)
+        for u in units:
+            if u not in young:
+                known = old.get(u)
+                if known is None:
+                    missing.append(u)
+                else:
+                    young[u] = known
+        if missing:
+            for u, (a, b) in zip(missing, self.tokenizers.tokens(missing)):
+                young[u] = array("i", a).tobytes(), array("i", b).tobytes()
+        return list(map(young.__getitem__, units))
 
 
 @lru_cache(maxsize=2)
@@ -164,6 +218,37 @@ def memory(files: tuple[str, str, str]) -> Memory:
     return Memory(Tokenizers(*files))
 
 
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
+class Units:
+    """The units of a column of texts: `all` are all of them in order, those of text i from first[i] to first[i + 1];
+    `start` and `end` are their bytes in their text."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        low, high = int(offsets[0]), int(offsets[-1])
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[low:high]
+        offsets = offsets - low
+        filled = np.unique(offsets[:-1][np.diff(offsets) > 0])
+        at = np.union1d(borders(data), filled)
+        ends = np.append(at[1:], len(data)) if len(at) else at
+        self.first = np.searchsorted(at, offsets)
+        counts = np.diff(self.first)
+        self.start = at - np.repeat(offsets[:-1], counts)
+        self.end = ends - np.repeat(offsets[:-1], counts)
+        self.counts = counts
+        buffers = [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        self.all = pa.LargeStringArray.from_buffers(len(at), buffers[1], buffers[2]) if len(at) else pa.array([], pa.large_string())
+
+    def begun(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which units begin in the byte range of their text."""
+        return (self.start >= np.repeat(low, self.counts)) & (self.start < np.repeat(high, self.counts))
+
+
 @dataclass
 class Fragment:
     """Tokens that end in a byte range. Without a common end all of them are in the prefix, and `closed` is false."""
@@ -211,68 +296,46 @@ class Fragment:
         return self.n_a + self.n_b - self.n_groups
 
 
-def fragment_of(units: list[Unit], tokens, a_size, b_size, first: str, last: str, skip: int, stop: int) -> Fragment:
-    """The fragment of the bytes from `skip` bytes into the unit `first` to `stop` bytes into the unit `last`; `units` are
-    whole units between them. `tokens` gives the groups of a unit as (A, B, end)."""
+def fragment_of(tokenizers: Tokenizers, first: str, skip: int, inner: tuple[int, int, int, str], last: str, stop: int) -> Fragment:
+    """The fragment of the bytes behind `skip` bytes of the unit `first`, of whole units (their numbers of tokens and groups,
+    their groups) and of `stop` bytes of the unit `last`."""
     out = Fragment()
 
-    def range_of(unit: str, low: int, high: int) -> None:
-        part = Fragment()
-        group_start = 0
-        for a, b, end in tokens(unit):
-            own = [x for x, _ in _ending(a, a_size, group_start, low, high)], [x for x, _ in _ending(b, b_size, group_start, low, high)]
-            piece = Fragment(own, low < end <= high) if own[0] or own[1] else Fragment()
-            part = part.joined(piece)
-            group_start = end
-        nonlocal out
-        out = out.joined(part)
+    def cut(unit: str, low: int, high: int) -> Fragment:
+        part, at = Fragment(), 0
+        for a, b, end in tokenizers.groups(unit):
+            own = _ending(a, tokenizers.a_size, at, low, high), _ending(b, tokenizers.b_size, at, low, high)
+            if own[0] or own[1]:
+                part = part.joined(Fragment(own, low < end <= high))
+            at = end
+        return part
 
     if first:
-        range_of(first, skip, 1 << 60)
-    if units:
-        middle = Fragment(closed=True)
-        # The first group of the first unit closes whatever is open before it.
-        head, _, rest = units[0].groups.partition(";")
+        out = out.joined(cut(first, skip, 1 << 60))
+    n_a, n_b, n_groups, groups = inner
+    if n_groups:
+        # The first group of whole units closes whatever is open before it.
+        head, _, rest = groups.partition(";")
         a, b = (list(map(int, x.split(","))) for x in head.split("|"))
-        middle.prefix = (a, b)
-        middle.add(sum(u.n_a for u in units) - len(a), sum(u.n_b for u in units) - len(b), sum(u.n_groups for u in units) - 1, ";".join([*([rest] if rest else []), *(u.groups for u in units[1:])]))
+        middle = Fragment((a, b), True)
+        middle.add(n_a - len(a), n_b - len(b), n_groups - 1, rest)
         out = out.joined(middle)
-    if last:
-        range_of(last, 0, stop)
-    return out
+    return out.joined(cut(last, 0, stop)) if last else out
 
 
-def _ending(tokens: list[int], sizes: list[int], at: int, low: int, high: int):
+def _ending(tokens: list[int], sizes: np.ndarray, at: int, low: int, high: int) -> list[int]:
+    """The tokens, the first of which begins at `at`, that end in the range."""
+    out = []
     for t in tokens:
-        at += sizes[t]
+        at += int(sizes[t])
         if low < at <= high:
-            yield t, at
-
-
-def located(text: str, low: int, high: int) -> tuple[str, list[str], str, int, int, list[str]]:
-    """Of a slice with margins and the range [low, high) of its characters: the unit that the range begins in (if it does not
-    begin with a unit), whole units, the unit it ends in, the bytes of those that lie before the ends of the range, and the
-    units that begin in the range."""
-    units = UNITS.findall(text)
-    at, first, inner, last, skip, stop, begun = 0, "", [], "", 0, 0, []
-    # A slice that is cut at a margin begins and ends inside a unit: that part is looked at by nobody.
-    for u in units:
-        end = at + len(u)
-        if end > low and at < high:
-            if at < low:
-                first, skip = u, len(u[: low - at].encode())
-            elif end > high:
-                last, stop = u, len(u[: high - at].encode())
-            else:
-                inner.append(u)
-            if at >= low:
-                begun.append(u)
-        at = end
-    return first, inner, last, skip, stop, begun
+            out.append(t)
+    return out
 
 
 def chunks(docs: DataFrame, id_column: str, text: str, size: int, margin: int) -> DataFrame:
-    """(row, id, chunk, n_chunks, slice, low, high): the parts of each sound text, and rows without a slice for the others.
+    """(row, id, chunk, n_chunks, slice, low, high): the parts of each sound text, with a margin around the bytes from low to
+    high, and an empty slice for the others.
 
     A text is cut at multiples of `size` characters, where a border of units lies within `margin` on both sides."""
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text).alias("text"))
@@ -292,84 +355,92 @@ def chunks(docs: DataFrame, id_column: str, text: str, size: int, margin: int) -
     start, end = F.get("ends", F.col("chunk")), F.get("ends", F.col("chunk") + 1)
     before = F.greatest(start - margin, F.lit(0))
     part = F.when(F.size("ends") == 2, F.col("text")).otherwise(F.substring("text", before + 1, end + margin - before))
-    return each.select("row", "id", "chunk", (F.size("ends") - 1).alias("n_chunks"), part.alias("slice"), (start - before).alias("low"), (end - before).alias("high"))
+    cut = each.select("row", "id", "chunk", (F.size("ends") - 1).alias("n_chunks"), part.alias("slice"), (start - before).alias("low"), (end - before).alias("high"))
+    size_of = lambda n: F.when(F.col("n_chunks") == 1, F.when(F.col(n) > 0, F.octet_length("slice")).otherwise(0)).otherwise(F.octet_length(F.substring("slice", F.lit(1), F.col(n))))
+    return cut.select("row", "id", "chunk", "n_chunks", F.coalesce("slice", F.lit("")).alias("slice"), *[F.coalesce(size_of(n), F.lit(0)).cast("long").alias(n) for n in ("low", "high")])
 
 
 def _counted(batches):
-    """How often each unit begins in the chunks."""
-    counts: Counter = Counter()
+    """How often each unit begins in the chunks of a batch."""
     for batch in batches:
-        for text, low, high, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "low", "high", "n_chunks"))):
-            if text is not None:
-                counts.update(UNITS.findall(text) if n == 1 else located(text, low, high)[5])
-        if len(counts) > 500_000:
-            yield _count_rows(counts)
-            counts = Counter()
-    yield _count_rows(counts)
-
-
-def _count_rows(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "n"])
+        units = Units(batch.column("slice"))
+        begun = units.begun(*(batch.column(n).to_numpy() for n in ("low", "high")))
+        counts = units.all.filter(pa.array(begun)).value_counts()
+        yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["unit", "n"])
 
 
 def _unit_links(files):
     def run(batches):
         tokenizers = memory(files).tokenizers
         for batch in batches:
-            units = batch.column("unit").to_pylist()
-            links = [tokenizers.unit(a, b).links for a, b in tokenizers.tokens(units)] if units else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.list_(pa.int64()))], ["unit", "n", "links"])
+            tokens = tokenizers.tokens(batch.column("unit").to_pylist()) if batch.num_rows else []
+            both = Aligned(tokenizers, *(np.fromiter((i for t in tokens for i in t[k]), np.int64) for k in (0, 1)))
+            groups = np.cumsum(both.closes_a)
+            ends = [np.cumsum([len(t[k]) for t in tokens]).astype(np.int64) for k in (0, 1)]
+            # links up to a border: tokens of both less the groups
+            upto = np.append(0, ends[0] + ends[1] - groups[ends[0] - 1]) if tokens else np.zeros(1, np.int64)
+            links = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(both.links()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, links], ["unit", "n", "links"])
 
     return run
 
 
 def _put_together(files, shared, names: list[str], kinds: dict):
-    """Chunks to fragments and what their links are worth: shared units are summed here, the others listed with numbers."""
+    """Chunks to fragments and what their links are worth: shared units are summed here, the others listed."""
 
     def run(batches):
         remembered, worth = memory(files), shared.value
-        tokenizers = remembered.tokenizers
-        groups_of = lambda unit: tokenizers.aligned(*tokenizers.tokens([unit])[0])
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                rows, out = batch.to_pylist(), {n: [] for n in names}
-                cut = []
-                for r in rows:
-                    if r["slice"] is None:
-                        cut.append(("", [], "", 0, 0, []))
-                    elif r["n_chunks"] == 1:
-                        units = UNITS.findall(r["slice"])
-                        cut.append(("", units, "", 0, 0, units))
-                    else:
-                        cut.append(located(r["slice"], r["low"], r["high"]))
-                remembered.learn({u for c in cut for u in c[1]})
-                known = remembered.young
-                for r, (first, inner, last, skip, stop, begun) in zip(rows, cut):
-                    units = list(map(known.__getitem__, inner))
-                    if r["n_chunks"] == 1:
-                        groups = ";".join([u.groups for u in units])
-                        fragment = Fragment(([], []), bool(units), sum([u.n_a for u in units]), sum([u.n_b for u in units]), sum([u.n_groups for u in units]), "")
-                        digest = hashlib.sha256(groups.encode()).hexdigest() if units else ""
-                    else:
-                        fragment = fragment_of(units, groups_of, tokenizers.a_size, tokenizers.b_size, first, last, skip, stop)
-                        digest = None
-                    best = total = 0
-                    others: dict[str, int] = {}
-                    for u in begun:
-                        value = worth.get(u)
-                        if value is None:
-                            others[u] = others.get(u, 0) + 1
-                        else:
-                            best += value[0]
-                            total += value[1]
-                    values = (
-                        r["row"], r["id"], r["chunk"], r["n_chunks"], fragment.n_a, fragment.n_b, fragment.n_groups, fragment.closed, *fragment.prefix, *fragment.suffix,
-                        fragment.groups, digest, best, total, list(others), list(others.values()),
-                    )
-                    for n, v in zip(names, values):
-                        out[n].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[n]) for n in names], names)
+        tokenizers, unknown = remembered.tokenizers, (-1, 0)
+        for batch in batches:
+            units = Units(batch.column("slice"))
+            coded = units.all.dictionary_encode()
+            distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            ids = remembered.ids(distinct)
+            a, b = (_lists([x[k] for x in ids]) for k in (0, 1))
+            taken = pa.array(place)
+            both = Aligned(tokenizers, *(x.take(taken).flatten().to_numpy().astype(np.int64) for x in (a, b)))
+            running = lambda x: np.append(0, np.cumsum(x))
+            # Tokens, groups and characters of written groups before each unit.
+            tokens_a, tokens_b = (running(np.diff(x.offsets.to_numpy())[place]) for x in (a, b))
+            groups = running(both.closes_a)[tokens_a]
+            text, group_ends = both.written_out()
+            chars = np.append(0, group_ends)[groups]
+            value = np.array([worth.get(u, unknown) for u in distinct], np.int64).reshape(-1, 2)
+            low, high = (batch.column(n).to_numpy() for n in ("low", "high"))
+            begun, rare = units.begun(low, high), (value[:, 0] < 0)[place]
+            known = (begun & ~rare)[:, None] * value[place]
+            best, total = running(known[:, 0]), running(known[:, 1])
+            listed = begun & rare
+            others = pa.ListArray.from_arrays(pa.array(running(listed)[units.first], pa.int32()), units.all.filter(pa.array(listed)).cast(pa.string()))
+            out = {n: [] for n in ("n_a", "n_b", "n_groups", "closed", "prefix_a", "prefix_b", "suffix_a", "suffix_b", "groups", "digest")}
+            chunked = batch.column("n_chunks").to_pylist()
+            for i, (u, v) in enumerate(zip(units.first[:-1].tolist(), units.first[1:].tolist())):
+                first = last = ""
+                skip = stop = 0
+                if chunked[i] > 1:
+                    # Only units within the range, and those that cross its ends.
+                    start, end = units.start[u:v], units.end[u:v]
+                    crossing = np.flatnonzero((start < low[i]) & (end > low[i]))
+                    if len(crossing):
+                        first, skip = units.all[u + int(crossing[0])].as_py(), int(low[i] - start[crossing[0]])
+                    crossing = np.flatnonzero((start < high[i]) & (end > high[i]))
+                    if len(crossing):
+                        last, stop = units.all[u + int(crossing[0])].as_py(), int(high[i] - start[crossing[0]])
+                    u, v = u + int(np.searchsorted(start, low[i])), u + int(np.searchsorted(end, high[i], "right"))
+                numbers = [int(x[v] - x[u]) for x in (tokens_a, tokens_b, groups)]
+                whole = text[chars[u] : chars[v] - 1] if numbers[2] else b""
+                if chunked[i] > 1:
+                    made = fragment_of(tokenizers, first, skip, (*numbers, bytes(whole).decode()), last, stop)
+                    digest = None
+                else:
+                    made = Fragment(([], []), numbers[2] > 0, *numbers)
+                    digest = hashlib.sha256(whole).hexdigest() if numbers[2] else ""
+                for n, x in zip(out, (made.n_a, made.n_b, made.n_groups, made.closed, *made.prefix, *made.suffix, made.groups, digest)):
+                    out[n].append(x)
+            ready = {n: pa.array(x, kinds[n]) for n, x in out.items()} | {"units": others}
+            ready |= {n: pa.array(x[units.first[1:]] - x[units.first[:-1]]) for n, x in (("best", best), ("total", total))}
+            ready |= {n: batch.column(n) for n in ("row", "id", "chunk", "n_chunks")}
+            yield pa.RecordBatch.from_arrays([ready[n] for n in names], names)
 
     return run
 
@@ -422,8 +493,8 @@ class Alignment:
         self.units = written(units.mapInArrow(_unit_links(self.files), "unit string, n long, links array<long>"), "alignment-units")
         self.each = self.units.select("unit", "n", F.explode("links").alias("link"))
         counts = self.each.groupBy("link").agg(F.sum("n").alias("n_links"))
-        b_id = F.col("link").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-        self.pairs = written(counts.select(F.shiftright("link", 24).cast("int").alias("a"), b_id.alias("b"), "link", "n_links"), "alignment-pairs")
+        b_id = F.col("link").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
+        self.pairs = written(counts.select(F.shiftright("link", SHIFT).cast("int").alias("a"), b_id.alias("b"), "link", "n_links"), "alignment-pairs")
 
     def counts(self) -> DataFrame:
         """(a, b, n_links, best): how often two ids are linked in the corpus, and whether no other is more often with b."""
@@ -457,9 +528,9 @@ class Alignment:
         long = T.LongType()
         kind = self.chunks.schema["id"].dataType
         shape = struct_type(
-            row=long, id=kind, chunk=T.IntegerType(), n_chunks=T.IntegerType(), **_FRAGMENT, digest=T.StringType(), best=long, total=long, units=T.ArrayType(T.StringType()), times=T.ArrayType(long)
+            row=long, id=kind, chunk=T.IntegerType(), n_chunks=T.IntegerType(), **_FRAGMENT, digest=T.StringType(), best=long, total=long, units=T.ArrayType(T.StringType())
         )
-        names = ["row", "id", "chunk", "n_chunks", "n_a", "n_b", "n_groups", "closed", "prefix_a", "prefix_b", "suffix_a", "suffix_b", "groups", "digest", "best", "total", "units", "times"]
+        names = ["row", "id", "chunk", "n_chunks", "n_a", "n_b", "n_groups", "closed", "prefix_a", "prefix_b", "suffix_a", "suffix_b", "groups", "digest", "best", "total", "units"]
         shape = T.StructType([shape[n] for n in names])
         put = self.chunks.mapInArrow(_put_together(self.files, shared, names, {f.name: to_arrow_type(f.dataType) for f in shape}), shape)
         parts = written(put, "alignment-texts")
@@ -473,9 +544,9 @@ class Alignment:
         ended = long_ones.mapInArrow(_finished, "row long, n_a long, n_b long, n_groups long, digest string")
         short = parts.filter("n_chunks = 1").select("row", "n_a", "n_b", "n_groups", "digest")
         found = short.unionByName(ended)
-        rare = parts.select("row", F.explode(F.arrays_zip("units", "times")).alias("x")).select("row", F.col("x.units").alias("unit"), F.col("x.times").alias("times"))
+        rare = parts.select("row", F.explode("units").alias("unit"))
         joined = rare.join(worth.select("unit", "n_best", "count_sum"), "unit")
-        more = joined.select("row", (F.col("n_best") * F.col("times")).alias("best"), (F.col("count_sum") * F.col("times")).alias("total"))
+        more = joined.select("row", F.col("n_best").alias("best"), F.col("count_sum").alias("total"))
         sums = parts.select("row", "best", "total").unionByName(more).groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("total").alias("count_sum"))
         ids = parts.filter("chunk = 0").select("row", "id")
         return ids.join(found, "row").join(sums, "row").select(

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
@@ -67,7 +68,7 @@ def plain(libraries, texts):
 def texts():
     rng = random.Random(11)
     words = ["the", "Entsprechung", "naïve", "don't", "it's", "3.14", "x=1;", "日本語の文", "😀😀", "<|endoftext|>", "<s>", "hello,world", "e.g.", "a\nb", "\n\n", "", "  ", "½3", "été", "<0x41>"]
-    made = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60)]
+    made = [rng.choice([" ", "\n", "  ", ""]).join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60)]
     pool = list(" \n\t.,;:!?'-_0123abcZéÿ½²中日ع́👍\u3000\r")
     made += ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(60)]
     return [*made, *made[:5], "", None, "has a ▁ of its own", "   ", "x" * 300, "中" * 200, " ".join(rng.choices(words[:3], k=400))]
@@ -94,27 +95,41 @@ def test_empty_table(spark):
     assert ta.align(spark.createDataFrame([], "doc_id long, text string"), *FILES, P.PATTERN).collect() == []
 
 
+def test_units_are_safe(libraries):
+    """Tokens of units are those of whole texts, whatever spaces and marks stand between them."""
+    a, b = libraries
+    tokenizers = ta.Tokenizers(*FILES, P.PATTERN)
+    rng = random.Random(21)
+    pool = list(" \n\t.,;:!?'-_0b÷×Zéÿ½中д\u3000\u00a0\u2003\r\u0085s")
+    made = ["".join(rng.choices(pool, weights=[12, 12, 3] + [2] * (len(pool) - 3), k=rng.randint(1, 30))) for _ in range(20_000)]
+    for text in [*made, "x\n  y", "x\n\ny", "x.\n\ny", " \ny", "foo\n bar", "it's,don't;"]:
+        data = np.frombuffer((" " + text).encode(), np.uint8)
+        cuts = [0, *ta.borders(data).tolist(), len(data)]
+        units = [bytes(data[i:j]).decode() for i, j in zip(cuts, cuts[1:])]
+        found = tokenizers.tokens(units)
+        assert [i for x, _ in found for i in x] == a.encode(" " + text, add_special_tokens=False).ids, text
+        assert [i for _, y in found for i in y] == b.encode(text), text
+
+
 def test_joining_fragments_is_associative():
     tokenizers = ta.Tokenizers(*FILES, P.PATTERN)
     unit = " Wörterverzeichnisanfang中文字"
-    (a, b) = tokenizers.tokens([unit])[0]
-    groups = lambda u: tokenizers.aligned(a, b)
     size = len(unit.encode())
-    whole = tokenizers.unit(a, b)
+    groups = [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b, _ in tokenizers.groups(unit)]
     rng = random.Random(2)
     for _ in range(200):
         cuts = sorted(rng.sample(range(1, size), 3))
         parts = [ta.Fragment() for _ in range(4)]
         for i, (low, high) in enumerate(zip([0, *cuts], [*cuts, size])):
             at = 0
-            for x, y, end in groups(unit):
-                own = [[t for t, _ in ta._ending(z, s, at, low, high)] for z, s in ((x, tokenizers.a_size), (y, tokenizers.b_size))]
+            for x, y, end in tokenizers.groups(unit):
+                own = tuple(ta._ending(z, s, at, low, high) for z, s in ((x, tokenizers.a_size), (y, tokenizers.b_size)))
                 if own[0] or own[1]:
-                    parts[i] = parts[i].joined(ta.Fragment(tuple(own), low < end <= high))
+                    parts[i] = parts[i].joined(ta.Fragment(own, low < end <= high))
                 at = end
         one, two, three, four = parts
         for joined in (one.joined(two).joined(three).joined(four), one.joined(two.joined(three.joined(four))), one.joined(two).joined(three.joined(four))):
-            assert joined.finished().groups == whole.groups
+            assert joined.finished().groups == ";".join(groups)
 
 
 def test_a_model_that_crosses_units_is_refused(tmp_path):
