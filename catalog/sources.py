@@ -29,6 +29,27 @@ def csv_round_trip(spark, sf_dir):
     return back.select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
+# Documents per file of the query below.
+DOCUMENTS_PER_FILE = 2_000
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, '5" pipe ' || doc_id AS note,
+  md5(nullif({TRIM.format('text')}, '')) AS digest FROM documents""")
+def csv_line_breaks_and_stray_quotes(spark, sf_dir):
+    """Cells with line breaks and cells with a quote in the middle, in splits of files; some files have no line breaks."""
+    path = scratch_path(spark, "pipes.csv")
+    docs = table(spark, sf_dir, "documents")
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.concat(F.lit('5" pipe '), F.col("doc_id").cast("string")), cell)
+    plain = ~F.contains("text", F.lit("\n"))
+    lines = docs.select(F.floor(F.col("doc_id") / DOCUMENTS_PER_FILE).alias("file"), plain.alias("plain"), line.alias("line"))
+    bodies = lines.groupBy("file", "plain").agg(F.concat_ws("\n", F.collect_list("line")).alias("body"))
+    content = F.concat(F.lit("doc_id,note,text\n"), "body").alias("value")
+    bodies.select(content, "file", "plain").repartition("file", "plain").write.partitionBy("file", "plain").text(path)
+    back = readers.read_table(spark, f"{path}/*/*/*", "csv")
+    return back.select("doc_id", "note", F.md5("text").alias("digest"))
+
+
 @query(f"""WITH {LINEITEM} SELECT nullif(trim(l_returnflag), '') AS l_returnflag, count(*) AS n
 FROM li GROUP BY 1""")
 def csv_single_column(spark, sf_dir):
@@ -110,10 +131,22 @@ def json_lines(spark, sf_dir):
     return df.withColumn("event_id", F.col("event_id").cast("bigint"))
 
 
+@query("""SELECT CAST(event_id AS VARCHAR) AS id0, CAST(user_id AS VARCHAR) AS "Id1", event_type FROM events""")
+def json_keys_by_case(spark, sf_dir):
+    """Keys that differ in case only are columns of their own."""
+    path = scratch_path(spark, "cases.json")
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    keys = [("id", "event_id"), ("Id", "user_id"), ("event_type", "event_type")]
+    members = [F.concat(F.lit(f'"{k}":'), quoted(c)) for k, c in keys]
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("value"))
+    lines.write.text(path)
+    return readers.read_json(spark, path)
+
+
 @query("""SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, md5(text) AS digest
   FROM conversations""")
 def json_pretty_arrays(spark, sf_dir):
-    """Objects that span lines: such a file is read as a whole."""
+    """Objects that span lines are put together, each in its split."""
     path = scratch_path(spark, "conversations.json")
     shown = F.to_json(F.struct("conv_id", "turn", "text"), {"pretty": "true"})
     objects = table(spark, sf_dir, "conversations").select(

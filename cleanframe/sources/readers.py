@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from cleanframe.functions.cells import CONTROLS, blank_to_null, col, is_filled, trim_controls
 from cleanframe.operators.state import HIDDEN, POSITION
 from cleanframe.plans.spec import SpecError
-from cleanframe.sources import xlsx
+from cleanframe.sources import splits, xlsx
 
-# Workbook functions travel with their tasks, so executors need no installed package.
+# These functions travel with their tasks, so executors need no installed package.
 cloudpickle.register_pickle_by_value(xlsx)
+cloudpickle.register_pickle_by_value(splits)
 
 HEADER_JOBS = 16
 FORMATS = ("csv", "xlsx", "json", "parquet")
@@ -74,16 +75,6 @@ class CsvFile:
     fewest: int | None = None  # cells of the shortest row, where lines tell
 
 
-def _odd_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Does a line hold an odd number of quotes?
-
-    In well-formed CSV a cell with a line break opens on such a line.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = spark.read.text(paths)
-    return lines.select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
-
-
 def csv_header(spark: SparkSession, paths: list[str] | str, multi_line: bool = False) -> list[str]:
     """Column names of the first file; Spark reads no further than its first row."""
     reader = spark.read.options(
@@ -151,17 +142,45 @@ def read_csv(
 ) -> DataFrame:
     """Header row, trimmed cells, empty lines skipped, doubled quotes inside quotes.
 
-    Files without line breaks inside cells are read in splits; finding out costs
-    a pass over the text, which `multi_line` saves. Files whose header differs
-    from the first one's raise. `short_rows` says what a row shorter than the
-    header does: `null` pads it, `error` raises.
+    All files are read in splits. One pass over the text finds the files in which cells hold line breaks; their lines are
+    joined to records first, each split with the quotes that are open at its start. `multi_line` saves the pass: False says
+    that there are no such files, True reads every file as a whole. Files whose header differs from the first one's raise.
+    `short_rows` says what a row shorter than the header does: `null` pads it, `error` raises.
     """
-    if multi_line is None:
-        multi_line = not _odd_lines(spark, paths).filter("odd").isEmpty()
-    names = csv_header(spark, paths, multi_line)
+    broken = splits.broken_files(spark, paths) if multi_line is None else []
+    names = csv_header(spark, paths, bool(multi_line or broken))
     if not names:
         raise SpecError(f"No CSV header found in {paths}")
-    return csv_frame(spark, paths, names, multi_line, position, short_rows)
+    if not broken:
+        return csv_frame(spark, paths, names, bool(multi_line), position, short_rows)
+    plain = lambda path: unquote(re.sub(r"^file:/+", "/", path))
+    joined = {plain(f) for f in broken}
+    others = [literal_path(unquote(f)) for f in spark.read.text(paths).inputFiles() if plain(f) not in joined]
+    frames = [joined_frame(spark, [literal_path(unquote(f)) for f in broken], names, position, short_rows)]
+    if others:
+        frames.append(csv_frame(spark, others, names, False, position, short_rows))
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+
+
+def joined_frame(spark: SparkSession, paths: list[str], names: list[str], position: bool, short_rows: str) -> DataFrame:
+    """CSV files with line breaks in cells, read in splits."""
+    checked = None if _renamed(names) else [n.lower() for n in names]
+
+    def header(file: str, record: str) -> None:
+        cells = [c.strip() for c in next(csv.reader([record.removeprefix("\ufeff")]))]
+        if checked is not None and [c.lower() for c in cells] != checked:
+            raise ValueError(f"the header of {file} is not that of the first file: {cells}")
+
+    records = splits.csv_records(spark, paths, header)
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": _CORRUPT}
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(_CORRUPT, T.StringType())])
+    # Positions are taken for names here, which may repeat in all but case.
+    rows = records.select(F.struct("file", "block", "line").alias(POSITION), F.from_csv("record", fields.simpleString(), options).alias("r"))
+    rows = rows.select(POSITION, "r.*")
+    if short_rows == "error":
+        rows = rows.withColumn("c0", F.when(~_is_short(names), F.col("c0")).otherwise(_raise()))
+    cells = [blank_to_null(trim_controls(F.col(f"c{i}"))).alias(tidy(n)) for i, n in enumerate(names)]
+    return rows.select(*cells, *([POSITION] if position else []))
 
 
 def _renamed(names: list[str]) -> bool:
@@ -231,22 +250,21 @@ def csv_frame(
 class JsonFile:
     path: str
     header: tuple[str, ...]
-    whole: bool  # objects span lines, so the file cannot be split
+    whole: bool  # objects span lines and must be put together
     valid: bool
 
 
 def _json_objects(spark: SparkSession, paths: list[str] | str, whole: bool) -> DataFrame:
     """Rows `(at, item, object, line)`: the objects of every file as JSON text.
 
-    With `whole` a file is one JSON array. Otherwise every line holds an object
-    or nothing, and may add the brackets and commas of an array around them.
+    With `whole` a file is a JSON array whose objects span lines. Otherwise every line
+    holds an object or nothing, and may add the brackets and commas of an array around them.
     """
-    text = spark.read.text(paths, wholetext=whole).select("value", file_position().alias("at"))
     if whole:
-        parsed = text.select("at", F.from_json("value", "array<string>").alias("items"))
-        return parsed.select(
-            "at", F.posexplode_outer("items").alias("item", "object"), F.lit(None).cast("string").alias("line")
-        )
+        found = splits.json_objects(spark, [paths] if isinstance(paths, str) else paths)
+        place = F.struct("file", "block", "line").alias("at")
+        return found.select(place, F.col("line").alias("item"), "object", F.lit(None).cast("string").alias("line"))
+    text = spark.read.text(paths).select("value", file_position().alias("at"))
     line = trim_controls(F.col("value"))
     inner = F.regexp_replace(F.regexp_replace(line, r"\A\[", ""), r"[,\]]\z", "")
     return text.select("at", F.col("at.line").alias("item"), trim_controls(inner).alias("object"), line.alias("line"))
@@ -256,7 +274,7 @@ def scan_json(spark: SparkSession, paths: list[str]) -> list[JsonFile]:
     """Object keys of every file in the order of their first appearance.
 
     Files with an object per line, bracketed as an array or not, are recognised
-    in a pass over their lines; only the others are scanned as a whole.
+    in a pass over their lines; in the others objects are put together first.
     """
     by_line = _json_shapes(_json_objects(spark, paths, whole=False), by_line=True)
     rest = [literal_path(unquote(f.path)) for f in by_line if not f.valid]
@@ -305,7 +323,7 @@ def _json_shapes(objects: DataFrame, by_line: bool) -> list[JsonFile]:
             bare = total["open"] == total["close"] == total["comma"] == 0 < total["objects"]
             valid = total["bad"] == 0 and (array or bare)
         else:
-            # An empty array has one missing object, as has a file that does not parse.
+            # A file that is no array of objects has missing ones.
             valid = total["bad"] == 0 and total["missing"] == 0
         names = tuple(r["key"] for r in rows if r["key"] is not None)
         files.append(JsonFile(path, names, not by_line, valid))
@@ -338,13 +356,20 @@ def json_frame(
     position: bool = False,
     source: str | None = None,
 ) -> DataFrame:
-    """JSON files with the keys `names`; nested values arrive as JSON text."""
+    """JSON files with the keys `names`; nested values arrive as JSON text. Keys that differ only in case get their place
+    appended, as repeated CSV headers do."""
     if not names:
         return spark.createDataFrame([], T.StructType([]))
     objects = _json_objects(spark, paths, whole).filter(F.length("object") > 0)
-    parsed = F.from_json("object", text_schema(names), {"mode": "FAILFAST"})
+    lower = Counter(n.lower() for n in names)
+    titles = [f"{n}{i}" if lower[n.lower()] > 1 else n for i, n in enumerate(names)]
+    alike = titles != names
+    # A map tells keys apart by case, a struct does not.
+    shape = T.MapType(T.StringType(), T.StringType()) if alike else text_schema(names)
+    parsed = F.from_json("object", shape, {"mode": "FAILFAST"})
     rows = objects.select("at", "item", parsed.alias("o"))
-    cells = [blank_to_null(F.col("o").getField(n)).alias(n) for n in names]
+    field = (lambda n: F.get(F.map_values(F.map_filter("o", lambda k, v: k == n)), F.lit(0))) if alike else F.col("o").getField
+    cells = [blank_to_null(field(n)).alias(t) for n, t in zip(names, titles)]
     if position:
         line = F.col("item").cast("bigint").alias("line")
         cells.append(F.struct("at.file", "at.block", line).alias(POSITION))
