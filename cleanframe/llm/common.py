@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cleanframe.session import scratch_path, written, written_alone
 
-__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "read", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
+__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "packed_rows", "read", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -102,6 +102,20 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def packed_rows(df: DataFrame, **named: str) -> tuple[DataFrame, Callable[..., list[Column]]]:
+    """df as (named columns, row): whatever its columns are called, none clashes with names used in between. The function
+    gives the columns back, with those that changed taken from elsewhere."""
+    columns = list(df.columns)
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in columns}
+    own = df.select(*[quoted[c].alias(n) for n, c in named.items()], F.struct(*quoted.values()).alias("row"))
+
+    def unpacked(**changed: str) -> list[Column]:
+        by_column = {named[n]: c for n, c in changed.items()}
+        return [(F.col(by_column[c]) if c in by_column else F.col("row").getField(c)).alias(c) for c in columns]
+
+    return own, unpacked
+
+
 def scanned(rows: DataFrame, unit: list[int], join: Callable[[list[int], list[int]], list[int]], backwards: bool) -> DataFrame:
     """(at, before): for each row (c, block, at, value array<long>) of a key c, what comes before it in the order of `at`
     (behind it, if backwards), joined in the order of `at`; `unit` where there is nothing.

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanframe.llm.common import lower_ascii, row_keys, written
+from cleanframe.llm.common import fresh_names, lower_ascii, row_keys, written
 
 #: Everything in ASCII that is neither a letter nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -155,7 +155,9 @@ def contamination(
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without a word inside a matched window, all columns as they were."""
-    hit = contamination(docs, items, size, id_column, text).filter("n_hit > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    one, two, hit_one, hit_two = fresh_names(docs, "key_a", "key_b", "hit_a", "hit_b")
+    hit = contamination(docs, items, size, id_column, text).filter("n_hit > 0").select(F.col("k1").alias(hit_one), F.col("k2").alias(hit_two))
     k1, k2 = (k for k in row_keys(id_column, text))
     hit = written(hit.distinct(), "contaminated-keys")
-    return docs.withColumns({"_a": k1, "_b": k2}).join(sized(hit), (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left_anti").select(docs.columns)
+    keyed = docs.withColumns({one: k1, two: k2})
+    return keyed.join(sized(hit), (F.col(one) == F.col(hit_one)) & (F.col(two) == F.col(hit_two)), "left_anti").drop(one, two)

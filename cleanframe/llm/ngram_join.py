@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import row_keys, salted_join, struct_type, written, written_alone
+from cleanframe.llm.common import packed_rows, row_keys, salted_join, struct_type, written, written_alone
 from cleanframe.llm.components import components
 
 #: Rows of a list of keys that may be broadcast: at most some tens of MB.
@@ -255,12 +255,13 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component: the one with the smallest id. Rows without words all stay."""
-    k1, _ = row_keys(id_column, text)
-    keyed = docs.withColumn("_key", F.struct(F.col(id_column).alias("id"), k1))
-    classes = written(link(keyed.select("_key", text), "_key", text, words, num, den), "ngram-classes")
+    own, unpacked = packed_rows(docs, id=id_column, text=text)
+    k1, _ = row_keys("id", "text")
+    keyed = own.select(F.struct("id", k1).alias("_key"), "text", "row")
+    classes = written(link(keyed.select("_key", "text"), "_key", "text", words, num, den), "ngram-classes")
     heads = classes.filter((F.col("n_shingles") > 0) & F.col("_key").eqNullSafe(F.col("component_id")))
     counted = heads.groupBy("_key").count()
     one = keyed.join(counted.filter("count = 1"), "_key", "left_semi")
     several = keyed.join(counted.filter("count > 1"), "_key", "left_semi").dropDuplicates(["_key"])
     empty = keyed.join(classes.filter("n_shingles = 0").select("_key").distinct(), "_key", "left_semi")
-    return one.unionByName(several).unionByName(empty).select(docs.columns)
+    return one.unionByName(several).unionByName(empty).select(unpacked())

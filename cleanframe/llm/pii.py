@@ -23,7 +23,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanframe.llm.common import row_keys, salted_join, written
+from cleanframe.llm.common import packed_rows, row_keys, salted_join, written
 
 # Titles by gender, and alphabets in which letters are exchanged.
 MALE = "Mr|Herr|Señor|Monsieur|господин|г-н"
@@ -405,4 +405,5 @@ class Surrogates:
 
 def replace(docs: DataFrame, key: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of docs, with surrogates in the texts, and the column n_entities."""
-    return Surrogates(docs, key, id_column, text).replaced()
+    own, unpacked = packed_rows(docs.drop("n_entities") if "n_entities" in docs.columns else docs, id=id_column, text=text)
+    return Surrogates(own, key, "id", "text").replaced().select(*unpacked(text="text"), "n_entities")

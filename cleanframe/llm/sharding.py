@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cleanframe.llm.common import written
+from cleanframe.llm.common import packed_rows, written
 
 #: numpy draws hypergeometric numbers from urns up to this size.
 URN = 10**9
@@ -86,13 +86,13 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, piece_rows: i
     whose sizes are at most one apart. The same input partitions and seed give the same result."""
     if shards < 1:
         raise ValueError("at least one shard")
-    columns = [c for c in df.columns if c not in ("shard", "slot")]
     spark = df.sparkSession
-    tagged = df.select(*columns, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_at"))
+    own, unpacked = packed_rows(df.drop("shard", "slot"))
+    tagged = own.select("row", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_at"))
     staged = written(tagged, "shard-input")  # fixes each row's partition and place, whatever is computed again later
     sizes = {r["_p"]: r["n"] for r in staged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     if not sizes:
-        return staged.select(*columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
+        return staged.select(*unpacked(), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
     order = sorted(sizes)
     rank = {p: i for i, p in enumerate(order)}
     ends = np.cumsum([sizes[p] for p in order], dtype=np.int64)
@@ -131,4 +131,4 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, piece_rows: i
         starts = F.broadcast(starts)
     turn = F.row_number().over(Window.partitionBy("shard", "_piece").orderBy(F.xxhash64(F.lit(seed), F.lit("turn"), "_at"), "_at"))
     placed = given.withColumn("_turn", turn).join(starts, ["shard", "_piece"])
-    return placed.select(*columns, "shard", (F.col("_start") + F.col("_turn") - 1).alias("slot"))
+    return placed.select(*unpacked(), "shard", (F.col("_start") + F.col("_turn") - 1).alias("slot"))
