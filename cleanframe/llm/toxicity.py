@@ -15,13 +15,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
-from cleanframe.llm.common import smallest, written
+from cleanframe.llm.common import bound_arrow_batches, smallest, written
 
 #: Marks and words that introduce a quotation.
 QUOTES = frozenset("\"'`«»“”„‘’‹›")
@@ -122,7 +124,7 @@ class Automaton:
 class Words(dict):
     """Matches of written words, at most `room` kept at a time."""
 
-    def __init__(self, automaton: Automaton, room: int = 400_000):
+    def __init__(self, automaton: Automaton, room: int = 200_000):
         self.automaton, self.room = automaton, room
 
     def __missing__(self, raw: str):
@@ -356,17 +358,19 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
     out = T.StructType(
         [T.StructField(id_column, kind), T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType()), T.StructField("n_quoted", T.LongType())]
     )
+    bound_arrow_batches(docs.sparkSession, 4 << 20)
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(_scores(model, out.names), out)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs whose score is below the threshold, all columns as they were."""
+    """The rows of docs whose score is below the threshold, all columns as they were. Only texts go to Python, and one boolean
+    for each comes back."""
+    bound_arrow_batches(docs.sparkSession, 4 << 20)
 
-    def run(batches):
+    @arrow_udf("boolean")
+    def is_clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = Words(Automaton(list(model.entries)))
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            keep = [model.score(hits(t, words, model.window)) < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.array([model.score(hits(t.as_py(), words, model.window)) < threshold for t in batch], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(is_clean(F.col(text)))
