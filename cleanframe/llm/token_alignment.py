@@ -44,7 +44,7 @@ CHUNK, MARGIN = 1 << 16, 1 << 12
 #: Units whose worth is shared with every task; the others are joined.
 SHARED_UNITS = 200_000
 #: Units that a Python worker remembers; the older half goes when they are full.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bits of a B id in a link.
 SHIFT = 24
 
