@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from cleanframe.llm.common import bucketed, struct_type
 
 #: Pre-tokens of a block: its words and positions are handled together in one task.
-BLOCK = 1_000_000
+BLOCK = 2_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
