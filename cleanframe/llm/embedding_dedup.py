@@ -3,7 +3,9 @@
 A rotation of the centred principal axes is learned so that signs of the rotated coordinates make balanced codes with
 little loss (a bounded sample serves to learn it; every vector is indexed). Each code is cut into substrings, one table for
 each. Two vectors meet in a table if their substrings differ in two bits at most: both sides look up their substring and
-all with one bit changed. Pairs whose whole codes are close enough are compared by cosine in double precision.
+all with one bit changed. Pairs whose whole codes are close enough are compared by cosine in double precision. The
+number of tables and the radius follow from pairs at the threshold that are made from the sample and coded by the learned
+rotations, so that the recall also holds where all vectors share a common part.
 
 Vectors are compared only within equal labels and dimensions. Equal vectors of a label are one node that is indexed once;
 their number counts for links, so a group of copies is never expanded.
@@ -42,15 +44,78 @@ def learn_rotation(vectors: np.ndarray, seed: int, rounds: int = 40) -> tuple[np
     return mean, axes @ rotation
 
 
-def layout(rows: int, cosine: float, recall: float = 0.995) -> tuple[int, int, int]:
-    """Substring width (grows with the logarithm of the rows to keep lists short), tables for the recall at the given
-    cosine, and the radius of whole codes."""
-    width = min(24, max(12, math.ceil(math.log2(max(rows, 2)))))
+def substring_width(rows: int) -> int:
+    """Grows with the logarithm of the rows, to keep the lists of a table short."""
+    return min(24, max(12, math.ceil(math.log2(max(rows, 2)))))
+
+
+def fewest_tables(width: int, cosine: float, recall: float) -> int:
+    """Tables that reach the recall if codes differ in the share of bits that the angle itself gives: a start."""
     p = math.acos(cosine) / math.pi
     met = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(REACH + 1))
-    tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - met)))
-    bits = width * tables
-    return width, tables, math.ceil(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 2
+
+
+def partners(x: np.ndarray, groups: np.ndarray, cosine: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(vectors, vectors at just this cosine, groups) made from a sample: moved in any direction, and moved towards another
+    vector of the group, as real neighbours are where all vectors share a common part."""
+    rng = np.random.default_rng(seed)
+    out = []
+    mates = np.arange(len(x))
+    for g in np.unique(groups):
+        own = np.flatnonzero(groups == g)
+        mates[own] = np.roll(own, 1)
+    for towards in (rng.standard_normal(x.shape), x[mates] - x):
+        across = towards - (towards * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(across, axis=1)
+        fit = size > 1e-9
+        y = cosine * x[fit] + math.sqrt(max(0.0, 1 - cosine**2)) * across[fit] / size[fit, None]
+        out.append((x[fit], y, groups[fit]))
+    return [pair for pair in out if len(pair[0])]
+
+
+def code_bits(x: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    return np.concatenate([(x - mean) @ turn >= 0 for mean, turn in models], axis=1)[:, :bits]
+
+
+#: A group with fewer sampled vectors is measured together with all others.
+MEASURED = 50
+
+
+def measured_recall(pairs, models, width: int, tables: int) -> tuple[float, int]:
+    """The smallest share of made pairs that meet in a table, over the ways to make them and the groups; and a radius of
+    whole codes that holds them all."""
+    least, radius = 1.0, 0
+    for x, y, groups in pairs:
+        apart = code_bits(x, models, width * tables) != code_bits(y, models, width * tables)
+        met = (apart.reshape(len(x), tables, width).sum(axis=2) <= REACH).any(axis=1)
+        shares = [met.mean()] + [met[groups == g].mean() for g, n in zip(*np.unique(groups, return_counts=True)) if n >= MEASURED]
+        least = min(least, *map(float, shares))
+        total = apart.sum(axis=1)
+        radius = max(radius, math.ceil(total.max() + total.std()))
+    return least, radius
+
+
+def rotations(x: np.ndarray, number: int, centred: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Learned ones, or random ones around the origin, whose codes differ by the angle alone."""
+    if centred:
+        return [learn_rotation(x, seed) for seed in range(number)]
+    turn = lambda seed: np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1],) * 2))[0]
+    return [(np.zeros(x.shape[1]), turn(seed)) for seed in range(number)]
+
+
+def learned(x: np.ndarray, pairs, width: int, cosine: float, recall: float) -> tuple[int, bool]:
+    """Tables that reach the recall with learned rotations. Where four times the tables that the angle asks for do not (vectors
+    that hardly differ from their mean), codes are taken around the origin instead."""
+    start = tables = fewest_tables(width, cosine, recall)
+    if len(x) >= MEASURED and pairs:
+        models: list[tuple[np.ndarray, np.ndarray]] = []
+        while tables <= 4 * start:
+            models += [learn_rotation(x, seed) for seed in range(len(models), -(-width * tables // x.shape[1]))]
+            if measured_recall(pairs, models, width, tables)[0] >= recall:
+                return tables, True
+            tables += max(1, tables // 4)
+    return start, False
 
 
 def _sound(vector: str, kind: T.DataType) -> Column:
@@ -122,22 +187,31 @@ class Quantised:
             F.min("id").alias("id"), F.count("*").alias("copies"), F.first("group").alias("group"), F.first("vector").alias("vector")
         )
         self.nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
-        self.width, self.tables, self.radius = layout(self._largest_group(), cosine, recall)
-        self.models = self._learn(sample_rows)
+        self.width = substring_width(self._largest_group())
+        self.tables, self.radius, self.models = self._learn(sample_rows, recall)
 
     def _largest_group(self) -> int:
         return self.nodes.groupBy("group").count().agg(F.max("count")).first()[0] or 0
 
-    def _learn(self, sample_rows: int) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """For each dimension (a table has few), rotations enough for all bits, from at most `sample_rows` vectors each."""
-        models = {}
+    def _learn(self, sample_rows: int, recall: float) -> tuple[int, int, dict[int, list[tuple[np.ndarray, np.ndarray]]]]:
+        """Tables, radius, and for each dimension (a table has few) rotations enough for all bits, from at most `sample_rows`
+        vectors each. Tables are added until pairs at the threshold, made from the sample and coded by the learned rotations,
+        meet as often as the recall asks: how far codes differ depends on what the vectors have in common."""
+        samples = {}
         for (dimension,) in self.nodes.select(F.size("vector")).distinct().collect():
             chosen = smallest(self.nodes.filter(F.size("vector") == dimension), sample_rows, F.xxhash64("k1"), F.col("k1"), F.col("k2"))
-            x = np.array([r[0] for r in chosen.select("vector").collect()], np.float64)
+            rows = chosen.select("vector", "group").collect()
+            x = np.array([r[0] for r in rows], np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            models[dimension] = [learn_rotation(x, seed) for seed in range(-(-self.width * self.tables // dimension))]
-        return models
+            few = slice(0, 4000)
+            samples[dimension] = x, partners(x[few], np.array([r[1] for r in rows])[few], self.cosine)
+        found = {d: learned(x, pairs, self.width, self.cosine, recall) for d, (x, pairs) in samples.items()}
+        tables, radius, models = max((t for t, _ in found.values()), default=2), 0, {}
+        for dimension, (x, pairs) in samples.items():
+            models[dimension] = rotations(x, -(-self.width * tables // dimension), found[dimension][1])
+            radius = max(radius, measured_recall(pairs, models[dimension], self.width, tables)[1])
+        return tables, radius, models
 
     def _apart(self, t: int) -> Column:
         """Bits in which the substrings of table t differ."""

@@ -80,3 +80,44 @@ def test_empty_table_and_bad_threshold(spark):
     assert E.link(empty).collect() == []
     with pytest.raises(ValueError):
         E.link(empty, cosine=0)
+
+
+def common_mean(share, n, seed, dimension=64):
+    """Unit vectors whose mean has the squared norm `share`, and partners at cosine 0.93 to 0.94 that differ in their own part."""
+    rng = np.random.default_rng(seed)
+    shared = np.zeros(dimension)
+    shared[0] = 1.0
+    own = rng.standard_normal((n, dimension))
+    own[:, 0] = 0
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = np.sqrt(share) * shared + np.sqrt(1 - share) * own
+    other = rng.standard_normal((n, dimension))
+    other[:, 0] = 0
+    other -= (other * own).sum(axis=1, keepdims=True) * own
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    inner = (rng.uniform(0.93, 0.94, (n, 1)) - share) / (1 - share)
+    y = np.sqrt(share) * shared + np.sqrt(1 - share) * (inner * own + np.sqrt(1 - inner**2) * other)
+    return x, y
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6, 0.7])
+def test_recall_with_a_common_mean(share):
+    x, _ = common_mean(share, 6000, 1)
+    a, b = common_mean(share, 4000, 2)
+    width, pairs = E.substring_width(10**6), E.partners(x[:4000], np.zeros(4000), 0.93)
+    tables, centred = E.learned(x, pairs, width, 0.93, 0.995)
+    models = E.rotations(x, -(-width * tables // x.shape[1]), centred)
+    reached, radius = E.measured_recall(pairs, models, width, tables)
+    apart = E.code_bits(a, models, width * tables) != E.code_bits(b, models, width * tables)
+    met = (apart.reshape(len(a), tables, width).sum(axis=2) <= E.REACH).any(axis=1) & (apart.sum(axis=1) <= radius)
+    assert met.mean() >= 0.99, (tables, met.mean())
+
+
+def test_links_with_a_common_mean(spark):
+    x, y = common_mean(0.6, 500, 3)
+    rows = [(i, [float(v) for v in row], 1) for i, row in enumerate(np.concatenate([x, y]))]
+    got = {r.vec_id: r.n_links for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.99 * wanted.sum() and all(got[i] <= wanted[i] for i in got)
