@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from catalog.registry import LINEITEM, lineitem, quartiles6, query, rounded, table
 from cleanframe.plans.pipeline import fit, run
-from cleanframe.plans.spec import Op, PipelineSpec, Step
+from cleanframe.plans.spec import Op, PipelineSpec, SpecError, Step
+from cleanframe.session import small_table, table_schema
 
 PRICE_MODEL = PipelineSpec(
     (
@@ -96,3 +97,23 @@ def sql_pipeline(spark, sf_dir):
     )
     df = lineitem(spark, sf_dir).select("l_quantity", "l_discount", "l_returnflag")
     return rounded(run(df, spec, form="sql"), "l_quantity", "l_discount")
+
+
+@query(f"""WITH {LINEITEM}
+SELECT 'TRAIN_TEST_SPLIT' AS operation, CAST(l_discount AS VARCHAR) AS param,
+  coalesce(l_discount, 0.8) > 0 AND coalesce(l_discount, 0.8) < 1 AS accepted, count(*) AS n FROM li GROUP BY l_discount
+UNION ALL SELECT 'FILTER_ROWS', '==|' || l_returnflag, coalesce(trim(l_returnflag), '') <> '', count(*) FROM li GROUP BY l_returnflag""")
+def parameter_checks(spark, sf_dir):
+    """PL6: the cells of two columns as parameters of steps; each distinct one is judged as when a step is added."""
+    df = lineitem(spark, sf_dir)
+    cells = {Op.TRAIN_TEST_SPLIT: F.col("l_discount").cast("string"), Op.FILTER_ROWS: F.concat(F.lit("==|"), "l_returnflag")}
+    judged = []
+    for op, cell in cells.items():
+        for param, n in df.groupBy(cell.alias("param")).count().collect():  # eleven discounts, a few flags
+            try:
+                Step(op, "x", param).validate()
+                accepted = True
+            except SpecError:
+                accepted = False
+            judged.append((op.value, param, accepted, n))
+    return small_table(spark, judged, table_schema(operation=T.StringType(), param=T.StringType(), accepted=T.BooleanType(), n=T.LongType()))

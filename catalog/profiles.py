@@ -203,6 +203,23 @@ def histogram(spark, sf_dir):
     return rounded(charts.histogram(prices(spark, sf_dir), "price", 20), "lower", "upper")
 
 
+_SPIKED = """CASE WHEN event_id % 50 = 0 THEN 'Infinity' WHEN event_id % 77 = 0 THEN '-Infinity' ELSE CAST(value AS VARCHAR) END"""
+
+
+@query(f"""WITH e AS (SELECT CAST({_SPIKED} AS DOUBLE) AS v FROM events),
+s AS (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE isfinite(v)),
+b AS (SELECT CASE WHEN v < lo THEN 0 WHEN v < hi THEN least(19, CAST(floor((v - lo) / (hi - lo) * 20) AS BIGINT)) ELSE 19 END AS bin
+      FROM e, s WHERE v IS NOT NULL),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT r.range AS bin, round(lo + r.range * ((hi - lo) / 20), 6) AS lower,
+  round(CASE WHEN r.range = 19 THEN hi ELSE lo + (r.range + 1) * ((hi - lo) / 20) END, 6) AS upper,
+  coalesce(n, 0) AS "count" FROM range(20) r CROSS JOIN s LEFT JOIN c ON c.bin = r.range""")
+def histogram_infinite_cells(spark, sf_dir):
+    """Bins over the finite cells; infinite ones count at the ends."""
+    spiked = F.when(F.col("event_id") % 50 == 0, "Infinity").when(F.col("event_id") % 77 == 0, "-Infinity").otherwise(F.col("value").cast("string"))
+    return rounded(charts.histogram(table(spark, sf_dir, "events").select(spiked.alias("cell")), "cell", 20), "lower", "upper")
+
+
 @query(f"WITH {PRICES} SELECT round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM pr")
 def histogram_markers(spark, sf_dir):
     return rounded(charts.histogram_markers(prices(spark, sf_dir), "price"), "mean", "median")

@@ -17,16 +17,21 @@ def chart_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame:
-    """H1: `(bin, lower, upper, count)` with equal widths; empty bins are kept."""
+    """H1: `(bin, lower, upper, count)` with equal widths; empty bins are kept.
+
+    Bins lie between the smallest and the largest finite cell; infinite cells count in the first and in the last bin. Without
+    a finite cell there are no bins.
+    """
     if not MIN_BINS <= bins <= MAX_BINS:
         raise ValueError(f"bins must lie between {MIN_BINS} and {MAX_BINS}")
     values = chart_values(df, column)
-    low, high = values.agg(F.min("value"), F.max("value")).first()
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    low, high = values.agg(F.min(finite), F.max(finite)).first()
     if low is None:
         return _bin_frame(df, bins, 0.0, 0.0).limit(0)
     v = F.col("value")
     place = F.least(F.floor((v - low) / F.lit(high - low or 1.0) * bins), F.lit(bins - 1))
-    bin_ = F.when(v < high, place).otherwise(bins - 1)
+    bin_ = F.when(v < low, 0).when(v < high, place).otherwise(bins - 1)
     counted = values.groupBy(bin_.alias("bin")).agg(F.count("*").alias("count"))
     # At most `bins` rows on either side.
     return (

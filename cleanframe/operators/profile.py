@@ -129,6 +129,7 @@ def display_number(c: Column) -> Column:
 
 def display_table(profiles: DataFrame) -> DataFrame:
     """P5: the twelve columns of the profile view."""
+    # The titles of the view.
     return profiles.select(
         F.col("name").alias("Column"),
         F.col("data_type").alias("Type"),
@@ -152,6 +153,7 @@ def stats_strip(profiles: DataFrame) -> DataFrame:
         c = F.col(name)
         return F.when(c.isNull() | F.isnan(c), "n/a").otherwise(F.format_string("%.4g", c))
 
+    # Fixed value: the layout of the line.
     line = F.format_string(
         "Mean %s   Median %s   Q1 %s   Q3 %s   Min %s   Max %s   Missing %.1f%%",
         *[short(n) for n in ("mean", "median", "q1", "q3", "min", "max")],

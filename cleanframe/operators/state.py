@@ -118,14 +118,16 @@ class Statistics:
         """Give every row its group's statistics, by a join with one row per group."""
         if not self.group or not self.wanted:
             return df
-        groups = sorted({k[0] for d in (self.moments, self.modes) for k in d})
+        groups = {k[0] for d in (self.moments, self.modes) for k in d}
+        key = f"{HIDDEN}group"
         schema = T.StructType(
-            [T.StructField(self.group, T.StringType())]
+            [T.StructField(key, df.schema[self.group].dataType)]
             + [T.StructField(self._slot(c, f), _field_type(f)) for c, f in self.wanted]
         )
         rows = [(g, *[self.raw(c, f, (g,)) for c, f in self.wanted]) for g in groups]
         table = small_table(df.sparkSession, rows, schema)
-        return df.join(F.broadcast(table), self.group, "left").select(
+        # NULL is a group of its own.
+        return df.join(F.broadcast(table), col(self.group).eqNullSafe(col(key)), "left").select(
             *[col(c) for c in df.columns], *[col(self._slot(c, f)) for c, f in self.wanted]
         )
 

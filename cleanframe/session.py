@@ -14,6 +14,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 _ARROW = {
     T.StringType: pa.string(),
@@ -86,7 +87,7 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     """A local relation of driver-held rows; only for row counts the caller bounds."""
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     table = pa.table(
-        [pa.array(list(c), type=_ARROW[type(f.dataType)]) for c, f in zip(columns, schema)],
+        [pa.array(list(c), type=_ARROW.get(type(f.dataType)) or to_arrow_type(f.dataType)) for c, f in zip(columns, schema)],
         names=schema.names,
     )
     return spark.createDataFrame(table, schema)

@@ -4,7 +4,7 @@ from cleanframe.plans import batch
 from cleanframe.plans.batch import process, status_counts
 from cleanframe.plans.spec import Op, PipelineSpec, Step
 
-RULE = PipelineSpec((Step.regex("email", "@.*$", "@redacted.test"),))
+RULE = PipelineSpec((Step.regex("berth", "^[A-Z]+-", "pier "),))
 
 
 def files(folder, **texts):
@@ -29,37 +29,37 @@ def content(row):
 
 
 def test_two_files(spark, tmp_path):
-    paths = files(tmp_path / "in", a_csv="name,email\nAda,a@x\nBob,b@y\n", b_csv="name,email\nEve,e@z\n")
+    paths = files(tmp_path / "in", a_csv="ship,berth\nHeron,N-4\nPlover,SW-11\n", b_csv="ship,berth\nTeal,E-2\n")
     got = process(spark, paths, RULE, str(tmp_path / "out"))
     assert {r["status"]: r["files"] for r in status_counts(got).collect()} == {"SUCCESS": 2}
     rows = report(got)
     assert rows["a.csv"]["output"].endswith("a_cleaned.csv") and rows["a.csv"]["row_count"] == 2
-    assert content(rows["a.csv"]) == ["name,email", "Ada,a@redacted.test", "Bob,b@redacted.test"]
+    assert content(rows["a.csv"]) == ["ship,berth", "Heron,pier 4", "Plover,pier 11"]
 
 
 def test_missing_column_is_skipped(spark, tmp_path):
-    paths = files(tmp_path / "in", a_csv="name,email\nAda,a@x\n", b_csv="name,status\nAda,ok\n")
+    paths = files(tmp_path / "in", a_csv="ship,berth\nHeron,N-4\n", b_csv="ship,cargo\nHeron,salt\n")
     rows = report(process(spark, paths, RULE, str(tmp_path / "out")))
     assert rows["a.csv"]["status"] == "SUCCESS"
-    assert rows["b.csv"]["status"] == "SKIPPED" and "email" in rows["b.csv"]["message"]
+    assert rows["b.csv"]["status"] == "SKIPPED" and "berth" in rows["b.csv"]["message"]
     assert not list((tmp_path / "out").glob("*b_cleaned*"))
 
 
 def test_bad_files_are_found_and_stop_nothing(spark, tmp_path):
-    good = {f"g{i}_csv": f"name,email\nAda,{i}@x\n" for i in range(5)}
-    bad = {"short_csv": "name,email\nAda\n", "none_csv": "", "bad_json": '[{"email"', "x_txt": "x", "bad_xlsx": "x"}
+    good = {f"g{i}_csv": f"ship,berth\nHeron,N-{i}\n" for i in range(5)}
+    bad = {"short_csv": "ship,berth\nHeron\n", "none_csv": "", "bad_json": '[{"berth"', "x_txt": "x", "bad_xlsx": "x"}
     paths = files(tmp_path / "in", **good, **bad)
     got = process(spark, [paths, str(tmp_path / "nowhere.csv")], RULE, str(tmp_path / "out"))
     assert {r["status"]: r["files"] for r in status_counts(got).collect()} == {"SUCCESS": 5, "FAILED": 6}
     rows = report(got)
     assert "Row shorter" in rows["short.csv"]["message"] and "no reader" in rows["x.txt"]["message"]
-    assert content(rows["g3.csv"]) == ["name,email", "Ada,3@redacted.test"]
+    assert content(rows["g3.csv"]) == ["ship,berth", "Heron,pier 3"]
 
 
 def test_jobs_do_not_grow_with_files_and_bad_files(spark, tmp_path):
     def jobs(name, good, bad):
-        texts = {f"g{i}_csv": f"name,email\nAda,{i}@x\n" for i in range(good)}
-        texts |= {f"s{i}_csv": "name,email\nAda,a@x\nBob\n" for i in range(bad)}
+        texts = {f"g{i}_csv": f"ship,berth\nHeron,N-{i}\n" for i in range(good)}
+        texts |= {f"s{i}_csv": "ship,berth\nHeron,N-1\nPlover\n" for i in range(bad)}
         paths = files(tmp_path / name, **texts)
         spark.sparkContext.setJobGroup(name, name)
         rows = process(spark, paths, RULE, str(tmp_path / f"{name}-out"))

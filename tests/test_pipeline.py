@@ -178,13 +178,13 @@ def test_filter_parameter_without_operator():
 
 
 def test_regex_touches_only_its_column_and_no_blanks(spark):
-    df = frame(spark, [("a@x.org", "a@b"), ("", "ok"), (None, None)], "email string, status string")
-    got = run_steps(df, Step.regex("email", "@.*$", "@redacted.test")).collect()
-    assert [tuple(r) for r in got] == [("a@redacted.test", "a@b"), ("", "ok"), (None, None)]
-    swapped = run_steps(
-        frame(spark, [("Ada Lovelace",)], "name string"), Step.regex("name", r"^(\w+)\s+(\w+)$", "$2, $1")
+    df = frame(spark, [("lot 17/b", "lot 3"), ("", "open"), (None, None)], "parcel string, note string")
+    got = run_steps(df, Step.regex("parcel", "[0-9]+/", "no. ")).collect()
+    assert [tuple(r) for r in got] == [("lot no. b", "lot 3"), ("", "open"), (None, None)]
+    turned = run_steps(
+        frame(spark, [("14:2031",)], "mark string"), Step.regex("mark", "([0-9]{2}):([0-9]{4})", "year $2, week $1")
     )
-    assert swapped.first()["name"] == "Lovelace, Ada"
+    assert turned.first()["mark"] == "year 2031, week 14"
 
 
 def test_bad_pattern_is_rejected_only_for_present_columns(spark):
@@ -418,3 +418,19 @@ def test_chains_on_one_text_column_stay_small(spark):
     got = run_steps(df, *steps, Step.filter("age", ">", "0.25"))
     assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 40_000
     assert got.filter("age = 'old'").count() > 0
+
+
+def test_groups_of_any_type_and_without_a_value(spark):
+    """Statistics per group, where groups are numbers, dates or missing."""
+    import datetime
+
+    days = [datetime.date(2020, 1, 1), datetime.date(2021, 1, 1), None]
+    rows = [(i, i % 2 if i % 3 else None, days[i % 3], str(10 * (i % 3) + i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, part int, day date, x string").withColumn("x", F.when(F.col("id") > 5, F.col("x")))
+    for group in ("part", "day"):
+        spec = PipelineSpec((Step(Op.FILL_MISSING_MEAN, "x"),))
+        got = {r["id"]: float(r["x"]) for r in run(df, spec, group=group).collect()}
+        place = ("id", "part", "day").index(group)
+        for r in rows:
+            known = [float(o[3]) for o in rows if o[0] > 5 and o[place] == r[place]]
+            assert got[r[0]] == pytest.approx(float(r[3]) if r[0] > 5 else sum(known) / len(known), abs=1e-4)
