@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal, localcontext
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,22 @@ from cleanframe.llm.common import packed_rows, written
 
 #: numpy draws hypergeometric numbers from urns up to this size.
 URN = 10**9
+#: Fixed value: pi with more digits than are used.
+PI = Decimal("3.14159265358979323846264338327950288419716939937510582097494459230781640628620899")
+
+
+def log_factorial(k: int) -> Decimal:
+    """ln(k!) to about thirty decimals, by Stirling's series; within a context of fifty digits."""
+    if k < 1000:
+        return Decimal(math.factorial(k)).ln()
+    x = Decimal(k)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return (x + Decimal("0.5")) * x.ln() - x + (2 * PI).ln() / 2 + series
 
 
 def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n balls drawn from an urn are good. Large urns: ratio of uniforms on the log density, whose rounding
-    (about 1e-3 for 1e11 balls) touches the law by as much; sums stay exact."""
+    """How many of n balls drawn from an urn are good. Urns too large for numpy: ratio of uniforms on the log density, which is
+    computed with fifty digits, so that terms of any size cancel without a trace."""
     if n == 0 or good == 0:
         return 0
     if bad == 0 or n == good + bad:
@@ -40,12 +52,16 @@ def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     share = good / total
     mean = n * share
     width = 2 * math.sqrt(2 / math.e) * math.sqrt(mean * (1 - share) * (total - n) / (total - 1) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
-    density = lambda k: -sum(map(math.lgamma, (k + 1, good - k + 1, n - k + 1, bad - n + k + 1)))
-    top = density(min(high, max(low, int((n + 1) * (good + 1) / (total + 2)))))
+
+    def density(k: int) -> Decimal:
+        with localcontext(prec=50):
+            return -sum(map(log_factorial, (k, good - k, n - k, bad - n + k)))
+
+    top = density(min(high, max(low, (n + 1) * (good + 1) // (total + 2))))
     while True:
         u = rng.random()
         k = math.floor(mean + 0.5 + width * (rng.random() - 0.5) / u) if u > 0 else -1
-        if low <= k <= high and 2 * math.log(u) <= density(k) - top:
+        if low <= k <= high and 2 * math.log(u) <= float(density(k) - top):
             return k
 
 

@@ -57,3 +57,27 @@ def test_empty_and_bad(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "shard", "slot"]
     with pytest.raises(ValueError):
         S.shuffle_into_shards(spark.range(3), 0)
+
+
+def test_large_urns_have_an_exact_density():
+    import math
+    from decimal import Decimal, localcontext
+
+    from cleanframe.llm import sharding
+
+    with localcontext(prec=50):
+        for k in (5, 999, 1000, 123_456, 10**12):
+            assert abs(sharding.log_factorial(k + 1) - sharding.log_factorial(k) - Decimal(k + 1).ln()) < Decimal("1e-25")
+    assert float(sharding.log_factorial(2000)) == pytest.approx(math.lgamma(2001), rel=1e-12)
+
+
+def test_draws_from_large_urns_follow_the_law():
+    import numpy as np
+
+    from cleanframe.llm import sharding
+
+    rng = np.random.default_rng(1)
+    good, bad, n = 3 * 10**9, 7 * 10**9, 10**6
+    values = np.array([sharding.drawn(rng, good, bad, n) for _ in range(600)], float)
+    deviation = (n * 0.3 * 0.7 * (1 - n / 10**10)) ** 0.5
+    assert abs(values.mean() - 0.3 * n) < 4 * deviation / 600**0.5 and 0.85 < values.std() / deviation < 1.15
