@@ -4,7 +4,7 @@
    pre-tokens in that list, so that what is shuffled later grows with distinct words and not with tokens.
 2. The words of all blocks are exploded into buckets by hash; equal words meet, and each distinct word is encoded once.
 3. The ids go back to the blocks, where the texts are reassembled by position. Blocks are written in buckets, so that only
-   the ids move for that.
+   the ids move for that. Words keep their order inside a bucket on both ways, so their numbers stay with the block.
 Decoding joins each id with the table of token bytes (one row for each id of the vocabulary) and joins the bytes.
 
 Defined results: NULL and empty texts have no ids and decode to no bytes. Repeated rows are encoded one by one. Special
@@ -26,10 +26,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import bucketed, struct_type
+from cleanframe.llm.common import bound_arrow_batches, bucketed, struct_type
 
 #: Pre-tokens of a block: its words and positions are handled together in one task.
-BLOCK = 2_500_000
+BLOCK = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -151,13 +151,13 @@ def _blocks(pattern: str, size: int, buckets: int, id_type: pa.DataType):
 
 
 def _encoded(ranks):
-    """Rows (bucket, block, words, numbers) sorted by bucket to the dictionaries of their blocks: numbers, lengths, ids.
-    The words of one bucket are held at a time, each encoded once."""
+    """Rows (bucket, block, words) sorted by bucket to the dictionaries of their blocks: lengths and ids, in the order of the
+    words. The words of one bucket are held at a time, each encoded once."""
 
     def run(batches):
         table, at, known = ranks.value, None, {}
         for batch in batches:
-            for bucket, block, words, numbers in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            for bucket, block, words in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if bucket != at:
                     at, known = bucket, {}
                 lengths, ids = array("I"), array("I")
@@ -168,8 +168,8 @@ def _encoded(ranks):
                     lengths.append(len(own))
                     ids.extend(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (numbers, _packed(lengths), _packed(ids)))],
-                    ["block", "numbers", "lengths", "ids"],
+                    [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (_packed(lengths), _packed(ids)))],
+                    ["block", "bucket", "lengths", "ids"],
                 )
 
     return run
@@ -188,9 +188,11 @@ def _texts(out: pa.Schema):
     """Puts the texts of a block together from its positions and its dictionary."""
 
     def run(key, blocks: pa.Table, chunks: pa.Table) -> pa.Table:
-        order, lengths, values = [], [], []
-        for row in chunks.select(["numbers", "lengths", "ids"]).to_pylist():
-            order.append(_unpacked(row["numbers"]))
+        order, lengths, values, numbers = [], [], [], {}
+        for row in blocks.select(["bucket", "numbers"]).to_pylist():
+            numbers.update(zip(row["bucket"], row["numbers"]))
+        for row in chunks.select(["bucket", "lengths", "ids"]).to_pylist():
+            order.append(_unpacked(numbers[row["bucket"]]))
             lengths.append(_unpacked(row["lengths"]))
             values.append(_unpacked(row["ids"]))
         joined = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
@@ -218,6 +220,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # fixed size: a row for each token
     kind = docs.schema[id_column].dataType
     dealt = struct_type(bucket=T.IntegerType(), words=T.BinaryType(), numbers=T.BinaryType())
@@ -228,12 +231,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = bucketed(own.mapInArrow(_blocks(pattern, block, buckets, to_arrow_type(kind)), shape), "block", tasks, "bpe-blocks")
-    words = blocks.select("block", F.inline("dealt")).select("bucket", "block", "words", "numbers")
+    words = blocks.select("block", F.explode(F.arrays_zip("dealt.bucket", "dealt.words")).alias("own")).select("own.bucket", "block", "own.words")
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
-    chunks = dealt.mapInArrow(_encoded(ranks), struct_type(block=T.LongType(), numbers=T.BinaryType(), lengths=T.BinaryType(), ids=T.BinaryType()))
+    chunks = dealt.mapInArrow(_encoded(ranks), struct_type(block=T.LongType(), bucket=T.IntegerType(), lengths=T.BinaryType(), ids=T.BinaryType()))
     out = T.StructType([T.StructField(id_column, kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     arrow = pa.schema([pa.field(id_column, to_arrow_type(kind)), pa.field("ids", pa.list_(pa.int32()))])
-    left = blocks.select("block", "ids", "counts", "positions").groupBy("block")
+    left = blocks.select("block", "ids", "counts", "positions", "dealt.bucket", "dealt.numbers").groupBy("block")
     return left.cogroup(chunks.groupBy("block")).applyInArrow(_texts(arrow), out)
 
 
