@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cleanframe.functions.cells import col
@@ -27,17 +28,33 @@ def sort_rows(
     """Sort by `keys`; equal keys are ordered by `tiebreak`, then by row content.
 
     The row digest cuts a hot key over range partitions. Copies of a whole row share a digest; their place in the
-    table is the last key and cuts them too. Nothing in a copy tells it from the others, so the place is written down
-    first: a task that runs again must deal its rows as before. `distinct_rows` says that there are no copies.
+    table is the last key and cuts them too. A task that runs again must deal its rows as before, so the place is that
+    in the file where the source tells it, and is written down first where not. `distinct_rows` says that there are no
+    copies.
     """
     names = df.columns
     order = [*keys, *(tiebreak or []), row_digest(names)]
     if distinct_rows:
         return df.orderBy(*order)
+    place = _file_place(df)
+    if place:
+        return df.orderBy(*order, *place)
     placed = written(df.withColumn("__place", F.monotonically_increasing_id()), "places")
     return placed.orderBy(*order, "__place").select(*[col(c) for c in names])
 
 
+def _file_place(df: DataFrame) -> list[Column] | None:
+    """File and row number inside it, where every row comes from one row of a file that has row numbers."""
+    place = [F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")]
+    if "_metadata" in (c.lower() for c in df.columns):
+        return None
+    try:
+        df.select(*place).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    return place
+
+
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Zero-based position of every row in the order; `order` must be unique."""
     return number_rows(df.orderBy(*order), name)
@@ -72,26 +89,31 @@ def lookup(
     """Left join of `df` with `mapping(keys..., n, result)`; NULL keys give NULL.
 
     `n` is how many rows of the fitted table hold the key, `total` their sum. A
-    mapping known to be small is broadcast. Otherwise keys above one
-    partition's share (never more of them than partitions) are broadcast and
-    only the others are shuffled, so no task receives a hot key.
+    mapping known to be small is broadcast. Otherwise one join by shuffle reads
+    `df` once: a key above one partition's share is dealt to several salts, and
+    its row of the mapping is copied to each. Only digests of such keys (never
+    more of them than partitions) and their salts are broadcast, however long
+    the keys are; keys with equal digests share the salts, on both sides. Rows
+    without a key are spread too.
     """
     spark = df.sparkSession
     if small:
         return df.join(F.broadcast(mapping.drop("n")), keys, "left")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(mapping.filter(F.col("n") > total / parts))
-    cold = mapping.filter(F.col("n") <= total / parts)
+    digest = F.xxhash64(*[col(k) for k in keys])
+    # A salt has an eighth of a partition's share, so that several that meet in one partition still fit.
+    salts = F.ceil(F.col("n") / F.lit(total / parts / 8)).cast("int")
+    hot = mapping.filter(F.col("n") > total / parts).groupBy(digest.alias("__digest")).agg(F.max(salts).alias("__salts"))
     missing = F.lit(False)
     for k in keys:
         missing = missing | col(k).isNull()
-    columns = [*df.columns, result]
-    in_hot = df.filter(~missing).join(hot.drop("n"), keys).select(*columns)
-    in_cold = (
-        df.filter(~missing)
-        .join(hot.select(*keys), keys, "left_anti")
-        .join(cold.drop("n"), keys, "left")
-        .select(*columns)
-    )
-    empty = df.filter(missing).withColumn(result, F.lit(None).cast(mapping.schema[result].dataType))
-    return in_hot.unionByName(in_cold).unionByName(empty.select(*columns))
+    # Copies of a row lie in many partitions, whose numbers stay when a task runs again.
+    spread = F.xxhash64(F.spark_partition_id(), *[col(c) for c in df.columns])
+    salt = F.when(missing, F.pmod("__spread", F.lit(8 * parts))).otherwise(F.pmod("__spread", F.coalesce("__salts", F.lit(1)))).cast("int")
+    many = df.withColumn("__digest", digest).withColumn("__spread", spread)
+    many = many.join(F.broadcast(hot), "__digest", "left")
+    many = many.select(*[col(c) for c in df.columns], salt.alias("__salt"))
+    one = mapping.drop("n").withColumn("__digest", digest).join(F.broadcast(hot), "__digest", "left")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
+    one = one.select(*[col(k) for k in keys], result, copies.alias("__salt"))
+    return many.join(one, [*keys, "__salt"], "left").select(*[col(c) for c in df.columns], result)
