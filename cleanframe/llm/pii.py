@@ -10,7 +10,8 @@ keep script and case, cards and IBANs keep a right (or wrong) check digit, names
 Collision checks: a surrogate that two entities of a kind draw, or that is itself a detected value of that kind, goes to
 the smallest value only or to none; the others draw again. So distinct entities stay distinct and nothing maps to a real one.
 
-Late attempts draw longer surrogates, so that also values with few others of their layout find a free one. Letters without
+Late attempts draw longer surrogates, so that also values with few others of their layout find a free one; IPv4 addresses
+keep their size, and all of 60 draws fail with a chance of s^60 where a share s of all addresses is detected. Letters without
 a plain alphabet become letters of their script. An address or field value without any letter or digit is no entity.
 
 Defined results: NULL and empty texts stay. Repeated rows are changed alike. Documents are told apart by id and text, so
@@ -90,7 +91,7 @@ VALUE = (
 PATTERNS = {
     "field": (FIELD + VALUE, r"[\p{L}\p{N}_]", r"$^"),
     "key": (r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|(?=[a-f]*+\d)[0-9a-f]{32,}+", r"[\p{L}\p{N}_]", r"[\p{L}\p{N}_]"),
-    "email": (r"(?=[._%+\-]{0,64}(?:@\-{0,62})?[\p{L}\p{N}])[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,6}", r"[\p{L}\p{N}._%+\-]", r"$^"),
+    "email": (r"(?=[._%+\-]*+(?:@\-*+)?[\p{L}\p{N}])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++", r"[\p{L}\p{N}._%+\-]", r"$^"),
     "iban": (r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"[\p{L}\p{N}]", r"[\p{L}\p{N}]"),
     "ssn": (r"\d{3}-\d{2}-\d{4}", r"[\p{N}\-]", r"\p{N}|-\p{N}"),
     "card": (r"\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}", r"[\p{L}\p{N}+]", r"\p{N}"),
@@ -210,8 +211,8 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b) % 10
 
 
-def _card(value: Column, stream: Column) -> Column:
-    body = F.substr(_exchanged(value, stream, ALPHABETS[:1], 1), F.lit(1), F.length(value) - 1)
+def _card(value: Column, stream: Column, more: Column) -> Column:
+    body = F.concat(F.substr(_exchanged(value, stream, ALPHABETS[:1], 1), F.lit(1), F.length(value) - 1), more)
     off = (_luhn(value) - _luhn(F.concat(body, F.lit("0"))) + 20) % 10
     return F.concat(body, off.cast("string"))
 
@@ -222,9 +223,9 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), lambda a, ch: (a * F.when(ch <= "9", 10).otherwise(100) + value(ch)) % 97)
 
 
-def _iban(value: Column, stream: Column) -> Column:
+def _iban(value: Column, stream: Column, more: Column) -> Column:
     country, rest = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(5))
-    body = _exchanged(rest, stream, ALPHABETS[:3])
+    body = F.concat(_exchanged(rest, stream, ALPHABETS[:3]), more)
     right = 98 - _mod97(F.concat(body, country, F.lit("00")))
     was_right = _mod97(F.concat(rest, F.substr(value, F.lit(1), F.lit(4)))) == 1
     check = F.when(was_right, right).otherwise((right + 1 + _byte(stream, 63) % 90) % 97)
@@ -277,8 +278,8 @@ def _drawn(kind: Column, value: Column, stream: Column, key: str, attempt: int)
         F.when(kind.startswith("given_") | kind.startswith("family_"), _name(value, kind, stream, attempt))
         .when(kind == "email", _email(value, stream, key, more))
         .when(kind == "ipv4", _ipv4(stream))
-        .when(kind == "card", _card(value, stream))
-        .when(kind == "iban", _iban(value, stream))
+        .when(kind == "card", _card(value, stream, digits))
+        .when(kind == "iban", _iban(value, stream, digits))
         .when(kind.isin("key", "field") & hexadecimal, F.concat(_exchanged(value, stream, HEX), more))
         .when(kind == "key", F.concat(secret, more))
         .when(kind == "field", F.concat(_exchanged(value, stream, ALPHABETS), more))

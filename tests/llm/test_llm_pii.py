@@ -148,3 +148,22 @@ def test_names_are_found_again_without_title(spark):
     assert two.startswith(f"Dr. {given} {family} and Mr. ") and given.endswith(tuple(P.ENDINGS["latin"]["m"])) and m == 5
     assert not re.search("Smith|John|Donald|Brien|Anna|Maria|Lopez|Garcia|Dyke", two)
     assert (three, k) == (texts[2], 0)
+
+
+def test_late_attempts_lengthen_ibans_and_cards(spark):
+    rows = [("iban", "AB1234567890"), ("iban", "DE89370400440532013000"), ("card", "4111111111111111"), ("card", "4111111111111112")]
+    df = spark.createDataFrame(rows, "kind string, value string")
+    early, late = ([r.s for r in df.select(P._surrogate(F.col("kind"), F.col("value"), "key", n).alias("s")).collect()] for n in (0, 40))
+    right = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    for drawn, more in ((early, 0), (late, 10)):
+        assert [len(s) for s in drawn] == [len(v) + more for _, v in rows]
+        assert [right(drawn[0]), right(drawn[1]), luhn(drawn[2]), luhn(drawn[3])] == [False, True, True, False]
+
+
+def test_addresses_of_any_length_are_replaced_whole(spark):
+    local, domain = "ab.c" * 5000 + "z", ".".join(["lab"] * 3000) + ".test"
+    texts = [f"to {local}@one.test now", f"to x@{domain} now", "_%+@-a.b end", "...@--.- end", "a@b. end"]
+    got = [r.text for r in P.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"to [a-z.]{20001}@[a-z]{3}\.test now", got[0]) and local[:40] not in got[0]
+    assert re.fullmatch(r"to [a-z]@[a-z.]+\.test now", got[1]) and len(got[1]) == len(texts[1]) and "lab.lab" not in got[1]
+    assert got[2] != texts[2] and got[2].endswith(" end") and got[3:] == texts[3:]
