@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from catalog.registry import LINEITEM, lineitem, orders, query, table
+from catalog.registry import LINEITEM, every, lineitem, orders, query, table
 from cleanframe.session import scratch_path
 from cleanframe.sources import readers, writers
 
@@ -96,15 +96,6 @@ def tsv_flat_cells(spark, sf_dir):
 PER_FILE = 5_000
 
 
-@query(f"""WITH {LINEITEM} SELECT nullif(trim(l_returnflag), '') AS l_returnflag, count(*) AS n
-FROM li GROUP BY 1""")
-def csv_single_column(spark, sf_dir):
-    """Rows whose only cell is missing are rows."""
-    path = scratch_path(spark, "flags.csv")
-    writers.write_csv(lineitem(spark, sf_dir).select("l_returnflag"), path)
-    return readers.read_csv(spark, path).groupBy("l_returnflag").agg(F.count("*").alias("n"))
-
-
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
   CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS o_orderpriority,
   o_orderstatus FROM orders""")
@@ -171,21 +162,28 @@ def _workbook(rows) -> bytes:
             return f"<c><v>{v!r}</v></c>"
         return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
 
-    body = "".join("<row>" + "".join(cell(v) for v in row) + "</row>" for row in rows)
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    return _book("".join("<row>" + "".join(cell(v) for v in row) + "</row>" for row in rows))
+
+
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def _book(body: str, more: dict[str, str] | None = None, comment: bytes = b"") -> bytes:
+    """A workbook whose only sheet has the rows `body`; `more` are further parts."""
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006/relationships"
     parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>'
+        "xl/workbook.xml": f'<workbook xmlns="{MAIN}" xmlns:r="{office}"><sheets>'
         '<sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}">'
         '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>',
-    }
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{MAIN}"><sheetData>{body}</sheetData></worksheet>',
+    } | (more or {})
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, text in parts.items():
             book.writestr(name, text)
+        book.comment = comment
     return out.getvalue()
 
 
@@ -216,6 +214,67 @@ def workbook_rows(spark, sf_dir):
     return readers.workbook_rows(books, names)
 
 
+# Day zero of the serial numbers by which workbooks keep dates.
+DAY_ZERO = "1899-12-30"
+
+
+def _stored_book_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A workbook as office programs write it: shared strings, date styles, formulas with their values, error cells."""
+    shared: dict[str, int] = {}
+
+    def text(at: str, v: str) -> str:
+        return f'<c r="{at}" t="s"><v>{shared.setdefault(v, len(shared))}</v></c>'
+
+    header = ("o_orderkey", "placed", "day", "twice", "name", "o_orderpriority", "finished")
+    rows = ['<row r="1">' + "".join(text(f"{c}1", h) for c, h in zip("ABCDEFG", header)) + "</row>"]
+    for r, (k, day, p, s) in enumerate(zip(pdf["o_orderkey"], pdf["day"], pdf["o_orderpriority"], pdf["o_orderstatus"]), 2):
+        cells = [
+            f'<c r="A{r}"><v>{k}</v></c>',
+            f'<c r="B{r}" s="1"><v>{day + k % 86_400 / 86_400!r}</v></c>',
+            f'<c r="C{r}" s="1"><f>INT(B{r})</f><v>{day}</v></c>',
+            f'<c r="D{r}"><f>A{r}*2</f><v>{2 * k}</v></c>',
+            f'<c r="E{r}" t="str"><f>"no. "&amp;A{r}</f><v>no. {k}</v></c>',
+            f'<c r="F{r}" t="e"><v>#N/A</v></c>' if p is None else text(f"F{r}", p),
+        ]
+        if s == "F":  # others have no cell there
+            cells.append(f'<c r="G{r}" t="b"><v>1</v></c>')
+        rows.append(f'<row r="{r}">' + "".join(cells) + "</row>")
+    items = "".join(f'<si><t xml:space="preserve">{escape(v)}</t></si>' for v in shared)
+    more = {
+        "xl/sharedStrings.xml": f'<sst xmlns="{MAIN}">{items}</sst>',
+        "xl/styles.xml": f'<styleSheet xmlns="{MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
+    }
+    # The line end that the text writer adds is the comment at the end of the archive.
+    return pd.DataFrame([(key[0], _book("".join(rows), more, b"\n")[:-1])], columns=["file", "content"])
+
+
+@query("""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) + to_seconds(o_orderkey % 86400) AS t FROM orders)
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
+  CASE WHEN o_orderkey % 60 = 0 THEN strftime(t, '%Y-%m-%dT%H:%M') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') END AS placed,
+  CAST(date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS VARCHAR) AS day,
+  CAST(2 * o_orderkey AS VARCHAR) AS twice, 'no. ' || o_orderkey AS name,
+  CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 19 <> 0 THEN o_orderpriority END AS o_orderpriority,
+  CASE WHEN o_orderstatus = 'F' THEN 'true' END AS finished FROM o""")
+def workbook_files(spark, sf_dir):
+    """A workbook file per PER_FILE orders, with dates, shared strings, formulas and error cells, read by `read_table`."""
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    path = scratch_path(spark, "workbooks")
+    priority = F.when(~every("o_orderkey", 7), F.when(every("o_orderkey", 19), " ").otherwise(F.col("o_orderpriority")))
+    keyed = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / PER_FILE).alias("file"),
+        "o_orderkey",
+        F.datediff("o_orderdate", F.lit(DAY_ZERO).cast("date")).alias("day"),
+        priority.alias("o_orderpriority"),
+        "o_orderstatus",
+    )
+    books = keyed.groupBy("file").applyInPandas(_stored_book_of, "file long, content binary")
+    # A row for each file; its bytes are written as they are.
+    books.select(F.col("content").cast("string").alias("value"), "file").repartition("file").write.partitionBy("file").text(path)
+    return readers.read_table(spark, f"{path}/*/*", "xlsx")
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 100")
 def preview_rows(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
