@@ -57,9 +57,9 @@ def smallest(df: DataFrame, rows: int, *key: Column) -> DataFrame:
 
 
 def salted_join(many: DataFrame, one: DataFrame, on: str, rows_per_task: int = 50_000) -> DataFrame:
-    """Inner join of `many` with `one`, which has a row per key, however often a key occurs in `many`.
+    """Inner join of `many` with `one`, which has few rows per key, however often a key occurs in `many`.
 
-    Keys that occur more than `rows_per_task` times get several salts; their row in `one` is copied to each.
+    Keys that occur more than `rows_per_task` times get several salts; their rows in `one` are copied to each.
     The list of such keys has at most count(many) / rows_per_task rows and is itself joined, not collected.
     """
     counts = many.groupBy(on).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("_salts"))

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cleanframe.llm.common import fresh_names, lower_ascii, row_keys, written
+from cleanframe.llm.common import fresh_names, lower_ascii, row_keys, salted_join, written
 
 #: Everything in ASCII that is neither a letter nor a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A list of more rows is joined by a shuffle instead of being broadcast.
+#: A list of more rows, or of more bytes as JSON, is joined by a shuffle instead of being broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 KEYS = ["k1", "k2"]
 
 
@@ -36,9 +37,22 @@ def folded(word: str) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(lower_ascii(F.col(word)))
 
 
+def small(table: DataFrame) -> bool:
+    """Is a written table, lists in it included, small enough to be broadcast?"""
+    if table.count() > BROADCAST_ROWS:
+        return False
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    return table.agg(size.alias("size")).first()["size"] <= BROADCAST_BYTES
+
+
 def sized(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is short."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table) if small(table) else table
+
+
+def joined(many: DataFrame, listed: DataFrame, on: str) -> DataFrame:
+    """Inner join with a list: broadcast if it is small, else by a shuffle that salts the keys `many` holds most often."""
+    return many.join(F.broadcast(listed), on) if small(listed) else salted_join(many, listed, on)
 
 
 def windows(items: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
@@ -53,7 +67,7 @@ class PositionalIndex:
 
     def __init__(self, docs: DataFrame, id_column: str, text: str, vocabulary: DataFrame):
         entries = docs.select(*row_keys(id_column, text), F.posexplode(words(text)).alias("pos", "word"))
-        known = entries.select(*KEYS, "pos", folded("word").alias("word")).join(sized(vocabulary), "word")
+        known = joined(entries.select(*KEYS, "pos", folded("word").alias("word")), vocabulary, "word")
         self.postings = written(known.select(*KEYS, "pos", "term"), "postings")
 
     def counts(self) -> DataFrame:
@@ -63,7 +77,7 @@ class PositionalIndex:
         """Exact matches (k1, k2, phrase, start, length) of phrases given as terms (phrase, off, term)."""
         ranked = self._ranked(terms)
         first, second = (written(ranked.filter(F.col("rank") == r).select("phrase", "off", "term", "length"), "terms") for r in (0, 1))
-        starts = self.postings.join(sized(first), "term").select(*KEYS, "phrase", "length", (F.col("pos") - F.col("off")).alias("start"))
+        starts = joined(self.postings, first, "term").select(*KEYS, "phrase", "length", (F.col("pos") - F.col("off")).alias("start"))
         starts = starts.filter("start >= 0")
         met = self._met(starts, second, self.postings)
         single = starts.filter("length = 1").distinct()
@@ -71,7 +85,7 @@ class PositionalIndex:
         rest = written(ranked.filter("rank >= 2").select("phrase", "off", "term"), "terms")
         where = written(left.select(*KEYS).distinct(), "phrase-documents")
         near = self.postings.join(sized(where), KEYS, "left_semi").distinct()
-        wanted = left.join(sized(rest), "phrase").select(*left.columns, (F.col("start") + F.col("off")).alias("pos"), "term")
+        wanted = joined(left, rest, "phrase").select(*left.columns, (F.col("start") + F.col("off")).alias("pos"), "term")
         full = wanted.join(near, [*KEYS, "pos", "term"]).groupBy(*left.columns).count().filter("count = length - 2").drop("count")
         return full.unionByName(left.filter("length = 2")).unionByName(single)
 
@@ -86,16 +100,16 @@ class PositionalIndex:
     def _met(self, starts: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
         """Those starts at which the phrase's term of the next rank stands too."""
         only = postings.join(sized(terms.select("term").distinct()), "term", "left_semi")
-        wanted = starts.join(sized(terms.drop("length")), "phrase").withColumn("pos", F.col("start") + F.col("off"))
+        wanted = joined(starts, terms.drop("length"), "phrase").withColumn("pos", F.col("start") + F.col("off"))
         return wanted.join(only, [*KEYS, "pos", "term"], "left_semi").select(*starts.columns)
 
     def proximity(self, terms: DataFrame, width: int) -> DataFrame:
         """(k1, k2, phrase, at): places of a phrase's rarest term with all its other terms, in any order, fewer than
         `width` words away. Positions meet in blocks of `width` words, so no list is compared with a whole text."""
         ranked = self._ranked(terms.dropDuplicates(["phrase", "term"]))
-        anchors = self.postings.join(sized(ranked.filter("rank = 0").select("phrase", "term", "length")), "term")
+        anchors = joined(self.postings, ranked.filter("rank = 0").select("phrase", "term", "length"), "term")
         anchors = anchors.select(*KEYS, "phrase", "length", F.col("pos").alias("at")).distinct()
-        others = anchors.join(sized(ranked.filter("rank > 0").select("phrase", "term")), "phrase")
+        others = joined(anchors, ranked.filter("rank > 0").select("phrase", "term"), "phrase")
         block = F.floor(F.col("at") / width)
         spread = others.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
         placed = self.postings.withColumn("block", F.floor(F.col("pos") / width))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanframe.llm import decontaminate as D
+from cleanframe.llm.common import salted_join
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,6 +57,27 @@ def test_hits_equal_plain_search(spark, tables, size):
         assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
 
 
+@pytest.mark.parametrize("limit", ["BROADCAST_ROWS", "BROADCAST_BYTES"])
+def test_hits_without_broadcast(spark, tables, monkeypatch, limit):
+    """Lists beyond either limit go by shuffles; the words of the longest text are salted."""
+    monkeypatch.setattr(D, limit, 0)
+    monkeypatch.setattr(D, "salted_join", lambda many, listed, on: salted_join(many, listed, on, 500))
+    docs, items = tables
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = D.contamination(*frames, 4).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=repr) == plain(docs, items, 4)
+
+
+def test_lists_are_measured_in_rows_and_bytes(spark, monkeypatch):
+    table = spark.createDataFrame([(1, ["abc"] * 50), (2, None)], "k long, v array<string>")
+    assert D.small(table) and D.small(table.limit(0))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 200)
+    assert not D.small(table) and D.small(table.filter("k = 2"))
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 1)
+    assert not D.small(table)
+
+
 def test_clean_rows_stay(spark, tables):
     docs, items = tables
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k1", F.lit("own"))
