@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -10,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cleanframe.session import scratch_path, written, written_alone
 
-__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "packed_rows", "read", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
+__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "packed_rows", "read", "returning_memory", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -90,6 +93,29 @@ def _bytes(said: str) -> int:
     return int(said.lower().rstrip("bkmg") or 0) << unit
 
 
+def give_back() -> None:
+    """Memory of this process that nothing uses goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def returning_memory(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a function on batches; when a task ends its memory goes back. Spark keeps the Python processes of a stage, as many as
+    it has tasks and Python steps at a time, so what they hold would add to the memory of later stages."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores added where a column of df has one of them."""
     taken = {c.lower() for c in df.columns}

@@ -25,16 +25,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cleanframe.llm.common import bound_arrow_batches, salted_join, struct_type, written
+from cleanframe.llm.common import bound_arrow_batches, returning_memory, salted_join, struct_type, written
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,;:!?\n"
@@ -43,8 +43,9 @@ ESCAPED = "▁"
 CHUNK, MARGIN = 1 << 16, 1 << 12
 #: Units whose worth is shared with every task; the others are joined.
 SHARED_UNITS = 200_000
-#: Units that a Python worker remembers; the older half goes when they are full.
+#: Units that a Python worker remembers, none of more bytes than LONGEST; those not used for long go when they are full.
 REMEMBERED = 600_000
+LONGEST = 64
 #: Bits of a B id in a link.
 SHIFT = 24
 
@@ -187,30 +188,38 @@ class Aligned:
 
 
 class Memory:
-    """Token ids of units, kept for later tasks of the same Python worker; bounded, recently used ones stay."""
+    """Token ids of units, kept for later tasks of the same Python worker; bounded, recently used ones stay. Kept in Arrow arrays,
+    about fifty bytes a unit."""
 
     def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def ids(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of A and B of each of these distinct units, as 32-bit numbers."""
-        if len(self.young) + len(units) > REMEMBERED // 2:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for u in units:
-            if u not in young:
-                known = old.get(u)
-                if known is None:
-                    missing.append(u)
-                else:
-                    young[u] = known
-        if missing:
-            for u, (a, b) in zip(missing, self.tokenizers.tokens(missing)):
-                young[u] = array("i", a).tobytes(), array("i", b).tobytes()
-        return list(map(young.__getitem__, units))
+        self.tokenizers, self.batch = tokenizers, 0
+        self.units, self.lists, self.used = pa.array([], pa.large_string()), (_lists([]), _lists([])), np.empty(0, np.int32)
+
+    def ids(self, units: pa.LargeStringArray) -> list[pa.ListArray]:
+        """Ids of A and of B of each of these distinct units, as 32-bit numbers."""
+        place = pc.index_in(units, value_set=self.units)
+        new = place.is_null()
+        missing = units.filter(new)
+        tokens = self.tokenizers.tokens(missing.to_pylist())
+        lists = [pa.concat_arrays([old, _lists([t[k] for t in tokens])]) for k, old in enumerate(self.lists)]
+        where = place.fill_null(0).to_numpy().astype(np.int64)
+        where[new.to_numpy(zero_copy_only=False)] = np.arange(len(self.units), len(self.units) + len(missing))
+        taken = pa.array(where)
+        out = [x.take(taken) for x in lists]
+        self._remember(missing, lists, where)
+        return out
+
+    def _remember(self, missing: pa.LargeStringArray, lists: list[pa.ListArray], where: np.ndarray) -> None:
+        self.batch += 1
+        self.used[where[where < len(self.used)]] = self.batch
+        used = np.append(self.used, np.full(len(missing), self.batch, np.int32))
+        stays = np.append(np.ones(len(self.units), bool), pc.less_equal(pc.binary_length(missing), LONGEST).to_numpy(zero_copy_only=False))
+        if stays.sum() > REMEMBERED:
+            kept = np.flatnonzero(stays)
+            stays[kept[np.argsort(-used[kept], kind="stable")[REMEMBERED // 2 :]]] = False
+        at = pa.array(np.flatnonzero(stays))
+        self.units = pa.concat_arrays([self.units, missing]).take(at)
+        self.lists, self.used = tuple(x.take(at) for x in lists), used[stays]
 
 
 @lru_cache(maxsize=2)
@@ -218,9 +227,9 @@ def memory(files: tuple[str, str, str]) -> Memory:
     return Memory(Tokenizers(*files))
 
 
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, parts)]) // 4
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+def _lists(parts: list[list[int]]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter((i for x in parts for i in x), np.int32, int(offsets[-1]))))
 
 
 class Units:
@@ -369,6 +378,9 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["unit", "n"])
 
 
+_counted = returning_memory(_counted)
+
+
 def _unit_links(files):
     def run(batches):
         tokenizers = memory(files).tokenizers
@@ -382,21 +394,20 @@ def _unit_links(files):
             links = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(both.links()))
             yield pa.RecordBatch.from_arrays([*batch.columns, links], ["unit", "n", "links"])
 
-    return run
+    return returning_memory(run)
 
 
 def _put_together(files, shared, names: list[str], kinds: dict):
     """Chunks to fragments and what their links are worth: shared units are summed here, the others listed."""
 
     def run(batches):
-        remembered, worth = memory(files), shared.value
-        tokenizers, unknown = remembered.tokenizers, (-1, 0)
+        remembered, (frequent, worth) = memory(files), shared.value
+        tokenizers = remembered.tokenizers
         for batch in batches:
             units = Units(batch.column("slice"))
             coded = units.all.dictionary_encode()
-            distinct, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            ids = remembered.ids(distinct)
-            a, b = (_lists([x[k] for x in ids]) for k in (0, 1))
+            distinct, place = coded.dictionary, coded.indices.to_numpy()
+            a, b = remembered.ids(distinct)
             taken = pa.array(place)
             both = Aligned(tokenizers, *(x.take(taken).flatten().to_numpy().astype(np.int64) for x in (a, b)))
             running = lambda x: np.append(0, np.cumsum(x))
@@ -405,7 +416,7 @@ def _put_together(files, shared, names: list[str], kinds: dict):
             groups = running(both.closes_a)[tokens_a]
             text, group_ends = both.written_out()
             chars = np.append(0, group_ends)[groups]
-            value = np.array([worth.get(u, unknown) for u in distinct], np.int64).reshape(-1, 2)
+            value = worth[pc.index_in(distinct, value_set=frequent).fill_null(len(frequent)).to_numpy()]
             low, high = (batch.column(n).to_numpy() for n in ("low", "high"))
             begun, rare = units.begun(low, high), (value[:, 0] < 0)[place]
             known = (begun & ~rare)[:, None] * value[place]
@@ -442,7 +453,7 @@ def _put_together(files, shared, names: list[str], kinds: dict):
             ready |= {n: batch.column(n) for n in ("row", "id", "chunk", "n_chunks")}
             yield pa.RecordBatch.from_arrays([ready[n] for n in names], names)
 
-    return run
+    return returning_memory(run)
 
 
 _FRAGMENT = dict(
@@ -506,8 +517,9 @@ class Alignment:
         valued = salted_join(self.each, self.counts().select("link", "n_links", F.col("best").cast("long").alias("best")), "link", 500_000)
         return written(valued.groupBy("unit").agg(F.max("n").alias("n"), F.sum("best").alias("n_best"), F.sum("n_links").alias("count_sum")), "alignment-worth")
 
-    def _frequent(self, worth: DataFrame):
-        """The units above a frequency that at most SHARED_UNITS reach, by counts in steps of an eighth of a doubling."""
+    def _frequent(self, worth: DataFrame) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The units above a frequency that at most SHARED_UNITS reach, by counts in steps of an eighth of a doubling; what each
+        is worth, and (-1, 0) behind them for all others."""
         step = F.floor(F.log2("n") * 8)
         sizes = sorted(((r["step"], r["count"]) for r in worth.groupBy(step.alias("step")).count().collect()), reverse=True)
         room, least = SHARED_UNITS, None
@@ -516,9 +528,11 @@ class Alignment:
             if room < 0:
                 break
             least = own
-        if least is None:
-            return {}
-        return {r["unit"]: (r["n_best"], r["count_sum"]) for r in worth.filter(step >= least).select("unit", "n_best", "count_sum").collect()}
+        chosen = worth.filter(step >= least) if least is not None else worth.limit(0)
+        found = chosen.select("unit", "n_best", "count_sum").toArrow()
+        units = found["unit"].cast(pa.large_string()).combine_chunks()
+        values = np.column_stack([found[n].to_numpy() for n in ("n_best", "count_sum")]).astype(np.int64)
+        return units, np.append(values, [[-1, 0]], axis=0)
 
     def texts(self) -> DataFrame:
         """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""

@@ -141,3 +141,23 @@ def test_a_model_that_crosses_units_is_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(model.SerializeToString())
     with pytest.raises(ValueError, match="border"):
         ta.Tokenizers(FILES[0], str(tmp_path / "m.model"), P.PATTERN)
+
+
+def test_remembered_units_are_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBERED", 300)
+    remembered, rng = ta.Memory(ta.Tokenizers(*FILES, P.PATTERN)), random.Random(5)
+    pool = [f" word{i}" for i in range(2_000)] + [" " + "x" * n for n in range(60, 70)]
+    for size in (0, 100, 250, 800, 100, 0, 300):
+        units = rng.sample(pool, size)
+        got = [x.to_pylist() for x in remembered.ids(ta.pa.array(units, ta.pa.large_string()))]
+        assert list(zip(*got)) == remembered.tokenizers.tokens(units)
+        assert len(remembered.units) <= 300 and not any(len(u) > ta.LONGEST for u in remembered.units.to_pylist())
+        again = [x.to_pylist() for x in remembered.ids(ta.pa.array(units, ta.pa.large_string()))]
+        assert again == got
+
+
+def test_a_remembered_unit_takes_some_tens_of_bytes():
+    remembered = ta.Memory(ta.Tokenizers(*FILES, P.PATTERN))
+    remembered.ids(ta.pa.array([f" word{i}" for i in range(20_000)], ta.pa.large_string()))
+    held = remembered.units.nbytes + remembered.used.nbytes + sum(x.nbytes for x in remembered.lists)
+    assert len(remembered.units) == 20_000 and held < 100 * 20_000
