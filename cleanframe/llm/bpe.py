@@ -26,7 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import bound_arrow_batches, bucketed, struct_type
+from cleanframe.llm.common import bound_arrow_batches, bucketed, returning_memory, struct_type
 
 #: Pre-tokens of a block: its words and positions are handled together in one task.
 BLOCK = 2_000_000
@@ -147,7 +147,7 @@ def _blocks(pattern: str, size: int, buckets: int, id_type: pa.DataType):
         if ids:
             yield block()
 
-    return run
+    return returning_memory(run)
 
 
 def _encoded(ranks):
@@ -172,7 +172,7 @@ def _encoded(ranks):
                     ["block", "bucket", "lengths", "ids"],
                 )
 
-    return run
+    return returning_memory(run)
 
 
 def _ragged(lengths: np.ndarray, values: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +263,7 @@ def _decoded(table, names: list[str]):
                     names,
                 )
 
-    return run
+    return returning_memory(run)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import packed_rows, row_keys, salted_join, struct_type, written, written_alone
+from cleanframe.llm.common import bound_arrow_batches, packed_rows, returning_memory, row_keys, salted_join, struct_type, written, written_alone
 from cleanframe.llm.components import components
 
 #: Rows of a list of keys that may be broadcast: at most some tens of MB.
@@ -77,7 +77,7 @@ def _sets(words: int, num: int, den: int, whole: bool):
                     ["id", "n", "digest", "hashes"],
                 )
 
-    return run
+    return returning_memory(run)
 
 
 class GroupedPrefixJoin:
@@ -86,6 +86,7 @@ class GroupedPrefixJoin:
     def __init__(self, texts: DataFrame, words: int, num: int, den: int):
         if not 0 < num <= den or words < 1:
             raise ValueError("the similarity is num / den in (0, 1], a shingle has a word at least")
+        bound_arrow_batches(texts.sparkSession, 4 << 20)
         self.texts, self.words, self.num, self.den, self.spark = texts, words, num, den, texts.sparkSession
         self.shape = struct_type(id=texts.schema["id"].dataType, n=T.LongType(), digest=T.BinaryType(), hashes=T.ArrayType(T.LongType()))
         self.rows = written(texts.mapInArrow(_sets(words, num, den, False), self.shape), "ngram-rows")

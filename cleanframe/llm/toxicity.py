@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import arrow_udf
 
-from cleanframe.llm.common import bound_arrow_batches, smallest, written
+from cleanframe.llm.common import bound_arrow_batches, returning_memory, smallest, written
 
 #: Marks and words that introduce a quotation.
 QUOTES = frozenset("\"'`«»“”„‘’‹›")
@@ -35,6 +35,8 @@ STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 #: Log odds under which a match says nothing: clean texts hold such words by chance.
 NOISE = 2.5
 PARTS = re.compile(r"[^\w]+")
+#: Pieces that a task counts before it hands the counts on; their sums do not depend on it.
+HELD_PIECES = 200_000
 
 
 def edits(entry: str) -> int:
@@ -216,12 +218,12 @@ def _pieces(shortest: int, longest: int):
                         own.add(word + "\n")
                         own.update(word[:n] for n in range(shortest, min(len(word), longest) + 1))
                 counts.update((p, toxic) for p in own)
-            if len(counts) > 2_000_000:
-                yield _rows(counts)
-                counts = Counter()
+                if len(counts) > HELD_PIECES:
+                    yield _rows(counts)
+                    counts = Counter()
         yield _rows(counts)
 
-    return run
+    return returning_memory(run)
 
 
 def _rows(counts: Counter) -> pa.RecordBatch:
@@ -262,7 +264,7 @@ def _evidence(automaton: Automaton, window: int):
             rows = [[f"{e}:{k}:{int(q)}" for _, e, k, q in h] for h in found]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.string()))], ["toxic", "hits"])
 
-    return run
+    return returning_memory(run)
 
 
 def fit(
@@ -349,7 +351,7 @@ def _scores(model: ToxicityModel, names: list[str]):
                 names,
             )
 
-    return run
+    return returning_memory(run)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,6 +364,15 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(_scores(model, out.names), out)
 
 
+def _clean(model: ToxicityModel, threshold: float):
+    def run(batches):
+        words = Words(Automaton(list(model.entries)))
+        for batch in batches:
+            yield pa.array([model.score(hits(t.as_py(), words, model.window)) < threshold for t in batch], pa.bool_())
+
+    return run
+
+
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs whose score is below the threshold, all columns as they were. Only texts go to Python, and one boolean
     for each comes back."""
@@ -369,8 +380,6 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
 
     @arrow_udf("boolean")
     def is_clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = Words(Automaton(list(model.entries)))
-        for batch in batches:
-            yield pa.array([model.score(hits(t.as_py(), words, model.window)) < threshold for t in batch], pa.bool_())
+        yield from returning_memory(_clean(model, threshold))(batches)
 
     return docs.filter(is_clean(F.col(text)))
