@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cleanframe.session import scratch_path, written, written_alone
 
-__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "hashed_share", "lower_ascii", "packed_rows", "read", "returning_memory", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
+__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "give_back", "hashed_share", "lower_ascii", "packed_rows", "read", "returning_memory", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cleanframe.llm.common import bound_arrow_batches, returning_memory, salted_join, struct_type, written
+from cleanframe.llm.common import bound_arrow_batches, give_back, returning_memory, salted_join, struct_type, written
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,;:!?\n"
@@ -224,7 +224,9 @@ class Memory:
 
 @lru_cache(maxsize=2)
 def memory(files: tuple[str, str, str]) -> Memory:
-    return Memory(Tokenizers(*files))
+    made = Memory(Tokenizers(*files))
+    give_back()  # what reading the files took
+    return made
 
 
 def _lists(parts: list[list[int]]) -> pa.ListArray:
@@ -369,16 +371,19 @@ def chunks(docs: DataFrame, id_column: str, text: str, size: int, margin: int) -
     return cut.select("row", "id", "chunk", "n_chunks", F.coalesce("slice", F.lit("")).alias("slice"), *[F.coalesce(size_of(n), F.lit(0)).cast("long").alias(n) for n in ("low", "high")])
 
 
-def _counted(batches):
+def _begun(batch: pa.RecordBatch) -> pa.RecordBatch:
     """How often each unit begins in the chunks of a batch."""
-    for batch in batches:
-        units = Units(batch.column("slice"))
-        begun = units.begun(*(batch.column(n).to_numpy() for n in ("low", "high")))
-        counts = units.all.filter(pa.array(begun)).value_counts()
-        yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["unit", "n"])
+    units = Units(batch.column("slice"))
+    begun = units.begun(*(batch.column(n).to_numpy() for n in ("low", "high")))
+    counts = units.all.filter(pa.array(begun)).value_counts()
+    return pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], ["unit", "n"])
 
 
-_counted = returning_memory(_counted)
+@returning_memory
+def _counted(batches):
+    for batch in batches:
+        yield _begun(batch)
+        give_back()
 
 
 def _unit_links(files):
@@ -400,58 +405,62 @@ def _unit_links(files):
 def _put_together(files, shared, names: list[str], kinds: dict):
     """Chunks to fragments and what their links are worth: shared units are summed here, the others listed."""
 
+    def made_of(batch: pa.RecordBatch, remembered: Memory, frequent: pa.LargeStringArray, worth: np.ndarray) -> pa.RecordBatch:
+        tokenizers = remembered.tokenizers
+        units = Units(batch.column("slice"))
+        coded = units.all.dictionary_encode()
+        distinct, place = coded.dictionary, coded.indices.to_numpy()
+        a, b = remembered.ids(distinct)
+        taken = pa.array(place)
+        both = Aligned(tokenizers, *(x.take(taken).flatten().to_numpy().astype(np.int64) for x in (a, b)))
+        running = lambda x: np.append(0, np.cumsum(x))
+        # Tokens, groups and characters of written groups before each unit.
+        tokens_a, tokens_b = (running(np.diff(x.offsets.to_numpy())[place]) for x in (a, b))
+        groups = running(both.closes_a)[tokens_a]
+        text, group_ends = both.written_out()
+        chars = np.append(0, group_ends)[groups]
+        value = worth[pc.index_in(distinct, value_set=frequent).fill_null(len(frequent)).to_numpy()]
+        low, high = (batch.column(n).to_numpy() for n in ("low", "high"))
+        begun, rare = units.begun(low, high), (value[:, 0] < 0)[place]
+        known = (begun & ~rare)[:, None] * value[place]
+        best, total = running(known[:, 0]), running(known[:, 1])
+        listed = begun & rare
+        others = pa.ListArray.from_arrays(pa.array(running(listed)[units.first], pa.int32()), units.all.filter(pa.array(listed)).cast(pa.string()))
+        out = {n: [] for n in ("n_a", "n_b", "n_groups", "closed", "prefix_a", "prefix_b", "suffix_a", "suffix_b", "groups", "digest")}
+        chunked = batch.column("n_chunks").to_pylist()
+        for i, (u, v) in enumerate(zip(units.first[:-1].tolist(), units.first[1:].tolist())):
+            first = last = ""
+            skip = stop = 0
+            if chunked[i] > 1:
+                # Only units within the range, and those that cross its ends.
+                start, end = units.start[u:v], units.end[u:v]
+                crossing = np.flatnonzero((start < low[i]) & (end > low[i]))
+                if len(crossing):
+                    first, skip = units.all[u + int(crossing[0])].as_py(), int(low[i] - start[crossing[0]])
+                crossing = np.flatnonzero((start < high[i]) & (end > high[i]))
+                if len(crossing):
+                    last, stop = units.all[u + int(crossing[0])].as_py(), int(high[i] - start[crossing[0]])
+                u, v = u + int(np.searchsorted(start, low[i])), u + int(np.searchsorted(end, high[i], "right"))
+            numbers = [int(x[v] - x[u]) for x in (tokens_a, tokens_b, groups)]
+            whole = text[chars[u] : chars[v] - 1] if numbers[2] else b""
+            if chunked[i] > 1:
+                made = fragment_of(tokenizers, first, skip, (*numbers, bytes(whole).decode()), last, stop)
+                digest = None
+            else:
+                made = Fragment(([], []), numbers[2] > 0, *numbers)
+                digest = hashlib.sha256(whole).hexdigest() if numbers[2] else ""
+            for n, x in zip(out, (made.n_a, made.n_b, made.n_groups, made.closed, *made.prefix, *made.suffix, made.groups, digest)):
+                out[n].append(x)
+        ready = {n: pa.array(x, kinds[n]) for n, x in out.items()} | {"units": others}
+        ready |= {n: pa.array(x[units.first[1:]] - x[units.first[:-1]]) for n, x in (("best", best), ("total", total))}
+        ready |= {n: batch.column(n) for n in ("row", "id", "chunk", "n_chunks")}
+        return pa.RecordBatch.from_arrays([ready[n] for n in names], names)
+
     def run(batches):
         remembered, (frequent, worth) = memory(files), shared.value
-        tokenizers = remembered.tokenizers
         for batch in batches:
-            units = Units(batch.column("slice"))
-            coded = units.all.dictionary_encode()
-            distinct, place = coded.dictionary, coded.indices.to_numpy()
-            a, b = remembered.ids(distinct)
-            taken = pa.array(place)
-            both = Aligned(tokenizers, *(x.take(taken).flatten().to_numpy().astype(np.int64) for x in (a, b)))
-            running = lambda x: np.append(0, np.cumsum(x))
-            # Tokens, groups and characters of written groups before each unit.
-            tokens_a, tokens_b = (running(np.diff(x.offsets.to_numpy())[place]) for x in (a, b))
-            groups = running(both.closes_a)[tokens_a]
-            text, group_ends = both.written_out()
-            chars = np.append(0, group_ends)[groups]
-            value = worth[pc.index_in(distinct, value_set=frequent).fill_null(len(frequent)).to_numpy()]
-            low, high = (batch.column(n).to_numpy() for n in ("low", "high"))
-            begun, rare = units.begun(low, high), (value[:, 0] < 0)[place]
-            known = (begun & ~rare)[:, None] * value[place]
-            best, total = running(known[:, 0]), running(known[:, 1])
-            listed = begun & rare
-            others = pa.ListArray.from_arrays(pa.array(running(listed)[units.first], pa.int32()), units.all.filter(pa.array(listed)).cast(pa.string()))
-            out = {n: [] for n in ("n_a", "n_b", "n_groups", "closed", "prefix_a", "prefix_b", "suffix_a", "suffix_b", "groups", "digest")}
-            chunked = batch.column("n_chunks").to_pylist()
-            for i, (u, v) in enumerate(zip(units.first[:-1].tolist(), units.first[1:].tolist())):
-                first = last = ""
-                skip = stop = 0
-                if chunked[i] > 1:
-                    # Only units within the range, and those that cross its ends.
-                    start, end = units.start[u:v], units.end[u:v]
-                    crossing = np.flatnonzero((start < low[i]) & (end > low[i]))
-                    if len(crossing):
-                        first, skip = units.all[u + int(crossing[0])].as_py(), int(low[i] - start[crossing[0]])
-                    crossing = np.flatnonzero((start < high[i]) & (end > high[i]))
-                    if len(crossing):
-                        last, stop = units.all[u + int(crossing[0])].as_py(), int(high[i] - start[crossing[0]])
-                    u, v = u + int(np.searchsorted(start, low[i])), u + int(np.searchsorted(end, high[i], "right"))
-                numbers = [int(x[v] - x[u]) for x in (tokens_a, tokens_b, groups)]
-                whole = text[chars[u] : chars[v] - 1] if numbers[2] else b""
-                if chunked[i] > 1:
-                    made = fragment_of(tokenizers, first, skip, (*numbers, bytes(whole).decode()), last, stop)
-                    digest = None
-                else:
-                    made = Fragment(([], []), numbers[2] > 0, *numbers)
-                    digest = hashlib.sha256(whole).hexdigest() if numbers[2] else ""
-                for n, x in zip(out, (made.n_a, made.n_b, made.n_groups, made.closed, *made.prefix, *made.suffix, made.groups, digest)):
-                    out[n].append(x)
-            ready = {n: pa.array(x, kinds[n]) for n, x in out.items()} | {"units": others}
-            ready |= {n: pa.array(x[units.first[1:]] - x[units.first[:-1]]) for n, x in (("best", best), ("total", total))}
-            ready |= {n: batch.column(n) for n in ("row", "id", "chunk", "n_chunks")}
-            yield pa.RecordBatch.from_arrays([ready[n] for n in names], names)
+            yield made_of(batch, remembered, frequent, worth)
+            give_back()
 
     return returning_memory(run)
 
@@ -495,7 +504,7 @@ class Alignment:
     def __init__(self, docs: DataFrame, a_file: str, b_file: str, pattern: str, id_column: str = "doc_id", text: str = "text", chunk: int = CHUNK, margin: int = MARGIN, fan: int = 8):
         if margin * 2 > chunk:
             raise ValueError("a chunk must be at least two margins long")
-        bound_arrow_batches(docs.sparkSession, 4 << 20)
+        bound_arrow_batches(docs.sparkSession, 2 << 20)
         self.docs, self.files, self.fan = docs, (a_file, b_file, pattern), fan
         Tokenizers(*self.files)  # fails here, not in a task
         self.chunks = chunks(docs, id_column, text, chunk, margin)
