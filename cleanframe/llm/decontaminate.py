@@ -23,6 +23,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A list of more rows, or of more bytes as JSON, is joined by a shuffle instead of being broadcast.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+#: A list is written in one file for each so many rows, or in fewer where it has fewer partitions.
+ROWS_PER_FILE = 200_000
 KEYS = ["k1", "k2"]
 
 
@@ -55,6 +57,16 @@ def joined(many: DataFrame, listed: DataFrame, on: str) -> DataFrame:
     return many.join(F.broadcast(listed), on) if small(listed) else salted_join(many, listed, on)
 
 
+def written_list(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """`df`, written. At most about `rows` rows enter its last stage, whose tasks are merged accordingly: with a file for each shuffle
+    partition, short lists would be thousands of files, and for each file a local file system starts processes (chmod)."""
+    return written(df.coalesce(min(max(1, -(-rows // ROWS_PER_FILE)), 1 << 30)), label)
+
+
+def total(table: DataFrame, column: Column) -> int:
+    return table.agg(F.coalesce(F.sum(column), F.lit(0)).cast("long").alias("n")).first()["n"]
+
+
 def windows(items: DataFrame, id_column: str, text: str, size: int) -> DataFrame:
     """(item, phrase) for each window, phrase being an array of words; with repetitions."""
     own = items.select(F.col(id_column).alias("item"), F.transform(words(text), lower_ascii).alias("w")).filter(F.size("w") > 0)
@@ -68,34 +80,39 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, id_column: str, text: str, vocabulary: DataFrame):
         entries = docs.select(*row_keys(id_column, text), F.posexplode(words(text)).alias("pos", "word"))
         known = joined(entries.select(*KEYS, "pos", folded("word").alias("word")), vocabulary, "word")
+        self.vocabulary = vocabulary
         self.postings = written(known.select(*KEYS, "pos", "term"), "postings")
 
     def counts(self) -> DataFrame:
-        return written(self.postings.groupBy("term").count(), "term-counts")
+        n_partial = self.vocabulary.count() * len(self.postings.inputFiles())
+        return written_list(self.postings.groupBy("term").count(), "term-counts", n_partial)
 
     def phrases(self, terms: DataFrame) -> DataFrame:
-        """Exact matches (k1, k2, phrase, start, length) of phrases given as terms (phrase, off, term)."""
+        """Exact matches (k1, k2, phrase, start, length) of phrases given as terms (phrase, off, term), written."""
         ranked = self._ranked(terms)
-        first, second = (written(ranked.filter(F.col("rank") == r).select("phrase", "off", "term", "length"), "terms") for r in (0, 1))
+        first, second = (ranked.filter(F.col("rank") == r).select("phrase", "off", "term", "length") for r in (0, 1))
         starts = joined(self.postings, first, "term").select(*KEYS, "phrase", "length", (F.col("pos") - F.col("off")).alias("start"))
         starts = starts.filter("start >= 0")
         met = self._met(starts, second, self.postings)
         single = starts.filter("length = 1").distinct()
-        left = written(met.distinct(), "phrase-starts")  # a repeated document has its postings twice
-        rest = written(ranked.filter("rank >= 2").select("phrase", "off", "term"), "terms")
-        where = written(left.select(*KEYS).distinct(), "phrase-documents")
+        n_starts = total(ranked.filter("rank = 0"), F.col("count"))
+        left = written_list(met.distinct(), "phrase-starts", n_starts)  # a repeated document has its postings twice
+        rest = ranked.filter("rank >= 2").select("phrase", "off", "term")
+        where = written_list(left.select(*KEYS).distinct(), "phrase-documents", left.count())
         near = self.postings.join(sized(where), KEYS, "left_semi").distinct()
         wanted = joined(left, rest, "phrase").select(*left.columns, (F.col("start") + F.col("off")).alias("pos"), "term")
         full = wanted.join(near, [*KEYS, "pos", "term"]).groupBy(*left.columns).count().filter("count = length - 2").drop("count")
-        return full.unionByName(left.filter("length = 2")).unionByName(single)
+        found = full.unionByName(left.filter("length = 2")).unionByName(single)
+        n_single = total(ranked.filter("length = 1"), F.col("count"))
+        return written_list(found, "phrase-matches", total(left, F.col("length")) + n_single)
 
     def _ranked(self, terms: DataFrame) -> DataFrame:
-        """terms with the length of their phrase and their rank in it, rarest first; phrases with a term that no text holds go."""
+        """terms with their count, the length of their phrase and their rank in it, rarest first; phrases with a term that no text holds go."""
         held = terms.join(self.counts(), "term", "left")
-        listed = held.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("count", "off", "term"))).alias("t"))
-        listed = listed.filter(F.forall("t", lambda x: x["count"].isNotNull()))
-        flat = listed.select("phrase", F.size("t").alias("length"), F.posexplode("t").alias("rank", "x"))
-        return written(flat.select("phrase", "length", "rank", "x.off", "x.term"), "ranked-terms")
+        grouped = held.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("count", "off", "term"))).alias("t"))
+        grouped = grouped.filter(F.forall("t", lambda x: x["count"].isNotNull()))
+        flat = grouped.select("phrase", F.size("t").alias("length"), F.posexplode("t").alias("rank", "x"))
+        return written_list(flat.select("phrase", "length", "rank", "x.off", "x.term", "x.count"), "ranked-terms", terms.count())
 
     def _met(self, starts: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
         """Those starts at which the phrase's term of the next rank stands too."""
@@ -125,11 +142,14 @@ class Benchmark:
         own = windows(items, id_column, text, size)
         keyed = own.select("item", "phrase", F.array_join("phrase", " ").alias("joined"))
         one = keyed.groupBy("joined").agg(F.first("phrase").alias("words"))
-        self.named = written(one.withColumn("phrase", F.monotonically_increasing_id()), "benchmark-phrases")
-        self.items = written(keyed.join(self.named.select("joined", F.col("phrase").alias("number")), "joined").select(F.col("number").alias("phrase"), "item").distinct(), "benchmark-items")
+        n_windows = keyed.count()
+        self.named = written_list(one.withColumn("phrase", F.monotonically_increasing_id()), "benchmark-phrases", n_windows)
+        number = self.named.select("joined", F.col("phrase").alias("number"))
+        self.items = written_list(keyed.join(number, "joined").select(F.col("number").alias("phrase"), "item").distinct(), "benchmark-items", n_windows)
         flat = self.named.select("phrase", F.posexplode("words").alias("off", "word"))
-        self.vocabulary = written(flat.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
-        self.terms = written(flat.join(self.vocabulary, "word").select("phrase", "off", "term"), "benchmark-terms")
+        n_terms = total(self.named, F.size("words"))
+        self.vocabulary = written_list(flat.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary", n_terms)
+        self.terms = written_list(flat.join(self.vocabulary, "word").select("phrase", "off", "term"), "benchmark-terms", n_terms)
 
 
 def contamination(
@@ -139,7 +159,7 @@ def contamination(
     text of the items with matched windows), spans (matched runs of words as structs start, end; end exclusive)."""
     benchmark = Benchmark(items, item_id, item_text, size)
     index = PositionalIndex(docs, id_column, text, benchmark.vocabulary)
-    found = written(index.phrases(benchmark.terms), "phrase-matches")
+    found = index.phrases(benchmark.terms)
     # Runs: a matched window opens a run if no window that starts before it reaches it. Windows of a text are few.
     spots = found.groupBy(*KEYS, "start").agg(F.max("length").alias("length"))
     spans = spots.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("hits"))
@@ -153,7 +173,8 @@ def contamination(
     spans = spans.select(*KEYS, F.aggregate(F.transform("hits", lambda h: F.struct(h["start"].cast("int").alias("start"), h["end"].cast("int").alias("end"))), none, join_on).alias("spans"))
     named = found.join(sized(benchmark.items), "phrase").filter("item is not null").select(*KEYS, F.col("item").cast("string").alias("item")).distinct()
     named = named.groupBy(*KEYS).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    marked = written(spans.join(named, KEYS, "left"), "contaminated")
+    of_a_phrase = benchmark.items.groupBy("phrase").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    marked = written_list(spans.join(named, KEYS, "left"), "contaminated", found.count() * of_a_phrase)
     rows = docs.select(F.col(id_column), *row_keys(id_column, text), F.size(words(text)).cast("long").alias("n_words"))
     both = rows.join(sized(marked), KEYS, "left")
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

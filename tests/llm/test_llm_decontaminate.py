@@ -1,9 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cleanframe import session
 from cleanframe.llm import decontaminate as D
 from cleanframe.llm.common import salted_join
 
@@ -78,6 +80,31 @@ def test_lists_are_measured_in_rows_and_bytes(spark, monkeypatch):
     assert not D.small(table)
 
 
+@pytest.mark.parametrize("rows", [200_000, 100])
+def test_lists_are_written_in_files_by_their_rows(spark, tables, monkeypatch, rows):
+    """However many shuffle partitions there are. Postings keep the partitions of the texts."""
+    monkeypatch.setattr(D, "ROWS_PER_FILE", rows, raising=False)
+    monkeypatch.setattr(session, "_MADE", [])
+    docs, items = tables
+    before = {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled": "true"}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        got = D.contamination(*frames, 4).collect()
+        made = {p: (len(list(Path(p.removeprefix("file:")).glob("part-*"))), spark.read.parquet(p).count()) for p in session._MADE}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=repr) == plain(docs, items, 4)
+    lists = {Path(p).name.rsplit("-", 1)[0]: n for p, n in made.items() if not Path(p).name.startswith("postings-")}
+    assert len(lists) >= 9 and lists["phrase-matches"][1] > 100
+    if rows == 200_000:
+        assert {files for files, _ in lists.values()} == {1}
+    else:
+        assert lists["phrase-matches"][0] > 1
+
+
 def test_clean_rows_stay(spark, tables):
     docs, items = tables
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("k1", F.lit("own"))
