@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cleanframe.session import scratch_path, written, written_alone
+from cleanframe.session import all_written_alone, scratch_path, written, written_alone
 
-__all__ = ["bound_arrow_batches", "bucketed", "fresh_names", "give_back", "hashed_share", "lower_ascii", "packed_rows", "read", "returning_memory", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
+__all__ = ["all_written_alone", "bound_arrow_batches", "bucketed", "fresh_names", "give_back", "hashed_share", "lower_ascii", "packed_rows", "read", "returning_memory", "row_keys", "salted_join", "scanned", "smallest", "struct_type", "utf8", "written", "written_alone"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

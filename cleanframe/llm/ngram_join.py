@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cleanframe.llm.common import bound_arrow_batches, packed_rows, returning_memory, row_keys, salted_join, struct_type, written, written_alone
+from cleanframe.llm.common import all_written_alone, bound_arrow_batches, packed_rows, returning_memory, row_keys, salted_join, struct_type, written, written_alone
 from cleanframe.llm.components import components
 
 #: Rows of a list of keys that may be broadcast: at most some tens of MB.
@@ -89,9 +89,14 @@ class GroupedPrefixJoin:
         bound_arrow_batches(texts.sparkSession, 4 << 20)
         self.texts, self.words, self.num, self.den, self.spark = texts, words, num, den, texts.sparkSession
         self.shape = struct_type(id=texts.schema["id"].dataType, n=T.LongType(), digest=T.BinaryType(), hashes=T.ArrayType(T.LongType()))
-        self.rows = written(texts.mapInArrow(_sets(words, num, den, False), self.shape), "ngram-rows")
-        nodes = self.rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-        self.nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
+        self.rows, self.nodes = all_written_alone(self.spark, self.rows_and_nodes, "ngram-rows", "ngram-nodes")
+
+    def rows_and_nodes(self) -> list[DataFrame]:
+        """(id, n, digest) of every row, and one node (node, digest, id, n, hashes) of all rows with equal sets: the hashes of
+        the rows, about as many bytes as half the texts, end with the making of the nodes."""
+        rows = written(self.texts.mapInArrow(_sets(self.words, self.num, self.den, False), self.shape), "ngram-hashed")
+        nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+        return [rows.select("id", "n", "digest"), nodes.withColumn("node", F.monotonically_increasing_id())]
 
     def prefix_length(self) -> Column:
         return (F.col("n") - F.floor((F.col("n") * self.num + self.den - 1) / self.den) + 1).cast("int")
@@ -173,7 +178,8 @@ class GroupedPrefixJoin:
         entries = heads.select(F.col("node").alias("group"), "n", "size", F.posexplode("prefix").alias("pos", "h"))
         # The centre has the fewest rare hashes before the shared one: what many near copies have in common is most of it.
         shared = entries.groupBy("h").agg(F.min_by("group", "pos").alias("centre"), F.sum("size").alias("in_all")).filter("in_all > 1")
-        postings = written(entries.join(shared.select("h", "centre"), "h"), "ngram-postings")
+        shared = written(shared.select("h", "centre"), "ngram-shared")  # its shuffle ends before the entries are shuffled
+        postings = written(entries.join(shared, "h"), "ngram-postings")
         inside = members.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
         links = alone(lambda: self.verified(written(self.stars(postings).unionByName(inside), "ngram-pairs")), "ngram-links")
         found = alone(lambda: components(links), "ngram-components")
@@ -259,7 +265,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wor
     own, unpacked = packed_rows(docs, id=id_column, text=text)
     k1, _ = row_keys("id", "text")
     keyed = own.select(F.struct("id", k1).alias("_key"), "text", "row")
-    classes = written(link(keyed.select("_key", "text"), "_key", "text", words, num, den), "ngram-classes")
+    classes = written_alone(docs.sparkSession, lambda: link(keyed.select("_key", "text"), "_key", "text", words, num, den), "ngram-classes")
     heads = classes.filter((F.col("n_shingles") > 0) & F.col("_key").eqNullSafe(F.col("component_id")))
     counted = heads.groupBy("_key").count()
     one = keyed.join(counted.filter("count = 1"), "_key", "left_semi")

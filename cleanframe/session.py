@@ -25,6 +25,10 @@ _ARROW = {
 }
 
 
+#: Spark's setting that a finished write deletes its shuffle files.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by `spark.checkpoint.dir`; set here only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -65,21 +69,44 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written, not when the driver's JVM next collects its garbage. Nothing
+    reads them again: a later job over the same DataFrame, or over the written table, has a plan of its own."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def written_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str = "table") -> DataFrame:
     """The table that `make` gives, written and read back; the scratch tables of its making are deleted."""
-    path = scratch_path(spark, label)
+    return all_written_alone(spark, lambda: [make()], label)[0]
+
+
+def all_written_alone(spark: SparkSession, make: Callable[[], list[DataFrame]], *labels: str) -> list[DataFrame]:
+    """The tables that `make` gives, one for each label, as `written_alone` has one."""
+    paths = [scratch_path(spark, label) for label in labels]
     with scratch(spark):
-        df = make()
-        schema = df.schema
-        df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        tables = make()
+        schemas = [df.schema for df in tables]
+        for df, path in zip(tables, paths, strict=True):
+            with shuffles_deleted(spark):
+                df.write.parquet(path)
+    return [spark.read.schema(schema).parquet(path) for schema, path in zip(schemas, paths)]
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to the shared folder and read it back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, label)
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanframe.llm import ngram_join as N
+from cleanframe.session import scratch, shared_dir
 
 
 def sets(text, words):
@@ -105,3 +107,17 @@ def test_links_inside_components_are_counted(spark, rows):
     want = [(i, len(s), sum(near(s, o) for o in own) - 1 if s else 0) for (i, _), s in zip(rows, own)]
     found = [(r.doc_id, r.n_shingles, r.n_links) for r in got.collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_hashes_of_rows_and_tables_of_the_join_are_not_kept(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    top = f"{shared_dir(spark)}/cleanframe".removeprefix("file:")
+    names = lambda: set(os.listdir(top)) if os.path.isdir(top) else set()
+    before = names()
+    with scratch(spark):
+        kept = N.keep_one(docs)
+        assert [n.rsplit("-", 1)[0] for n in names() - before] == ["ngram-classes"]
+        assert 0 < kept.count() < len(rows)
+        join = N.GroupedPrefixJoin(docs.withColumnRenamed("doc_id", "id"), 5, 80, 100)
+        assert join.rows.columns == ["id", "n", "digest"] and join.rows.count() == len(rows)
+        assert sorted(n.rsplit("-", 1)[0] for n in names() - before) == ["ngram-classes", "ngram-nodes", "ngram-rows"]
